@@ -184,19 +184,28 @@ def ewma(
     scratch = [_CHUNK, "_at", *(f"_t_{n}" for n in cols)]
     if single:
         return local.drop(*scratch)
+    # One short array of chunk sums per series; the state entering a chunk is a running fold over it.
     sums = out.groupBy(*part).agg(*(F.sum(f"_t_{n}").alias(f"_s_{n}") for n in cols))
-    across = Window.partitionBy(*keys).orderBy(_CHUNK)
-
-    def state(n: str, h: float) -> Column:
-        # Value at the first position of the chunk contributed by earlier chunks. A chunk spans so
-        # many half-lives that anything two chunks back is below double resolution.
-        s = F.col(f"_s_{n}")
-        return (
-            F.coalesce(F.lag(s, 1).over(across), F.lit(0.0)) * F.lit(2.0 ** (-size / h))
-            + F.coalesce(F.lag(s, 2).over(across), F.lit(0.0)) * F.lit(2.0 ** (-2.0 * size / h))
+    chunks = F.array_sort(F.collect_list(F.struct(_CHUNK, *(f"_s_{n}" for n in cols))))
+    folded = sums.groupBy(*keys).agg(chunks.alias("_a"))
+
+    def entering(n: str, h: float) -> Column:
+        start = F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("out"))
+        return F.aggregate(
+            "_a",
+            start,
+            lambda acc, x: F.struct(
+                ((acc["c"] + x[f"_s_{n}"]) * F.lit(2.0 ** (-size / h))).alias("c"),
+                F.concat(acc["out"], F.array(acc["c"])).alias("out"),
+            ),
+            lambda acc: acc["out"],
         )
 
-    carry = sums.select(*part, *(state(n, h).alias(f"_c_{n}") for n, (_, h) in cols.items()))
+    states = [entering(n, h).alias(f"_c_{n}") for n, (_, h) in cols.items()]
+    zipped = F.arrays_zip(F.col(f"_a.{_CHUNK}").alias(_CHUNK), *(F.col(f"_c_{n}") for n in cols))
+    carry = folded.select(*keys, "_a", *states).select(*keys, F.explode(zipped).alias("_z")).select(
+        *keys, f"_z.{_CHUNK}", *(F.col(f"_z._c_{n}") for n in cols)
+    )
     joined = local.join(carry, part, "left")
     return joined.withColumns({n: F.col(n) + F.col(f"_c_{n}") * down[n] for n in cols}).drop(
         *scratch, *(f"_c_{n}" for n in cols)

@@ -405,9 +405,9 @@ def horizon_plan(history: DataFrame, index: DataFrame, spec: PanelSpec) -> DataF
 def future_grid(history: DataFrame, spec: PanelSpec, h: int) -> DataFrame:
     """``h`` timestamps per series after its last observed one."""
     last = history.groupBy(spec.id).agg(F.max(spec.time).alias("_last"))
-    steps = F.sequence(F.lit(1), F.lit(h))
+    steps = F.sequence(F.lit(1).cast("long"), F.lit(h).cast("long"))
     return (
-        last.withColumn("step", F.explode(steps).cast("long"))
+        last.withColumn("step", F.explode(steps))
         .withColumn(spec.time, F.timestamp_seconds(F.unix_seconds("_last") + F.col("step") * spec.step_seconds))
         .drop("_last")
     )

@@ -2,6 +2,8 @@
 
 from panelloom.plans.catalog import (  # noqa: F401
     aggregate_queries,
+    block_queries,
+    impute_queries,
     row_queries,
 )
 from panelloom.plans.registry import REGISTRY

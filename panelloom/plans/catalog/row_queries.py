@@ -255,7 +255,7 @@ def label_join(t: Tables):
     "J6_context_end", "panel_s",
     """
     WITH b AS (SELECT CAST(unnest([0, 39, 78, 117, 331, 318]) AS BIGINT) AS s, unnest([39, 39, 39, 60, 26, 13]) AS n)
-    SELECT 'channel' AS "column", h.hidx AS hour, (SELECT max(s) - 1 FROM b WHERE s <= h.hidx AND h.hidx < s + n) AS context_end
+    SELECT 'channel' AS "column", h.hidx AS hour, CAST((SELECT max(s) - 1 FROM b WHERE s <= h.hidx AND h.hidx < s + n) AS DOUBLE) AS context_end
     FROM (SELECT DISTINCT hidx FROM panel_s) h
     """,
 )
@@ -263,7 +263,7 @@ def context_end(t: Tables):
     blocks = [(0, 39), (39, 39), (78, 39), (117, 60), (331, 26), (318, 13)]
     prov = provenance.table(t.spark, "channel", blocks, t.weekly.series_len)
     hours = t.panel_s.select(F.lit("channel").alias("column"), F.col("hidx").alias("hour")).distinct()
-    return provenance.context_ends(prov, hours)
+    return provenance.context_ends(prov, hours).withColumn("context_end", F.col("context_end").cast("double"))
 
 
 @query(

@@ -25,7 +25,7 @@ def connect(folder: str):
 
 
 def cell(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return ""
     if isinstance(v, pd.Timestamp):
         return v.isoformat()
