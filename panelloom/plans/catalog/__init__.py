@@ -3,6 +3,7 @@
 from panelloom.plans.catalog import (  # noqa: F401
     aggregate_queries,
     block_queries,
+    forecast_queries,
     impute_queries,
     row_queries,
 )

@@ -25,7 +25,8 @@ class Query:
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
         df = self.build(Tables(spark, folder))
-        return df.withColumns({c: F.round(F.col(c) + F.lit(shift(n)), n) + F.lit(0.0) for c, n in self.digits.items()})
+        named = {c.strip('"'): n for c, n in self.digits.items()}
+        return df.withColumns({c: F.round(F.col(c) + F.lit(shift(n)), n) + F.lit(0.0) for c, n in named.items()})
 
     @property
     def oracle(self) -> str | None:
