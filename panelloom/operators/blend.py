@@ -30,7 +30,8 @@ def grid(n: int = 101) -> list[float]:
 
 
 def weighted_sum(weights: Mapping[str, float]) -> Column:
-    return sum((F.lit(float(w)) * F.col(m) for m, w in weights.items()), F.lit(0.0))
+    # One parsed expression instead of a tree of calls: searches build hundreds of these.
+    return F.expr(" + ".join(f"{float(w)!r}D * `{m}`" for m, w in weights.items()))
 
 
 def convex(weights: Mapping[str, float]) -> Column:
@@ -72,7 +73,7 @@ def grid_fit(df: DataFrame, spec: PanelSpec, values: Sequence[float], pred, keys
 
 
 def pair(a: str, b: str):
-    return lambda w: F.lit(float(w)) * F.col(a) + F.lit(1.0 - float(w)) * F.col(b)
+    return lambda w: weighted_sum({a: w, b: 1.0 - w})
 
 
 def pair_curve(df: DataFrame, spec: PanelSpec, a: str, b: str, points: int = 101) -> DataFrame:
@@ -319,7 +320,7 @@ def structured_weights(df: DataFrame, spec: PanelSpec, a: str, b: str, group: Co
 
     names = [f"_l{i}" for i in range(len(lambdas))]
     table = scores(scored, F.col(spec.target), {n: at(x) for n, x in zip(names, lambdas)})
-    parts = F.array(*(F.struct(F.lit(float(x)).alias("lambda"), ratio(F.col(n), F.col("ya")).alias("late_wape")) for x, n in zip(lambdas, names)))
+    parts = F.array(*(F.struct(F.lit(float(x)).alias("shrink"), ratio(F.col(n), F.col("ya")).alias("late_wape")) for x, n in zip(lambdas, names)))
     return table.select(F.explode(parts).alias("_p")).select("_p.*").withColumn("global_weight", F.lit(overall))
 
 

@@ -329,8 +329,9 @@ def compose(*builders: Callable[[DataFrame], Built]) -> Callable[[DataFrame], Bu
 
 @dataclass(frozen=True)
 class Block:
-    """``build(df)`` and whether it is fitted on a train cut (then it cannot be rebuilt later)."""
+    """A block bound to a panel: the columns it makes, and whether it is fitted on a train cut."""
 
+    names: tuple[str, ...]
     build: Callable[[DataFrame], Built]
     fitted: bool = False
 
@@ -345,54 +346,67 @@ def registry(
     memory: Sequence[str],
     asymmetric: Sequence[str],
     channel: str | None = None,
+    day: int = 24,
+    week: int = 168,
 ) -> dict[str, Block]:
     """All blocks bound to a panel's own column roles."""
     flags = [f"{c}{MISSING}" for c in spec.nullable]
+    slow, quick, wide = (6, 12, 24, 48), (6, 12), (3, 6, 12, 24)
+
+    def of(pattern: str, cols: Sequence[str], *sizes) -> list[str]:
+        return [pattern.format(c=c, n=n) for c in cols for n in (sizes or ("",))]
+
+    def both(prefix: str, cols: Sequence[str]) -> list[str]:
+        return [n for c in cols for n in (f"{prefix}_sys_{c}", f"{prefix}_zone_{c}")]
 
     def cap(d):
         return capacity_weighted(d, spec, live)
 
     def ew(d):
-        return backward_memory(d, spec, memory, (6, 12, 24, 48))
+        return backward_memory(d, spec, memory, slow)
 
     def ew2(d):
-        return backward_memory(d, spec, asymmetric, (6, 12))
+        return backward_memory(d, spec, asymmetric, quick)
 
     def cw(d):
-        return centred_windows(d, spec, given)
+        return centred_windows(d, spec, given, wide)
 
     def clim(d):
         return climatology(d, spec, cut)
 
-    blocks = {
-        "A1": Block(lambda d: system_zone_means(d, spec, given)),
-        "A2": Block(lambda d: system_zone_means_refilled(d, spec, [*live, *refill])),
-        "A3": Block(lambda d: leave_one_out(d, spec, live)),
-        "A4": Block(lambda d: shares_and_ranks(d, spec, live)),
-        "A5": Block(lambda d: dispersion(d, spec, live)),
-        "A6": Block(lambda d: missingness(d, spec, flags)),
-        "A7": Block(lambda d: rolling_system(d, spec, live)),
-        "A8": Block(lambda d: learned_partition(d, spec, live, cut), True),
-        "A9": Block(cap),
-        "A10": Block(lambda d: lagged_system_target(d, spec)),
-        "A11": Block(lambda d: system_leads_lags(d, spec, live)),
-        "A12": Block(lambda d: principal_components(d, spec, live, cut), True),
-        "A14": Block(lambda d: behaviour_statics(d, spec, cut, flags), True),
-        "A15": Block(lambda d: hierarchical_target(d, spec)),
-        "B1": Block(cw),
-        "B2": Block(lambda d: centred_windows(d, spec, spec.signals, (24,))),
-        "B3": Block(compose(cw, cap)),
-        "C1": Block(clim, True),
-        "C2": Block(lambda d: climatology(d, spec, cut, shape=True), True),
-        "C3": Block(compose(clim, cap), True),
-        "EW": Block(ew),
-        "EW2": Block(ew2),
-        "EWA9": Block(compose(cap, ew)),
-        "EW2A9": Block(compose(cap, ew2)),
+    caps, windows = of("xs_cap_{c}", live), of("cw{n}_{c}", given, *wide)
+    memories, memories2 = of("ew_{c}_{n}", memory, *slow), of("ew_{c}_{n}", asymmetric, *quick)
+    shifts = {-day: f"lead{day}", day: f"lag{day}", week: f"lag{week}"}
+    statics = ["level", "std", "cv", "iqr", "d1", f"d{week}", f"seas{week}", f"seas{day}", "util", "missrate"]
+    made: dict[str, tuple[Sequence[str], Callable[[DataFrame], Built], bool]] = {
+        "A1": (both("xs", given), lambda d: system_zone_means(d, spec, given), False),
+        "A2": (both("xs2", [*live, *refill]), lambda d: system_zone_means_refilled(d, spec, [*live, *refill]), False),
+        "A3": (of("xs_loo_{c}", live), lambda d: leave_one_out(d, spec, live), False),
+        "A4": (of("xs_{n}_{c}", live, "share", "rank"), lambda d: shares_and_ranks(d, spec, live), False),
+        "A5": (of("xs_{n}_{c}", live, "std", "rng"), lambda d: dispersion(d, spec, live), False),
+        "A6": ([*of("xs_miss_{c}", flags[:5]), "xs_miss_any_frac"], lambda d: missingness(d, spec, flags), False),
+        "A7": (of("xs_roll{n}_{c}", live, *wide), lambda d: rolling_system(d, spec, live, wide), False),
+        "A8": (of("xs_clu_{c}", live), lambda d: learned_partition(d, spec, live, cut), True),
+        "A9": (caps, cap, False),
+        "A10": ([f"xs_ytgt{day}", f"xs_ytgt{week}"], lambda d: lagged_system_target(d, spec, (day, week)), False),
+        "A11": (of("xs_{n}_{c}", live, *shifts.values()), lambda d: system_leads_lags(d, spec, live, tuple(shifts)), False),
+        "A12": (of("xs_pc{n}_{c}", live, 0, 1, 2), lambda d: principal_components(d, spec, live, cut), True),
+        "A14": ([f"xs_st_{n}" for n in statics], lambda d: behaviour_statics(d, spec, cut, flags, day, week), True),
+        "A15": (["xs_hier_sys", "xs_hier_drift", "xs_hier_zone"], lambda d: hierarchical_target(d, spec, week=week), False),
+        "B1": (windows, cw, False),
+        "B2": (of("cw{n}_{c}", spec.signals, 24), lambda d: centred_windows(d, spec, spec.signals, (24,)), False),
+        "B3": ([*windows, *caps], compose(cw, cap), False),
+        "C1": (["clim_how"], clim, True),
+        "C2": (["clim_how", "clim_how_shape"], lambda d: climatology(d, spec, cut, shape=True), True),
+        "C3": (["clim_how", *caps], compose(clim, cap), True),
+        "EW": (memories, ew, False),
+        "EW2": (memories2, ew2, False),
+        "EWA9": ([*caps, *memories], compose(cap, ew), False),
+        "EW2A9": ([*caps, *memories2], compose(cap, ew2), False),
     }
     if channel:
-        blocks["A13"] = Block(lambda d: channel_consensus(d, spec, channel))
-    return blocks
+        made["A13"] = (["xs_sys_fc", "xs_zone_fc", "xs_rank_fc"], lambda d: channel_consensus(d, spec, channel), False)
+    return {k: Block(tuple(names), build, fitted) for k, (names, build, fitted) in made.items()}
 
 
 def rectangle_report(df: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -420,11 +434,9 @@ def attach_aggregates(df: DataFrame, spec: PanelSpec, wanted: Sequence[str], blo
     if shape["ragged_times"]:
         raise ValueError(f"not a complete {shape['n_series']}-series rectangle: {shape['ragged_times']} ragged timestamps")
     for name, block in blocks.items():
-        if block.fitted:
+        if block.fitted or not set(wanted) <= set(block.names):
             continue
         built, names = block.build(df)
-        if not set(wanted) <= set(names):
-            continue
         holes = built.agg(*(F.sum(F.col(c).isNull().cast("long")).alias(c) for c in wanted)).first().asDict()
         if any(holes.values()):
             raise ValueError(f"block {name} produced missing values {holes}; aggregate after imputation")

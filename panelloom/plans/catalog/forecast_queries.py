@@ -204,9 +204,9 @@ def drift(values: np.ndarray, h: int) -> np.ndarray:
 
 @query(
     "R3_pluggable_forecaster", "panel_s",
-    """WITH b AS (SELECT CAST(unnest([279, 305, 331]) AS BIGINT) AS s, unnest([26, 26, 26]) AS n)
+    """WITH b AS (SELECT CAST(s AS BIGINT) AS s, s + i AS hidx FROM (SELECT unnest([279, 305, 331]) AS s), range(26) r(i))
     SELECT p.unique_id, p.hidx, b.s AS cutoff, greatest(l.y + (l.y - f.y) / 51e0 * (p.hidx - b.s + 1), 0) AS channel
-    FROM b JOIN panel_s p ON p.hidx >= s AND p.hidx < s + n JOIN panel_s l ON l.unique_id = p.unique_id AND l.hidx = s - 1
+    FROM b JOIN panel_s p ON p.hidx = b.hidx JOIN panel_s l ON l.unique_id = p.unique_id AND l.hidx = s - 1
     JOIN panel_s f ON f.unique_id = p.unique_id AND f.hidx = s - 52""",
     digits="channel",
 )

@@ -10,12 +10,14 @@ Money and rates are summed in whole cents, so the panels are the same numbers on
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.operators import baselines
+from panelloom.session import checkpointed, shared_folder
 from panelloom.spec import PanelSpec
 
 SIGNALS = ("x1", "x2", "x3")
@@ -149,6 +151,19 @@ class Tables:
     def scored(self) -> DataFrame:
         return self.cube.filter(F.col("blk") >= 0)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The cube written once to the shared folder, for work that reads it several times."""
+        return checkpointed(self.cube)
+
+    @cached_property
+    def stored_scored(self) -> DataFrame:
+        return self.stored.filter(F.col("blk") >= 0)
+
+    def scratch(self, name: str) -> str:
+        """A new place in the shared folder."""
+        return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+
 
 # ------------------------------------------------------------------ the same panels in SQL
 

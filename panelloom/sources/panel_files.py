@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from panelloom.functions import ordered
 from panelloom.functions.exprs import null_if_nan
@@ -50,31 +51,40 @@ def load_window_long(long: DataFrame, spec: PanelSpec, cut: int, nan_fill: str =
     return impute.apply_fill(rows, spec, stats, strategy=nan_fill)
 
 
-def find_files(spark: SparkSession, folder: str, exact: Sequence[str], pattern: str) -> list[str]:
-    """The first exact name present, else every file matching the pattern (listed by Spark)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path")
-    names = F.element_at(F.split("path", "/"), -1)
+def first_match(folder: str, exact: Sequence[str], pattern: str, read: Callable[[str], DataFrame]) -> DataFrame | None:
+    """The first exact name that exists, else the first file (or folder) matching the pattern."""
     for name in exact:
-        hit = [r[0] for r in files.filter(names == name).collect()]
-        if hit:
-            return hit
-    glob = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
-    found = sorted(r[0] for r in glob.collect())
-    if not found:
-        raise FileNotFoundError(f"neither {list(exact)} nor {pattern!r} in {folder}")
-    return found
+        try:
+            return read(f"{folder}/{name}")
+        except AnalysisException:
+            continue
+    try:
+        found = read(f"{folder}/{pattern}")
+    except AnalysisException:
+        return None
+    name = "/" + pattern.replace(".", "\\.").replace("*", "[^/]*") + "(?=/|$)"
+    place = F.concat(F.regexp_extract(F.input_file_name(), f"^(.*?){name}", 1), F.regexp_extract(F.input_file_name(), name, 0))
+    first = found.select(place.alias("_f")).distinct().agg(F.min("_f")).first()[0]
+    return read(first) if first else found
+
+
+# The file names looked for before any pattern.
+INDEX_NAMES = ("forecast_index_test.csv", "forecast_index_validation.csv")
+COVARIATE_NAMES = ("test_input.csv", "validation_input.csv")
 
 
 def load_forecast_index(spark: SparkSession, folder: str) -> DataFrame:
-    paths = find_files(spark, folder, ["forecast_index.csv"], "forecast_index*.csv")
-    return spark.read.schema(schema([], target=False)).csv(paths[:1], header=True)
+    """Rows that need predictions: id and timestamp, with their position in the file."""
+    cols = schema([], target=False)
+    df = first_match(folder, INDEX_NAMES, "forecast_index*.csv", lambda p: spark.read.schema(cols).csv(p, header=True))
+    if df is None:
+        raise FileNotFoundError(f"no forecast_index*.csv in {folder}")
+    return with_order(df)
 
 
-def load_covariates(spark: SparkSession, folder: str, doubles: Sequence[str]) -> DataFrame:
-    paths = find_files(spark, folder, ["validation_input.csv", "test_input.csv"], "*input*.csv")
+def load_covariates(spark: SparkSession, folder: str, doubles: Sequence[str]) -> DataFrame | None:
     cols = schema(doubles, target=False)
-    df = spark.read.schema(cols).csv(paths[:1], header=True, nanValue="NaN")
-    return df.withColumns({c: null_if_nan(F.col(c)) for c in doubles})
+    return first_match(folder, COVARIATE_NAMES, "*_input.csv", lambda p: read_raw(spark, p, cols))
 
 
 def scan_parquet(spark: SparkSession, path: str, columns: Sequence[str], key: str | None = None, ids: DataFrame | Sequence | None = None) -> DataFrame:
