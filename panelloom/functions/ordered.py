@@ -48,19 +48,22 @@ def row_index(df: DataFrame, spec: PanelSpec, name: str | None = None, by: Seque
 def over_index(
     df: DataFrame,
     spec: PanelSpec,
-    build: Callable[[WindowSpec], dict[str, Column]],
-    *,
+    *builds: Callable[[WindowSpec], dict[str, Column]],
     back: int = 0,
     ahead: int = 0,
     keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``back`` rows behind and ``ahead`` in front.
 
-    ``keys=()`` treats the frame as one single series (a system-wide series with one row per time).
+    Several ``builds`` run one after another inside the same partitions, so a later one may read
+    the columns of an earlier one. ``keys=()`` treats the frame as one single series (a system-wide series with one row per time).
     """
     keys = [spec.id] if keys is None else list(keys)
     if spec.bounded:
-        return df.withColumns(build(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(spec.index)))
+        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(spec.index)
+        for build in builds:
+            df = df.withColumns(build(w))
+        return df
     size = max(spec.chunk_rows, back, ahead)
     pos = F.pmod(F.col(spec.index), F.lit(size))
     home = F.floor(F.col(spec.index) / size)
@@ -71,7 +74,9 @@ def over_index(
         homes.append(F.when(pos < ahead, home - 1))
     spread = df.withColumn(_HOME, home).withColumn(_CHUNK, F.explode(F.array_compact(F.array(*homes))))
     w = Window.partitionBy(*keys, _CHUNK).orderBy(spec.index)
-    return spread.withColumns(build(w)).filter(F.col(_CHUNK) == F.col(_HOME)).drop(_HOME, _CHUNK)
+    for build in builds:
+        spread = spread.withColumns(build(w))
+    return spread.filter(F.col(_CHUNK) == F.col(_HOME)).drop(_HOME, _CHUNK)
 
 
 def lagged(df: DataFrame, spec: PanelSpec, lags: dict[str, tuple[Column, int]], keys=None) -> DataFrame:
@@ -84,42 +89,81 @@ def lagged(df: DataFrame, spec: PanelSpec, lags: dict[str, tuple[Column, int]],
     )
 
 
+# Wider means are read off running sums; narrower ones are added up row by row.
+WIDE_MEAN = 48
+
+
 def rolling_mean(
     df: DataFrame, spec: PanelSpec, means: dict[str, tuple[Column, int]], *, centred: bool, keys=None
 ) -> DataFrame:
-    """Rolling means with at least one row; a centred window of even width leans backward."""
+    """Rolling means with at least one row; a centred window of even width leans backward.
+
+    A sliding frame costs its width per row. From ``WIDE_MEAN`` rows on, the mean is the difference
+    of two running sums over the difference of two running counts, whatever the width.
+    """
 
     def frame(n: int) -> tuple[int, int]:
         return (n // 2, (n - 1) // 2) if centred else (n - 1, 0)
 
     reach = [frame(n) for _, n in means.values()]
-    return over_index(
-        df,
-        spec,
-        lambda w: {
-            name: F.avg(x).over(w.rowsBetween(-frame(n)[0], frame(n)[1])) for name, (x, n) in means.items()
-        },
-        back=max(b for b, _ in reach),
-        ahead=max(a for _, a in reach),
-        keys=keys,
-    )
+    span = {"back": max(b for b, _ in reach) + 1, "ahead": max(a for _, a in reach)}
+    narrow = {k: v for k, v in means.items() if v[1] < WIDE_MEAN}
+    wide = {k: v for k, v in means.items() if v[1] >= WIDE_MEAN}
+    if not wide:
+        return over_index(
+            df, spec,
+            lambda w: {n: F.avg(x).over(w.rowsBetween(-frame(k)[0], frame(k)[1])) for n, (x, k) in narrow.items()},
+            keys=keys, **span,
+        )
+
+    def running(w: WindowSpec) -> dict[str, Column]:
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        out = {n: F.avg(x).over(w.rowsBetween(-frame(k)[0], frame(k)[1])) for n, (x, k) in narrow.items()}
+        for n, (x, _) in wide.items():
+            out[f"_s_{n}"] = F.coalesce(F.sum(x).over(upto), F.lit(0.0))
+            out[f"_c_{n}"] = F.count(x).over(upto)
+        return out
+
+    def differences(w: WindowSpec) -> dict[str, Column]:
+        out = {}
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        for n, (_, k) in wide.items():
+            back, ahead = frame(k)
+
+            def part(c: str) -> Column:
+                top = F.coalesce(F.lead(c, ahead).over(w), F.last(c).over(whole)) if ahead else F.col(c)
+                return top - F.coalesce(F.lag(c, back + 1).over(w), F.lit(0))
+
+            out[n] = part(f"_s_{n}") / F.nullif(part(f"_c_{n}"), F.lit(0))
+        return out
+
+    out = over_index(df, spec, running, differences, keys=keys, **span)
+    return out.drop(*(f"{p}{n}" for n in wide for p in ("_s_", "_c_")))
 
 
 def carried(
     df: DataFrame, spec: PanelSpec, values: dict[str, Column], *, backward: bool = False, keys=None
 ) -> DataFrame:
-    """Last non-NULL value at or before each row, or with ``backward`` the next one at or after."""
+    """Last non-NULL value at or before each row, or with ``backward`` the next one at or after.
+
+    Looking ahead is looking back in descending order: a frame open to the following side would be
+    recomputed for every row.
+    """
     keys = [spec.id] if keys is None else list(keys)
-    everything = (Window.unboundedPreceding, Window.unboundedFollowing)
-    frame = (0, everything[1]) if backward else (everything[0], 0)
-    pick = F.first if backward else F.last
+
+    def way(column: str):
+        return F.col(column).desc() if backward else F.col(column).asc()
+
+    def latest(x: Column, w: WindowSpec, to: int) -> Column:
+        return F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, to))
+
     if spec.bounded:
-        w = Window.partitionBy(*keys).orderBy(spec.index).rowsBetween(*frame)
-        return df.withColumns({n: pick(x, ignorenulls=True).over(w) for n, x in values.items()})
+        w = Window.partitionBy(*keys).orderBy(way(spec.index))
+        return df.withColumns({n: latest(x, w, 0) for n, x in values.items()})
     cut = df.withColumns(
         {_CHUNK: F.floor(F.col(spec.index) / spec.chunk_rows), **{f"_v_{n}": x for n, x in values.items()}}
     )
-    w = Window.partitionBy(*keys, _CHUNK).orderBy(spec.index).rowsBetween(*frame)
+    w = Window.partitionBy(*keys, _CHUNK).orderBy(way(spec.index))
     edge = F.min_by if backward else F.max_by
     ends = cut.groupBy(*keys, _CHUNK).agg(
         *(
@@ -127,14 +171,9 @@ def carried(
             for n in values
         )
     )
-    outer = (1, everything[1]) if backward else (everything[0], -1)
-    across = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(*outer)
-    carry = ends.select(
-        *keys, _CHUNK, *(pick(F.col(f"_e_{n}"), ignorenulls=True).over(across).alias(f"_c_{n}") for n in values)
-    )
-    out = cut.withColumns({n: pick(F.col(f"_v_{n}"), ignorenulls=True).over(w) for n in values}).join(
-        carry, [*keys, _CHUNK], "left"
-    )
+    across = Window.partitionBy(*keys).orderBy(way(_CHUNK))
+    carry = ends.select(*keys, _CHUNK, *(latest(F.col(f"_e_{n}"), across, -1).alias(f"_c_{n}") for n in values))
+    out = cut.withColumns({n: latest(F.col(f"_v_{n}"), w, 0) for n in values}).join(carry, [*keys, _CHUNK], "left")
     out = out.withColumns({n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in values})
     return out.drop(_CHUNK, *(f"_v_{n}" for n in values), *(f"_c_{n}" for n in values))
 

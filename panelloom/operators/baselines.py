@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import quantiles
@@ -19,22 +19,31 @@ from panelloom.spec import PanelSpec
 _SRC = "_src"
 
 
-def _lookup(windows: DataFrame, df: DataFrame, spec: PanelSpec, name: str) -> DataFrame:
-    source = df.select(spec.id, F.col(spec.index).alias(_SRC), F.col(spec.target).alias(name))
+def _lookup(windows: DataFrame, df: DataFrame, spec: PanelSpec, name: str, positions: Column | None) -> DataFrame:
+    known = df if positions is None else df.filter(positions)
+    source = known.select(spec.id, F.col(spec.index).alias(_SRC), F.col(spec.target).alias(name))
     return windows.join(source, [spec.id, _SRC], "left").drop(_SRC)
 
 
-def last_value(windows: DataFrame, df: DataFrame, spec: PanelSpec, name: str = "naive") -> DataFrame:
-    """Last train value held flat."""
-    return _lookup(windows.withColumn(_SRC, F.col("cutoff") - 1), df, spec, name)
+def last_value(
+    windows: DataFrame, df: DataFrame, spec: PanelSpec, name: str = "naive", cutoffs: Sequence[int] | None = None
+) -> DataFrame:
+    """Last train value held flat. Known ``cutoffs`` reduce the history to those positions before the join."""
+    positions = None if cutoffs is None else F.col(spec.index).isin([int(c) - 1 for c in cutoffs])
+    return _lookup(windows.withColumn(_SRC, F.col("cutoff") - 1), df, spec, name, positions)
 
 
-def seasonal_naive(windows: DataFrame, df: DataFrame, spec: PanelSpec, season: int | None = None, name: str = "seasonal_naive") -> DataFrame:
+def seasonal_naive(
+    windows: DataFrame, df: DataFrame, spec: PanelSpec, season: int | None = None, name: str = "seasonal_naive",
+    cutoffs: Sequence[int] | None = None,
+) -> DataFrame:
     """Last full season tiled; a shorter history tiles what exists, an empty one gives 0."""
     s = spec.season if season is None else season
     period = F.least(F.lit(s).cast("long"), F.col("cutoff"))
     src = F.col("cutoff") - period + F.pmod(F.col("step") - 1, F.nullif(period, F.lit(0)))
-    out = _lookup(windows.withColumn(_SRC, src), df, spec, name)
+    i = F.col(spec.index)
+    positions = None if cutoffs is None else (i >= min(cutoffs) - s) & (i < max(cutoffs))
+    out = _lookup(windows.withColumn(_SRC, src), df, spec, name, positions)
     return out.withColumn(name, F.when(F.col("cutoff") <= 0, F.lit(0.0)).otherwise(F.col(name)))
 
 
@@ -80,8 +89,8 @@ def baseline_cube(df: DataFrame, spec: PanelSpec, cutoffs: Sequence[int], horizo
     if spec.bounded and min(cutoffs) >= spec.season:
         out = _one_pass(rows, spec, cutoffs, h)
     else:
-        out = last_value(horizons(rows, spec, cutoffs, h), df, spec)
-        out = seasonal_naive(out, df, spec)
+        out = last_value(horizons(rows, spec, cutoffs, h), df, spec, cutoffs=cutoffs)
+        out = seasonal_naive(out, df, spec, cutoffs=cutoffs)
         out = seasonal_mean(out, df, spec, cutoffs)
     return out.withColumn("blk", F.col("step") - 1 - (h - spec.score_len))
 

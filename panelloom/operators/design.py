@@ -70,15 +70,9 @@ def early_stopping_pairs(df: DataFrame, spec: PanelSpec, cut: int, horizon: int
 def origin_features(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Per panel row, what an origin there knows: ``lag_l = y[o-(l-1)]`` and trailing means."""
     y = F.col(spec.target)
-    out = ordered.over_index(
-        df.select(spec.id, spec.index, spec.target),
-        spec,
-        lambda w: {
-            **{f"lag_{n}": F.lag(y, n - 1).over(w) for n in spec.lags},
-            **{f"roll_{n}": F.avg(y).over(w.rowsBetween(-(n - 1), 0)) for n in spec.rolls},
-        },
-        back=max([*(n - 1 for n in spec.lags), *(n - 1 for n in spec.rolls)], default=0),
-    )
+    out = df.select(spec.id, spec.index, spec.target)
+    out = ordered.lagged(out, spec, {f"lag_{n}": (y, n - 1) for n in spec.lags})
+    out = ordered.rolling_mean(out, spec, {f"roll_{n}": (y, n) for n in spec.rolls}, centred=False)
     return out.withColumnRenamed(spec.index, "o").drop(spec.target)
 
 

@@ -212,38 +212,61 @@ def block_errors(df: DataFrame, spec: PanelSpec, arms: dict[str, str]) -> DataFr
     )
 
 
+# Blocks up to this count are sent to every task; beyond it the draws are joined by key.
+BROADCAST_BLOCKS = 200_000
+_MASK = 0x7FFFFFFF
+_MIX = (0x45D9F3B, 0x2C1B3C6D)
+
+
+def _mixed(x: Column) -> Column:
+    """Scramble a 31-bit integer; every product stays inside a 64-bit one."""
+    for k in _MIX:
+        x = x.bitwiseXOR(F.shiftright(x, 16))
+        x = (x * F.lit(k)).bitwiseAND(F.lit(_MASK))
+    return x.bitwiseXOR(F.shiftright(x, 15))
+
+
 def draw(seed: int, rep: Column, slot: Column, n: int) -> Column:
-    """Block number drawn for a slot of a replicate: 32 bits of a digest, modulo the block count."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), slot.cast("string")))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(n))
+    """Block number drawn for a slot of a replicate: three rounds of integer mixing, modulo ``n``."""
+    x = _mixed(F.lit((seed + 1) * 0x9E3779B1 & _MASK).cast("long").bitwiseXOR(rep))
+    x = _mixed((x * F.lit(0x1F123BB5)).bitwiseAND(F.lit(_MASK)).bitwiseXOR(slot.bitwiseAND(F.lit(_MASK))))
+    return F.pmod(_mixed(x + F.lit(1)), F.lit(n))
 
 
 def bootstrap_draws(df: DataFrame, spec: PanelSpec, candidate: str, baseline: str, *, n_boot: int = N_BOOTSTRAP, seed: int = 0) -> DataFrame:
     """Pooled WAPE difference per replicate: (rep, delta).
 
     Whole (cutoff, series) blocks are drawn with replacement, the same draw for both arms. Blocks
-    are aggregated before drawing; draws meet their block in an equi-join on a uniform key.
+    are aggregated before drawing. Draws are numbered by range, so no task holds a hot share of
+    them, and are summed per replicate before anything is shuffled.
     """
-    blocks = checkpointed(
-        ordered.global_index(block_errors(df, spec, {"ae_c": candidate, "ae_b": baseline}), ["cutoff", spec.id], "pos")
-    )
+    blocks = block_errors(df, spec, {candidate: candidate, baseline: baseline})
+    return _replicates(blocks, spec, candidate, baseline, n_boot, seed)
+
+
+def _replicates(blocks: DataFrame, spec: PanelSpec, candidate: str, baseline: str, n_boot: int, seed: int) -> DataFrame:
+    blocks = checkpointed(ordered.global_index(blocks, ["cutoff", spec.id], "pos"))
     n = blocks.count()
-    reps = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
-    slots = blocks.select(F.col("pos").alias("slot")).withColumn("rep", reps)
-    drawn = slots.withColumn("pos", draw(seed, F.col("rep"), F.col("slot"), n))
-    return drawn.join(blocks, "pos").groupBy("rep").agg(
+    spark = blocks.sparkSession
+    slots = spark.range(0, n_boot * n, 1, max(spark.sparkContext.defaultParallelism, n_boot * n // 2_000_000))
+    rep, slot = F.floor(F.col("id") / n).cast("long"), F.pmod(F.col("id"), F.lit(n))
+    drawn = slots.select(rep.alias("rep"), draw(seed, rep, slot, n).alias("pos"))
+    table = blocks.select("pos", F.col(candidate).alias("ae_c"), F.col(baseline).alias("ae_b"), "ya")
+    if n <= BROADCAST_BLOCKS:
+        table = F.broadcast(table)
+    return drawn.join(table, "pos").groupBy("rep").agg(
         (ratio(F.sum("ae_b"), F.sum("ya")) - ratio(F.sum("ae_c"), F.sum("ya"))).alias("delta")
     )
 
 
 def paired_bootstrap(df: DataFrame, spec: PanelSpec, candidate: str, baseline: str, *, n_boot: int = N_BOOTSTRAP, seed: int = 0) -> DataFrame:
     """One row: observed delta, its bootstrap deviation, 95 % interval and delta in deviations."""
-    y = F.col(spec.target)
-    seen = df.agg(
-        (M.wape(y, F.col(baseline)) - M.wape(y, F.col(candidate))).alias("delta"),
-    ).first()["delta"]
-    n = df.select("cutoff", spec.id).distinct().count()
-    draws = bootstrap_draws(df, spec, candidate, baseline, n_boot=n_boot, seed=seed)
+    blocks = checkpointed(block_errors(df, spec, {candidate: candidate, baseline: baseline}))
+    seen = blocks.agg(
+        (ratio(F.sum(baseline), F.sum("ya")) - ratio(F.sum(candidate), F.sum("ya"))).alias("delta"), F.count(F.lit(1)).alias("n")
+    ).first()
+    n, seen = seen["n"], seen["delta"]
+    draws = _replicates(blocks, spec, candidate, baseline, n_boot, seed)
     row = draws.agg(
         F.stddev_samp("delta").alias("se"),
         F.percentile("delta", F.lit(0.025)).alias("ci_low"),

@@ -15,7 +15,7 @@ from panelloom.functions.exprs import clip
 from panelloom.operators import design as D
 from panelloom.operators import origin
 from panelloom.operators.aggregates import unit_levels
-from panelloom.operators.index import take_block
+from panelloom.operators.index import select_horizon
 from panelloom.session import checkpointed
 from panelloom.spec import PanelSpec
 
@@ -179,9 +179,7 @@ def predict_gapped(df: DataFrame, spec: PanelSpec, cut: int, config: TreeConfig,
     """Fit, forecast the horizon, keep the regime's half and join the labels; every row must have one."""
     rounds = tune_rounds(df, spec, cut, config, tune)["best_iteration"] if tune else None
     member = fit_gapped(df, spec, cut, config, rounds)
-    block = take_block(
-        forecast_gapped(df, spec, member, name).withColumnRenamed("step", spec.index), spec, regime, spec.score_len
-    ).withColumnRenamed(spec.index, "step")
+    block = select_horizon(forecast_gapped(df, spec, member, name), spec, regime)
     labels = df.select(spec.id, spec.time, spec.target)
     return block.join(labels, [spec.id, spec.time], "left")
 

@@ -50,9 +50,9 @@ def forecast_native(windows: DataFrame, df: DataFrame, spec: PanelSpec, cutoffs:
     if method not in NATIVE:
         raise KeyError(f"unknown forecaster {method!r}; have {NATIVE}")
     if method == "naive":
-        out = baselines.last_value(windows, df, spec, name)
+        out = baselines.last_value(windows, df, spec, name, cutoffs)
     elif method == "seasonal_naive":
-        out = baselines.seasonal_naive(windows, df, spec, name=name)
+        out = baselines.seasonal_naive(windows, df, spec, name=name, cutoffs=cutoffs)
     else:
         out = baselines.seasonal_mean(windows, df, spec, cutoffs, name=name)
     return out.withColumn(name, F.greatest(F.lit(0.0), F.col(name)))

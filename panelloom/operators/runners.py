@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelloom.operators import baselines, impute, provenance
 from panelloom.operators.assembly import with_labels
 from panelloom.operators.evaluate import validate_prediction
-from panelloom.operators.index import BLOCKS, horizons, take_block
+from panelloom.operators.index import BLOCKS, horizons, select_horizon
 from panelloom.operators.members import TreeConfig, fit_gapped, forecast_gapped, ridge_control
 from panelloom.spec import PanelSpec
 
@@ -85,8 +85,7 @@ def run_member(name: str, ctx: Context) -> DataFrame:
         raise KeyError(f"unknown member {name!r}; registered: {available()}")
     member = REGISTRY[name]
     check(member, ctx)
-    rows = member.run(ctx).drop(ctx.spec.index).withColumnRenamed("step", ctx.spec.index)
-    block = take_block(rows, ctx.spec, ctx.regime, ctx.spec.score_len).withColumnRenamed(ctx.spec.index, "step")
+    block = select_horizon(member.run(ctx), ctx.spec, ctx.regime)
     keys = [ctx.spec.id, ctx.spec.time, "cutoff", "step"]
     return validate_prediction(with_labels(block.select(*keys, name), ctx.df, ctx.spec), ctx.spec, name)
 
@@ -125,8 +124,8 @@ def _ridge(ctx: Context) -> DataFrame:
     return ridge_control(_withheld(ctx), ctx.spec, ctx.cut, ctx.spec.full_horizon, ctx.spec.signals)
 
 
-register(Member("naive", "baseline", _baseline(lambda r, c: baselines.last_value(r, c.df, c.spec))))
-register(Member("seasonal_naive", "baseline", _baseline(lambda r, c: baselines.seasonal_naive(r, c.df, c.spec))))
+register(Member("naive", "baseline", _baseline(lambda r, c: baselines.last_value(r, c.df, c.spec, cutoffs=[c.cut]))))
+register(Member("seasonal_naive", "baseline", _baseline(lambda r, c: baselines.seasonal_naive(r, c.df, c.spec, cutoffs=[c.cut]))))
 register(Member("seasonal_mean", "baseline", _baseline(lambda r, c: baselines.seasonal_mean(r, c.df, c.spec, [c.cut]))))
 register(Member("tree", "tree", _tree("tree"), seedable=True, honours_gap_cov=True))
 register(Member("tree_unit", "tree", _tree("tree_unit", unit=True), seedable=True, honours_gap_cov=True))

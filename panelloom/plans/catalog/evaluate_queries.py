@@ -54,12 +54,26 @@ def windows_won(t: Tables):
 
 
 N_BOOT = 200
+
+
+# The same integer mixing, one step per level so that the text stays short.
+DRAWS = f"""
+d0 AS (SELECT CAST(r.rep AS BIGINT) AS rep, CAST(b.pos AS BIGINT) AS slot, b.n, xor(CAST({0x9E3779B1 & 0x7FFFFFFF} AS BIGINT), CAST(r.rep AS BIGINT)) AS x
+       FROM numbered b, (SELECT unnest(range({N_BOOT})) AS rep) r),
+d1 AS (SELECT rep, slot, n, (xor(x, x >> 16) * {0x45D9F3B}) & 2147483647 AS x FROM d0),
+d2 AS (SELECT rep, slot, n, (xor(x, x >> 16) * {0x2C1B3C6D}) & 2147483647 AS x FROM d1),
+d3 AS (SELECT rep, slot, n, xor((xor(x, x >> 15) * {0x1F123BB5}) & 2147483647, slot) AS x FROM d2),
+d4 AS (SELECT rep, n, (xor(x, x >> 16) * {0x45D9F3B}) & 2147483647 AS x FROM d3),
+d5 AS (SELECT rep, n, (xor(x, x >> 16) * {0x2C1B3C6D}) & 2147483647 AS x FROM d4),
+d6 AS (SELECT rep, n, xor(x, x >> 15) + 1 AS x FROM d5),
+d7 AS (SELECT rep, n, (xor(x, x >> 16) * {0x45D9F3B}) & 2147483647 AS x FROM d6),
+d8 AS (SELECT rep, n, (xor(x, x >> 16) * {0x2C1B3C6D}) & 2147483647 AS x FROM d7),
+draws AS (SELECT rep, xor(x, x >> 15) % n AS pos FROM d8)"""
 BOOT = f"""
 blocks AS (SELECT cutoff, unique_id, sum(abs(y)) AS ya, sum(abs(y - {SM})) AS ae_c, sum(abs(y - {SN})) AS ae_b FROM scored GROUP BY 1, 2),
 numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY substr(md5(cutoff || ':' || unique_id), 1, 3), cutoff, unique_id) - 1 AS pos,
   count(*) OVER () AS n FROM blocks),
-draws AS (SELECT r.rep, CAST('0x' || substr(md5('0:' || r.rep || ':' || b.pos), 1, 8) AS BIGINT) % b.n AS pos
-          FROM numbered b, (SELECT unnest(range({N_BOOT})) AS rep) r),
+{DRAWS.strip()},
 reps AS MATERIALIZED (SELECT rep, sum(ae_b) / sum(ya) - sum(ae_c) / sum(ya) AS delta FROM draws JOIN numbered USING (pos) GROUP BY 1)"""
 
 

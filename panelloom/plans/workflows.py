@@ -85,8 +85,8 @@ def run_panel(
     rows = index.horizons(df.select(spec.id, spec.time, spec.index), spec, [cut])
     keys = [spec.id, spec.time]
     runners: dict[str, Callable[[], DataFrame]] = {
-        "naive": lambda: baselines.last_value(rows, df, spec),
-        "seasonal_naive": lambda: baselines.seasonal_naive(rows, df, spec),
+        "naive": lambda: baselines.last_value(rows, df, spec, cutoffs=[cut]),
+        "seasonal_naive": lambda: baselines.seasonal_naive(rows, df, spec, cutoffs=[cut]),
         "seasonal_mean": lambda: baselines.seasonal_mean(rows, df, spec, [cut]),
         # The zero-shot channel is one horizon block of a block forecaster, clipped at zero.
         "channel": lambda: origin.forecast_horizon(df, spec, cut, h, "seasonal_mean", "channel")[0],
