@@ -73,9 +73,9 @@ def main() -> None:
     def arm(name: str):
         rows = index.horizons(pu.select("unique_id", "ds", "hidx", "y"), users, [cut_u])
         if name == "naive":
-            out = baselines.last_value(rows, pu, users, name)
+            out = baselines.last_value(rows, pu, users, name, [cut_u])
         elif name == "seasonal_naive":
-            out = baselines.seasonal_naive(rows, pu, users, day, name)
+            out = baselines.seasonal_naive(rows, pu, users, day, name, [cut_u])
         else:
             out = baselines.seasonal_mean(rows, pu, users, [cut_u], day, name)
         return evaluate.panel_metrics(out.filter(F.col("step") > users.score_len), users, [name]).collect()
@@ -94,7 +94,7 @@ def main() -> None:
     run("design_training", lambda: sink(design.training_design(ps, weekly, 331, stride=13, futr=["x1"], statics=["capacity"], fc_lags=(39,))))
 
     cube_path = t.scratch("cube")
-    baselines.baseline_cube(ps, weekly, CUTOFFS).write.parquet(cube_path)
+    baselines.baseline_cube(ps, weekly, CUTOFFS).repartition(int(CPUS)).write.parquet(cube_path)
     cube = spark.read.parquet(cube_path)
     scored = cube.filter("blk >= 0")
     run("metric_report", lambda: evaluate.metric_report(cube, weekly, MEMBERS).collect())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import quantiles
 from panelloom.functions.exprs import ratio
+from panelloom.session import checkpointed
 from panelloom.spec import PanelSpec
 
 # The declared seed set in draw order, and the seed used while tuning.
@@ -42,7 +43,7 @@ def unit_levels(df: DataFrame, spec: PanelSpec, cut: int) -> DataFrame:
     """(id, level): train median; a non-positive one takes the median of the others, else 1."""
     train = df.filter(F.col(spec.index) < cut)
     med = quantiles.grouped(train, [spec.id], {"_m": (spec.target, 0.5)}, bounded=spec.bounded)
-    pos = med.withColumn("_m", F.when(F.col("_m") > 0, F.col("_m")))
+    pos = checkpointed(med.withColumn("_m", F.when(F.col("_m") > 0, F.col("_m"))))
     fallback = quantiles.pooled(pos, ["_m"])["_m"]
     return pos.select(spec.id, F.coalesce(F.col("_m"), F.lit(fallback if fallback else 1.0)).alias("level"))
 

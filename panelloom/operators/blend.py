@@ -21,17 +21,20 @@ DESMOOTH_GAMMA = 1.04
 WEIGHT_TOL = 1e-6
 SHRINK_GRID = tuple(i / 10 for i in range(11))
 GAMMA_GRID = tuple(round(0.90 + 0.01 * i, 2) for i in range(31))
-# Candidate sums evaluated per aggregation.
-BATCH = 128
+# Candidate sums per aggregation: more of them would not compile to one method.
+BATCH = 48
 
 
 def grid(n: int = 101) -> list[float]:
     return [i / (n - 1) for i in range(n)]
 
 
+def weighted_text(weights: Mapping[str, float]) -> str:
+    return " + ".join(f"{float(w)!r}D * `{m}`" for m, w in weights.items())
+
+
 def weighted_sum(weights: Mapping[str, float]) -> Column:
-    # One parsed expression instead of a tree of calls: searches build hundreds of these.
-    return F.expr(" + ".join(f"{float(w)!r}D * `{m}`" for m, w in weights.items()))
+    return F.expr(weighted_text(weights))
 
 
 def convex(weights: Mapping[str, float]) -> Column:
@@ -42,19 +45,31 @@ def convex(weights: Mapping[str, float]) -> Column:
     return weighted_sum(weights)
 
 
-def scores(df: DataFrame, y: Column, candidates: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+Candidate = str | Column
+
+
+def _abs_sum(y: str, candidate: Candidate, name: str) -> Column:
+    if isinstance(candidate, str):
+        return F.expr(f"sum(abs(`{y}` - ({candidate})))").alias(name)
+    return F.sum(F.abs(F.col(y) - candidate)).alias(name)
+
+
+def scores(df: DataFrame, y: str, candidates: Mapping[str, Candidate], keys: Sequence[str]) -> DataFrame:
     """Absolute error sum of each candidate per key, with the shared denominator ``ya``."""
-    names = list(candidates)
-    parts = []
-    for i in range(0, len(names), BATCH):
-        some = names[i : i + BATCH]
-        parts.append([F.sum(F.abs(y - candidates[n])).alias(n) for n in some])
-    by = list(keys) or ["_all"]
-    rows = df if keys else df.withColumn("_all", F.lit(0))
-    out = rows.groupBy(*by).agg(F.sum(F.abs(y)).alias("ya"), *(parts[0] if parts else []))
-    for p in parts[1:]:
-        out = out.join(rows.groupBy(*by).agg(*p), by)
-    return out if keys else out.drop("_all")
+    sums = [_abs_sum(y, c, n) for n, c in candidates.items()]
+    out = df.groupBy(*keys).agg(F.sum(F.abs(y)).alias("ya"), *sums[:BATCH])
+    for i in range(BATCH, len(sums), BATCH):
+        out = out.join(df.groupBy(*keys).agg(*sums[i : i + BATCH]), list(keys))
+    return out
+
+
+def totals(df: DataFrame, y: str, candidates: Mapping[str, Candidate]) -> dict[str, float]:
+    """The same sums over all rows, read on the driver: one number per candidate and ``ya``."""
+    sums = [F.sum(F.abs(y)).alias("ya"), *(_abs_sum(y, c, n) for n, c in candidates.items())]
+    out: dict[str, float] = {}
+    for i in range(0, len(sums), BATCH):
+        out |= df.agg(*sums[i : i + BATCH]).first().asDict()
+    return out
 
 
 def _best(values: Sequence[float], names: Sequence[str]) -> Column:
@@ -64,10 +79,19 @@ def _best(values: Sequence[float], names: Sequence[str]) -> Column:
     )
 
 
+def grid_best(df: DataFrame, spec: PanelSpec, values: Sequence[float], pred) -> tuple[float, float]:
+    """The grid value with the lowest pooled error over all rows, and that error."""
+    sums = totals(df, spec.target, {f"_g{i}": pred(v) for i, v in enumerate(values)})
+    ae, j = min((sums[f"_g{i}"], i) for i in range(len(values)))
+    return float(values[j]), ae / sums["ya"]
+
+
 def grid_fit(df: DataFrame, spec: PanelSpec, values: Sequence[float], pred, keys: Sequence[str] = ()) -> DataFrame:
     """Per key: the grid value with the lowest pooled error (``pred(v)`` is the prediction at ``v``)."""
+    if not keys:
+        return df.sparkSession.createDataFrame([grid_best(df, spec, values, pred)], "value double, fit_wape double")
     names = [f"_g{i}" for i in range(len(values))]
-    table = scores(df, F.col(spec.target), {n: pred(v) for n, v in zip(names, values)}, keys)
+    table = scores(df, spec.target, {n: pred(v) for n, v in zip(names, values)}, keys)
     best = table.select(*keys, "ya", _best(values, names).alias("_b"))
     return best.select(*keys, F.col("_b.value").alias("value"), ratio(F.col("_b.ae"), F.col("ya")).alias("fit_wape"))
 
@@ -76,41 +100,41 @@ def pair(a: str, b: str):
     return lambda w: weighted_sum({a: w, b: 1.0 - w})
 
 
+def pair_text(a: str, b: str):
+    return lambda w: weighted_text({a: w, b: 1.0 - w})
+
+
 def pair_curve(df: DataFrame, spec: PanelSpec, a: str, b: str, points: int = 101) -> DataFrame:
     """WAPE at every weight of ``w*a + (1-w)*b``: (w, wape)."""
     ws = grid(points)
-    names = [f"_g{i}" for i in range(points)]
-    table = scores(df, F.col(spec.target), {n: pair(a, b)(w) for n, w in zip(names, ws)})
-    parts = F.array(*(F.struct(F.lit(w).alias("w"), ratio(F.col(n), F.col("ya")).alias("wape")) for w, n in zip(ws, names)))
-    return table.select(F.explode(parts).alias("_p")).select("_p.*")
+    sums = totals(df, spec.target, {f"_g{i}": pair_text(a, b)(w) for i, w in enumerate(ws)})
+    rows = [(w, sums[f"_g{i}"] / sums["ya"]) for i, w in enumerate(ws)]
+    return df.sparkSession.createDataFrame(rows, "w double, wape double")
 
 
 def pair_report(df: DataFrame, spec: PanelSpec, a: str, b: str, points: int = 101) -> DataFrame:
     """Weight fitted on early rows and scored on late ones, beside the oracle weight and its cost."""
-    early, late = F.col("blk") < spec.late_from, F.col("blk") >= spec.late_from
-    w = grid_fit(df.filter(early), spec, grid(points), pair(a, b)).first()["value"]
-    best = grid_fit(df.filter(late), spec, grid(points), pair(a, b)).first()
+    early, late = df.filter(F.col("blk") < spec.late_from), df.filter(F.col("blk") >= spec.late_from)
+    w, _ = grid_best(early, spec, grid(points), pair_text(a, b))
+    oracle, oracle_wape = grid_best(late, spec, grid(points), pair_text(a, b))
     y = F.col(spec.target)
-    row = df.filter(late).agg(
+    row = late.agg(
         M.wape(y, pair(a, b)(w)).alias("late_fitted"), M.wape(y, F.col(a)).alias("late_a"), M.wape(y, F.col(b)).alias("late_b")
     )
     return row.select(
-        F.lit(w).alias("weight"), F.lit(best["value"]).alias("oracle_weight"), "late_fitted",
-        F.lit(best["fit_wape"]).alias("late_oracle"), "late_a", "late_b",
-        (F.col("late_fitted") - F.lit(best["fit_wape"])).alias("selection_cost"),
+        F.lit(w).alias("weight"), F.lit(oracle).alias("oracle_weight"), "late_fitted", F.lit(oracle_wape).alias("late_oracle"),
+        "late_a", "late_b", (F.col("late_fitted") - F.lit(oracle_wape)).alias("selection_cost"),
     )
 
 
 def gap_refit(df: DataFrame, spec: PanelSpec, a: str, b: str, points: int = 101) -> DataFrame:
     """Weight fitted on the gap half of the horizon, clipped at zero, scored on the scored half."""
-    def clipped(w):
-        return clip(pair(a, b)(w), low=0.0)
+    def clipped(w: float) -> str:
+        return f"greatest(0D, {pair_text(a, b)(w)})"
 
-    best = grid_fit(df.filter(~F.col("is_scored")), spec, grid(points), clipped).first()
-    y = F.col(spec.target)
+    w, fit_wape = grid_best(df.filter(~F.col("is_scored")), spec, grid(points), clipped)
     return df.filter("is_scored").agg(
-        F.lit(best["value"]).alias("weight"), F.lit(best["fit_wape"]).alias("fit_wape"),
-        M.wape(y, clipped(best["value"])).alias("score_wape"),
+        F.lit(w).alias("weight"), F.lit(fit_wape).alias("fit_wape"), M.wape(F.col(spec.target), F.expr(clipped(w))).alias("score_wape")
     )
 
 
@@ -206,19 +230,17 @@ def combinations_of(members: Sequence[str], sizes: Sequence[int]) -> list[tuple[
 def search_grid(df: DataFrame, spec: PanelSpec, members: Sequence[str], sizes: Sequence[int] = (2, 3), parts: int = 20, keep: int = 10) -> DataFrame:
     """Every member combination: best grid weights on early rows, scored on late ones, top per size.
 
-    All candidates are sums of one aggregation over early rows and one over late rows.
+    Candidates are sums, ``BATCH`` of them per pass over the rows.
     """
     early, late = df.filter(F.col("blk") < spec.late_from), df.filter(F.col("blk") >= spec.late_from)
-    y = F.col(spec.target)
-    combos = combinations_of(members, sizes)
-    fits = [(c, simplex_grid(c, parts)) for c in combos]
-    cands = {f"_s{i}_{j}": weighted_sum(w) for i, (_, ws) in enumerate(fits) for j, w in enumerate(ws)}
-    row = scores(early, y, cands).first()
+    fits = [(c, simplex_grid(c, parts)) for c in combinations_of(members, sizes)]
+    cands = {f"_s{i}_{j}": weighted_text(w) for i, (_, ws) in enumerate(fits) for j, w in enumerate(ws)}
+    row = totals(early, spec.target, cands)
     chosen = []
     for i, (c, ws) in enumerate(fits):
         j = min(range(len(ws)), key=lambda k: (row[f"_s{i}_{k}"], k))
         chosen.append((c, ws[j]))
-    held = scores(late, y, {f"_c{i}": weighted_sum(w) for i, (_, w) in enumerate(chosen)}).first()
+    held = totals(late, spec.target, {f"_c{i}": weighted_text(w) for i, (_, w) in enumerate(chosen)})
     out = [
         ("+".join(c), len(c), [float(w[m]) for m in c], held[f"_c{i}"] / held["ya"]) for i, (c, w) in enumerate(chosen)
     ]
@@ -230,7 +252,7 @@ def search_simplex(df: DataFrame, spec: PanelSpec, members: Sequence[str], sizes
     """As ``search_grid`` with exact weights from :func:`fit_simplex`, one fit per combination."""
     early, late = df.filter(F.col("blk") < spec.late_from), df.filter(F.col("blk") >= spec.late_from)
     fits = [(c, fit_simplex(early, spec, c)) for c in combinations_of(members, sizes)]
-    held = scores(late, F.col(spec.target), {f"_c{i}": weighted_sum(w) for i, (_, w) in enumerate(fits)}).first()
+    held = totals(late, spec.target, {f"_c{i}": weighted_text(w) for i, (_, w) in enumerate(fits)})
     out = [("+".join(c), len(c), [w[m] for m in c], held[f"_c{i}"] / held["ya"]) for i, (c, w) in enumerate(fits)]
     out = [r for n in sizes for r in sorted((x for x in out if x[1] == n), key=lambda x: (x[3], x[0]))[:keep]]
     return df.sparkSession.createDataFrame(out, "members string, size long, weights array<double>, late_wape double")
@@ -261,7 +283,7 @@ def combiners(members: Sequence[str]) -> dict[str, Column]:
 
 def best_member_per_series(df: DataFrame, spec: PanelSpec, members: Sequence[str]) -> DataFrame:
     """The member with the lowest error per series, and that error: the per-series oracle."""
-    table = scores(df, F.col(spec.target), {f"_e_{m}": F.col(m) for m in members}, [spec.id])
+    table = scores(df, spec.target, {f"_e_{m}": F.col(m) for m in members}, [spec.id])
     best = F.array_min(F.array(*(F.struct(F.col(f"_e_{m}").alias("ae"), F.lit(m).alias("member")) for m in members)))
     return table.select(spec.id, best.alias("_b"), "ya").select(spec.id, "_b.member", "_b.ae", "ya")
 
@@ -282,9 +304,11 @@ def gamma_fit(df: DataFrame, spec: PanelSpec, pred: str, keys: Sequence[str] = (
         scale = g if isinstance(g, Column) else F.lit(float(g))
         return clip(F.col("_a") + scale * (F.col(pred) - F.col("_a")), low=0.0)
 
-    fit = grid_fit(rows.filter(F.col("blk") < spec.late_from), spec, values, at, keys).withColumnRenamed("value", "gamma")
-    late = rows.filter(F.col("blk") >= spec.late_from)
-    late = late.join(fit, list(keys)) if keys else late.withColumns({k: F.lit(v) for k, v in fit.first().asDict().items()})
+    early, late = rows.filter(F.col("blk") < spec.late_from), rows.filter(F.col("blk") >= spec.late_from)
+    if keys:
+        late = late.join(grid_fit(early, spec, values, at, keys).withColumnRenamed("value", "gamma"), list(keys))
+    else:
+        late = late.withColumn("gamma", F.lit(grid_best(early, spec, values, at)[0]))
     y = F.col(spec.target)
     return late.agg(
         F.min("gamma").alias("gamma_min"), F.max("gamma").alias("gamma_max"),
@@ -310,32 +334,23 @@ def structured_weights(df: DataFrame, spec: PanelSpec, a: str, b: str, group: Co
     """
     rows = df.withColumn("_grp", group)
     early, late = rows.filter(F.col("blk") < spec.late_from), rows.filter(F.col("blk") >= spec.late_from)
-    overall = grid_fit(early, spec, grid(points), pair(a, b)).first()["value"]
-    own = grid_fit(early, spec, grid(points), pair(a, b), ["_grp"]).select("_grp", F.col("value").alias("_w"))
+    overall, _ = grid_best(early, spec, grid(points), pair_text(a, b))
+    own = grid_fit(early, spec, grid(points), pair_text(a, b), ["_grp"]).select("_grp", F.col("value").alias("_w"))
     scored = late.join(own, "_grp", "left").withColumn("_w", F.coalesce("_w", F.lit(overall)))
 
     def at(lam: float) -> Column:
         w = F.lit(lam) * F.lit(overall) + F.lit(1.0 - lam) * F.col("_w")
         return w * F.col(a) + (1 - w) * F.col(b)
 
-    names = [f"_l{i}" for i in range(len(lambdas))]
-    table = scores(scored, F.col(spec.target), {n: at(x) for n, x in zip(names, lambdas)})
-    parts = F.array(*(F.struct(F.lit(float(x)).alias("shrink"), ratio(F.col(n), F.col("ya")).alias("late_wape")) for x, n in zip(lambdas, names)))
-    return table.select(F.explode(parts).alias("_p")).select("_p.*").withColumn("global_weight", F.lit(overall))
+    sums = totals(scored, spec.target, {f"_l{i}": at(x) for i, x in enumerate(lambdas)})
+    table = [(float(x), sums[f"_l{i}"] / sums["ya"], overall) for i, x in enumerate(lambdas)]
+    return df.sparkSession.createDataFrame(table, "shrink double, late_wape double, global_weight double")
 
 
 def combination_means(df: DataFrame, spec: PanelSpec, members: Sequence[str], sizes: Sequence[int]) -> DataFrame:
     """WAPE of the plain mean of every member combination, from one aggregation."""
     combos = combinations_of(members, sizes)
-    names = [f"_c{i}" for i in range(len(combos))]
-    means = {n: sum((F.col(m) for m in c), F.lit(0.0)) / F.lit(float(len(c))) for n, c in zip(names, combos)}
-    table = scores(df, F.col(spec.target), means)
-    parts = F.array(
-        *(
-            F.struct(
-                F.lit("+".join(c)).alias("members"), F.lit(len(c)).cast("long").alias("size"), ratio(F.col(n), F.col("ya")).alias("wape")
-            )
-            for n, c in zip(names, combos)
-        )
-    )
-    return table.select(F.explode(parts).alias("_p")).select("_p.*")
+    means = {f"_c{i}": weighted_text({m: 1.0 / len(c) for m in c}) for i, c in enumerate(combos)}
+    sums = totals(df, spec.target, means)
+    rows = [("+".join(c), len(c), sums[f"_c{i}"] / sums["ya"]) for i, c in enumerate(combos)]
+    return df.sparkSession.createDataFrame(rows, "members string, size long, wape double")

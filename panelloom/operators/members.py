@@ -16,7 +16,7 @@ from panelloom.operators import design as D
 from panelloom.operators import origin
 from panelloom.operators.aggregates import unit_levels
 from panelloom.operators.index import select_horizon
-from panelloom.session import checkpointed
+from panelloom.session import checkpointed, spread
 from panelloom.spec import PanelSpec
 
 # Trees take no missing value; a lag before the series start is put below every observed one.
@@ -94,7 +94,8 @@ def _fit_rows(rows: DataFrame, spec: PanelSpec, features: list[str], config: Tre
         rows, bins = categories.transform(rows), max(config.bins, n_units + 1)
     else:
         rows = assemble(rows, features)
-    rows = rows.select("features", spec.target, "weight")
+    keys = [c for c in (spec.id, spec.time, "o", "k") if c in rows.columns]
+    rows = spread(rows, *keys).select("features", spec.target, "weight")
     booster = GBTRegressor(
         featuresCol="features", labelCol=spec.target, weightCol="weight", lossType="absolute", maxIter=rounds,
         maxDepth=config.depth, stepSize=config.step, subsamplingRate=config.subsample,

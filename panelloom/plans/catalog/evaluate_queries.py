@@ -124,7 +124,7 @@ def admission(t: Tables):
 def final_bar(t: Tables):
     boot = evaluate.paired_bootstrap(t.stored_scored, t.weekly, SM, SN, n_boot=N_BOOT)
     early = t.stored_scored.filter(F.col("blk") < t.weekly.late_from)
-    weight = blend.grid_fit(early, t.weekly, blend.grid(101), blend.pair(SM, SN)).first()["value"]
+    weight, _ = blend.grid_best(early, t.weekly, blend.grid(101), blend.pair_text(SM, SN))
     return evaluate.final_bar(boot, evaluate.windows_won(t.stored_scored, t.weekly, SM, SN), weight, 1)
 
 
@@ -164,7 +164,7 @@ CURVE = f"SELECT i, sum(abs(y - (i / 1e2 * {SN} + (1 - i / 1e2) * {SM}))) / sum(
 
 @query("G1_pair_curve", "cube", f"SELECT i / 1e2 AS w, wape FROM ({CURVE} WHERE blk < 9 GROUP BY i)", digits="w wape")
 def pair_curve(t: Tables):
-    return blend.pair_curve(t.scored.filter(F.col("blk") < t.weekly.late_from), t.weekly, SN, SM)
+    return blend.pair_curve(t.stored_scored.filter(F.col("blk") < t.weekly.late_from), t.weekly, SN, SM)
 
 
 @query(

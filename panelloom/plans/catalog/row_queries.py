@@ -527,7 +527,7 @@ def top_units(t: Tables):
 def grid_argmin(t: Tables):
     from panelloom.operators import blend
 
-    return blend.grid_fit(t.scored, t.weekly, blend.grid(101), blend.pair("seasonal_naive", "seasonal_mean"))
+    return blend.grid_fit(t.stored_scored, t.weekly, blend.grid(101), blend.pair_text("seasonal_naive", "seasonal_mean"))
 
 
 @query(

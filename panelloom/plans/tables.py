@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.operators import baselines
-from panelloom.session import checkpointed, shared_folder
+from panelloom.session import checkpointed, shared_folder, spread
 from panelloom.spec import PanelSpec
 
 SIGNALS = ("x1", "x2", "x3")
@@ -77,7 +77,7 @@ class Tables:
         supplier = self.read("supplier").join(zones, "s_nationkey").select(
             "s_suppkey", F.greatest("s_acctbal", F.lit(1.0)).alias("capacity"), F.col("zone").cast("long").alias("zone")
         )
-        cells = supplier.withColumn("hidx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+        cells = spread(supplier, "s_suppkey").withColumn("hidx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
         rows = cells.join(shipped.withColumnRenamed("l_suppkey", "s_suppkey"), ["s_suppkey", "hidx"], "left")
         return rows.select(
             F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("unique_id"),
@@ -112,7 +112,7 @@ class Tables:
         at = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(lo)) / 3600)
         events = self.read("events")
         seen = events.groupBy(key, at.alias("hidx")).agg(*(x.alias(c) for c, x in aggs.items()))
-        cells = facts.withColumn("hidx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+        cells = spread(facts, key).withColumn("hidx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
         stamp = F.timestamp_seconds(F.lit(lo) + F.col("hidx") * 3600)
         return cells.join(seen, [key, "hidx"], "left").withColumn("ds", stamp)
 

@@ -21,6 +21,15 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash ``df`` over the session's shuffle partitions, a count that is kept as it is.
+
+    For small rows that are about to grow (a calendar unrolled per key) or be read many times (rows a
+    model is fitted on): their size before that says nothing about how many tasks they need.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
