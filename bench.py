@@ -63,8 +63,8 @@ def main() -> None:
 
     spark.range(1000).selectExpr("sum(id)").collect()
     place = {n: t.scratch(n) for n in ("panel_u", "panel_s")}
-    run("build_panel_u", lambda: t.panel_u.write.mode("overwrite").parquet(place["panel_u"]))
-    run("build_panel_s", lambda: t.panel_s.write.mode("overwrite").parquet(place["panel_s"]))
+    run("build_panel_u", lambda: t.panel_u.repartition(int(CPUS), "unique_id").write.mode("overwrite").parquet(place["panel_u"]))
+    run("build_panel_s", lambda: t.panel_s.repartition(int(CPUS), "unique_id").write.mode("overwrite").parquet(place["panel_s"]))
     pu, ps = spark.read.parquet(place["panel_u"]), spark.read.parquet(place["panel_s"])
     users, weekly = t.users, t.weekly
     n_rows = {"panel_u": pu.count(), "panel_s": ps.count()}

@@ -214,30 +214,12 @@ def block_errors(df: DataFrame, spec: PanelSpec, arms: dict[str, str]) -> DataFr
 
 # Blocks up to this count are sent to every task; beyond it the draws are joined by key.
 BROADCAST_BLOCKS = 200_000
-_MASK = 0x7FFFFFFF
-_MIX = (0x45D9F3B, 0x2C1B3C6D)
 
 
-def _mixed(rows: DataFrame, c: str) -> DataFrame:
-    """Scramble a 31-bit integer column; every product stays inside a 64-bit one.
-
-    One projection per step: each step uses its input twice, and nested in one expression the
-    text would double every time.
-    """
-    x = F.col(c)
-    for k in _MIX:
-        rows = rows.withColumn(c, (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(k)).bitwiseAND(F.lit(_MASK)))
-    return rows.withColumn(c, x.bitwiseXOR(F.shiftright(x, 15)))
-
-
-def draw(rows: DataFrame, seed: int, n: int, name: str = "pos") -> DataFrame:
-    """Block number drawn for each (rep, slot): three rounds of integer mixing, modulo ``n``."""
-    x = F.col(name)
-    out = rows.withColumn(name, F.lit((seed + 1) * 0x9E3779B1 & _MASK).cast("long").bitwiseXOR(F.col("rep")))
-    out = _mixed(out, name)
-    out = out.withColumn(name, (x * F.lit(0x1F123BB5)).bitwiseAND(F.lit(_MASK)).bitwiseXOR(F.col("slot").bitwiseAND(F.lit(_MASK))))
-    out = _mixed(out, name).withColumn(name, x + F.lit(1))
-    return _mixed(out, name).withColumn(name, F.pmod(x, F.lit(n)))
+def draw(seed: int, rep: Column, slot: Column, n: int) -> Column:
+    """Block number drawn for a slot of a replicate: 32 bits of a digest, modulo the block count."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), slot.cast("string")))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(n))
 
 
 def bootstrap_draws(df: DataFrame, spec: PanelSpec, candidate: str, baseline: str, *, n_boot: int = N_BOOTSTRAP, seed: int = 0) -> DataFrame:
@@ -257,7 +239,7 @@ def _replicates(blocks: DataFrame, spec: PanelSpec, candidate: str, baseline: st
     spark = blocks.sparkSession
     slots = spark.range(0, n_boot * n, 1, max(spark.sparkContext.defaultParallelism, n_boot * n // 2_000_000))
     slots = slots.select(F.expr(f"id div {n}").alias("rep"), F.pmod(F.col("id"), F.lit(n)).alias("slot"))
-    drawn = draw(slots, seed, n).select("rep", "pos")
+    drawn = slots.select("rep", draw(seed, F.col("rep"), F.col("slot"), n).alias("pos"))
     table = blocks.select("pos", F.col(candidate).alias("ae_c"), F.col(baseline).alias("ae_b"), "ya")
     if n <= BROADCAST_BLOCKS:
         table = F.broadcast(table)
