@@ -95,7 +95,8 @@ def _fit_rows(rows: DataFrame, spec: PanelSpec, features: list[str], config: Tre
     else:
         rows = assemble(rows, features)
     keys = [c for c in (spec.id, spec.time, "o", "k") if c in rows.columns]
-    rows = spread(rows, *keys).select("features", spec.target, "weight")
+    # Row sampling depends on row order: the same rows in the same order give the same trees again.
+    rows = spread(rows, *keys).sortWithinPartitions(*keys).select("features", spec.target, "weight")
     booster = GBTRegressor(
         featuresCol="features", labelCol=spec.target, weightCol="weight", lossType="absolute", maxIter=rounds,
         maxDepth=config.depth, stepSize=config.step, subsamplingRate=config.subsample,
