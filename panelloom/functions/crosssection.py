@@ -1,8 +1,9 @@
 """Statistics across series at one position, without gathering a timestamp's series into one task.
 
-Every statistic is a partially aggregated ``groupBy`` on the position, joined back. The aggregated
-side has one row per position (times zones); no join hint is given, so Spark broadcasts it when its
-measured size allows and falls back to a shuffled join otherwise.
+Every statistic is a partially aggregated ``groupBy`` on the position, joined back. One row per
+position is at most ``spec.chunk_rows`` rows when the calendar is known to be that short: then the
+table is sent to every task and the panel itself is not shuffled. Without that bound, or with one row
+per position and zone, the join is left to the measured size.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ def system(df: DataFrame, spec: PanelSpec, aggs: dict[str, Column], by: Sequence
 
 
 def attach(df: DataFrame, table: DataFrame, spec: PanelSpec, by: Sequence[str] = ()) -> DataFrame:
+    if spec.bounded and not by:
+        table = F.broadcast(table)
     return df.join(table, [spec.index, *by], "left")
 
 

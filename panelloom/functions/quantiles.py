@@ -22,9 +22,13 @@ POOL_LIMIT = 2_000_000
 
 
 def grouped(
-    df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], *, bounded: bool
+    df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], *, bounded: bool, few_keys: bool = False
 ) -> DataFrame:
-    """One row per key with ``name = quantile p of column`` (linear interpolation, NULLs skipped)."""
+    """One row per key with ``name = quantile p of column`` (linear interpolation, NULLs skipped).
+
+    ``bounded`` promises small groups; ``few_keys`` promises a bounded number of groups, so that their
+    brackets can be sent to every task instead of shuffling the rows to them.
+    """
     if bounded:
         return df.groupBy(*keys).agg(
             *(F.percentile(F.col(c), F.lit(p)).alias(n) for n, (c, p) in wanted.items())
@@ -36,14 +40,14 @@ def grouped(
     ).select(*keys, F.col("_e.c").alias("_c"), F.col("_e.v").alias("_v"))
     long = long.filter(F.col("_v").isNotNull())
     probs = sorted({p for _, p in wanted.values()})
-    picked = _bracketed(long, [*keys, "_c"], probs)
+    picked = _bracketed(long, [*keys, "_c"], probs, few_keys)
     at = {p: i for i, p in enumerate(probs)}
     return picked.groupBy(*keys).agg(
         *(F.max(F.when(F.col("_c") == c, F.col(f"_q{at[p]}"))).alias(n) for n, (c, p) in wanted.items())
     )
 
 
-def _bracketed(long: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+def _bracketed(long: DataFrame, keys: list[str], probs: list[float], few_keys: bool) -> DataFrame:
     edges = [min(1.0, max(0.0, p + s * MARGIN)) for p in probs for s in (-1, 1)]
     sketch = long.groupBy(*keys).agg(
         F.count("_v").alias("_n"),
@@ -62,6 +66,8 @@ def _bracketed(long: DataFrame, keys: list[str], probs: list[float]) -> DataFram
             for j in range(len(edges))
         ),
     )
+    if few_keys:
+        brackets = F.broadcast(brackets)
     inside = F.lit(False)
     for i in range(len(probs)):
         inside = inside | F.col("_v").between(F.col(f"_b{2 * i}"), F.col(f"_b{2 * i + 1}"))
@@ -107,11 +113,13 @@ def pooled(df: DataFrame, cols: Sequence[str], prob: float = 0.5) -> dict[str, f
 
 def pooled_by_bracket(df: DataFrame, cols: Sequence[str], prob: float) -> dict[str, float | None]:
     wanted = {c: (c, prob) for c in cols}
-    rows = grouped(df.withColumn("_all", F.lit(1)), ["_all"], wanted, bounded=False).collect()
+    rows = grouped(df.withColumn("_all", F.lit(1)), ["_all"], wanted, bounded=False, few_keys=True).collect()
     return {c: (rows[0][c] if rows else None) for c in cols}
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, *, pct: bool = True) -> DataFrame:
+def average_rank(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, *, pct: bool = True, few_keys: bool = False
+) -> DataFrame:
     """Rank of ``value`` within its group, ties averaged, over the non-NULL count when ``pct``.
 
     Tied rows are first collapsed to one row per value, the values are cut into bins at sketched
@@ -124,7 +132,7 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, *, p
     splits = known.groupBy(*keys).agg(
         F.percentile_approx(value, marks, 1_000).alias("_s"), F.count(F.lit(1)).alias("_n")
     )
-    binned = tally.join(splits, keys).withColumn("_bin", F.size(F.filter("_s", lambda s: s < F.col("_v"))))
+    binned = tally.join(F.broadcast(splits) if few_keys else splits, keys).withColumn("_bin", F.size(F.filter("_s", lambda s: s < F.col("_v"))))
     sizes = binned.groupBy(*keys, "_bin").agg(F.sum("_m").alias("_w"))
     below = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_bin", F.coalesce(F.sum("_w").over(below), F.lit(0)).alias("_base"))

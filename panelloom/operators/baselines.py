@@ -75,8 +75,8 @@ def seasonal_mean(
     if cuts[0] >= s:
         return out
     train = df.withColumn("cutoff", F.explode(F.filter(marks, lambda c: c > i)))
-    middle = quantiles.grouped(train, ["cutoff"], {"_mid": (spec.target, 0.5)}, bounded=False)
-    return out.join(middle, "cutoff", "left").withColumn(name, F.coalesce(F.col(name), F.col("_mid"))).drop("_mid")
+    middle = quantiles.grouped(train, ["cutoff"], {"_mid": (spec.target, 0.5)}, bounded=False, few_keys=True)
+    return out.join(F.broadcast(middle), "cutoff", "left").withColumn(name, F.coalesce(F.col(name), F.col("_mid"))).drop("_mid")
 
 
 def baseline_cube(df: DataFrame, spec: PanelSpec, cutoffs: Sequence[int], horizon: int | None = None) -> DataFrame:

@@ -74,7 +74,7 @@ def shares_and_ranks(df: DataFrame, spec: PanelSpec, cols: Sequence[str]) -> Bui
         {f"xs_share_{c}": F.when(F.abs(f"_t_{c}") >= 1e-9, F.col(c) / F.col(f"_t_{c}")) for c in cols}
     ).drop(*(f"_t_{c}" for c in cols))
     for c in cols:
-        out = quantiles.average_rank(out, [spec.index], c, f"xs_rank_{c}")
+        out = quantiles.average_rank(out, [spec.index], c, f"xs_rank_{c}", few_keys=spec.bounded)
     return out, [n for c in cols for n in (f"xs_share_{c}", f"xs_rank_{c}")]
 
 
@@ -82,7 +82,7 @@ def dispersion(df: DataFrame, spec: PanelSpec, cols: Sequence[str]) -> Built:
     """Sample standard deviation and the 10-90 % range across series."""
     std = xs.system(df, spec, {f"xs_std_{c}": F.stddev_samp(c) for c in cols})
     wanted = {f"{t}_{c}": (c, p) for c in cols for t, p in (("_hi", 0.9), ("_lo", 0.1))}
-    rng = quantiles.grouped(df, [spec.index], wanted, bounded=False)
+    rng = quantiles.grouped(df, [spec.index], wanted, bounded=False, few_keys=spec.bounded)
     rng = rng.select(spec.index, *((F.col(f"_hi_{c}") - F.col(f"_lo_{c}")).alias(f"xs_rng_{c}") for c in cols))
     out = xs.attach(df, std.join(rng, spec.index, "left"), spec)
     return out, [n for c in cols for n in (f"xs_std_{c}", f"xs_rng_{c}")]
@@ -159,7 +159,9 @@ def system_leads_lags(df: DataFrame, spec: PanelSpec, cols: Sequence[str], shift
 
 
 def series_vectors(df: DataFrame, spec: PanelSpec, value: Column) -> DataFrame:
-    """One row per series with its values in time order; a series holds one value per timestamp."""
+    """One row per series with its values in time order; refused without a bound on their number."""
+    if not spec.bounded:
+        raise ValueError("a series becomes one vector: state its length in the spec, within chunk_rows")
     pairs = F.array_sort(F.collect_list(F.struct(F.col(spec.index).alias("i"), value.alias("v"))))
     return df.groupBy(spec.id).agg(F.transform(pairs, lambda p: p["v"]).alias("values"))
 
@@ -208,7 +210,7 @@ def channel_consensus(df: DataFrame, spec: PanelSpec, channel: str, tag: str = "
     """System mean, zone mean and percentile rank of a stored forecast channel."""
     out, _ = _system_and_zone(df.withColumn(tag, F.col(channel)), spec, [tag], "xs")
     out = out.drop(tag)
-    out = quantiles.average_rank(out, [spec.index], channel, f"xs_rank_{tag}")
+    out = quantiles.average_rank(out, [spec.index], channel, f"xs_rank_{tag}", few_keys=spec.bounded)
     return out, [f"xs_sys_{tag}", f"xs_zone_{tag}", f"xs_rank_{tag}"]
 
 

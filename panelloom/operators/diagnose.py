@@ -228,7 +228,7 @@ def residual_checklist(df: DataFrame, spec: PanelSpec, member: str, lags: Sequen
     block = [spec.id, "cutoff"]
     rows = df.withColumn("_e", F.col(spec.target) - F.col(member))
     bands = quantiles.grouped(
-        rows.withColumn("_band", F.floor(F.col("blk") / band)), ["_band"], {"value": ("_e", 0.5)}, bounded=False
+        rows.withColumn("_band", F.floor(F.col("blk") / band)), ["_band"], {"value": ("_e", 0.5)}, bounded=False, few_keys=True
     ).select(F.lit("median_by_band").alias("check"), F.col("_band").cast("string").alias("key"), "value")
     inner = spec.with_(series_len=spec.full_horizon)
     e = ordered.lagged(rows.withColumn(spec.index, F.col("step")), inner, {f"_l{n}": (F.col("_e"), n) for n in lags}, keys=block)

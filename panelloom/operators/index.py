@@ -37,12 +37,14 @@ def horizons(df: DataFrame, spec: PanelSpec, cutoffs: Sequence[int], horizon: in
     """All windows at once: one row per (cutoff, series, position) with ``step`` counted from 1."""
     h = spec.full_horizon if horizon is None else horizon
     i = F.col(spec.index)
-    cuts = F.array(*(F.lit(int(c)).cast("long") for c in cutoffs))
     # The outer bounds reach the scan; only rows inside some window are tested against each of them.
     df = df.filter((i >= min(cutoffs)) & (i < max(cutoffs) + h))
-    return df.withColumn("cutoff", F.explode(F.filter(cuts, lambda c: (i >= c) & (i < c + h)))).withColumn(
-        "step", (i - F.col("cutoff") + 1).cast("long")
-    )
+    if len(cutoffs) == 1:
+        out = df.withColumn("cutoff", F.lit(int(cutoffs[0])).cast("long"))
+    else:
+        cuts = F.array(*(F.lit(int(c)).cast("long") for c in cutoffs))
+        out = df.withColumn("cutoff", F.explode(F.filter(cuts, lambda c: (i >= c) & (i < c + h))))
+    return out.withColumn("step", (i - F.col("cutoff") + 1).cast("long"))
 
 
 def take_block(df: DataFrame, spec: PanelSpec, regime: str = "far", length: int | None = None, by: Sequence[str] = ()) -> DataFrame:
