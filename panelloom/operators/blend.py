@@ -17,6 +17,7 @@ from panelloom.functions.exprs import clip, ratio
 from panelloom.operators.index import bag_columns
 from panelloom.spec import PanelSpec
 
+# Fixed value: stretch of a blend around its own mean.
 DESMOOTH_GAMMA = 1.04
 WEIGHT_TOL = 1e-6
 SHRINK_GRID = tuple(i / 10 for i in range(11))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.exprs import hours_between, wave
 
+# Agreement asked of supplied rows before a formula is used on absent ones.
 PERIODIC_TOL = 1e-9
 TREND_TOL = 1e-6
 

@@ -17,6 +17,7 @@ from panelloom.operators.index import select_regime
 from panelloom.session import checkpointed
 from panelloom.spec import PanelSpec
 
+# Fixed values of the admission rules.
 ERR_CORR_THRESHOLD = 0.95
 MIN_WINDOW_FRACTION = 2 / 3
 N_BOOTSTRAP = 4_000

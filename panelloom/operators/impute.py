@@ -20,6 +20,8 @@ from panelloom.spec import PanelSpec
 
 MISSING = "_missing"
 GAP, SCATTERED = "gap", "scattered"
+# Fixed values of the fill rules: observations per bin, rows of the recent level, hours per week,
+# half-life of the decay in hours, bounds of the level ratio.
 EXACT_MIN_OBS = 3
 RECENT_ROWS = 168
 WEEK_HOURS = 168

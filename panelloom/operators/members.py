@@ -236,6 +236,7 @@ def from_residual_target(preds: DataFrame, frame: DataFrame, spec: PanelSpec, ch
     return out.withColumn(pred, F.col(pred) + F.col("_c")).drop("_c")
 
 
+# Shrink factors tried for a residual correction.
 STACK_GRID = (0.0, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0)
 
 

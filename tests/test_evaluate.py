@@ -144,7 +144,7 @@ def test_blend_guards(cube):
     with pytest.raises(ValueError):
         blend.choose_rung(["q"], rungs)
     with pytest.raises(ValueError):
-        blend.seed_bag(df, "tft", "bag")
+        blend.seed_bag(df, "net", "bag")
 
 
 @pytest.mark.parametrize("gamma", [0.9, 1.0, 1.04])

@@ -89,7 +89,7 @@ def test_synthetic_panel_has_its_declared_structure(shop):
 
 
 @pytest.mark.parametrize("n", [3, 17, 40, 100])
-def test_quota_matches_the_reference_rule(spark, n):
+def test_quota_is_proportional_by_largest_remainder(spark, n):
     sizes = {("a", "x"): 23, ("a", "y"): 5, ("b", "x"): 11, ("b", "y"): 1}
     rows = [(f"{d}{s}{i}", d, s) for (d, s), k in sizes.items() for i in range(k)]
     statics = spark.createDataFrame(rows, "unique_id string, dept_id string, store_id string")
