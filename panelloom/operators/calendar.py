@@ -34,8 +34,8 @@ def periodic_gap(df: DataFrame, time: str) -> DataFrame:
     )
 
 
-def verify_periodic(reference: DataFrame, time: str, tol: float = PERIODIC_TOL) -> None:
-    row = periodic_gap(reference, time).first().asDict()
+def verify_periodic(supplied: DataFrame, time: str, tol: float = PERIODIC_TOL) -> None:
+    row = periodic_gap(supplied, time).first().asDict()
     if not row.pop("n_rows"):
         raise ValueError("no supplied rows to verify the calendar encodings against")
     bad = {n: d for n, d in row.items() if d is not None and d > tol}
@@ -43,9 +43,9 @@ def verify_periodic(reference: DataFrame, time: str, tol: float = PERIODIC_TOL)
         raise ValueError(f"calendar encodings differ from the closed form on supplied rows: {bad}")
 
 
-def complete_periodic(df: DataFrame, time: str, reference: DataFrame | None = None) -> DataFrame:
+def complete_periodic(df: DataFrame, time: str, supplied: DataFrame | None = None) -> DataFrame:
     """Fill absent encodings from the timestamp; a supplied value is kept."""
-    verify_periodic(df if reference is None else reference, time)
+    verify_periodic(df if supplied is None else supplied, time)
     want = periodic_encodings(F.col(time))
     return df.withColumns({n: F.coalesce(F.col(n), x) if n in df.columns else x for n, x in want.items()})
 
@@ -79,9 +79,9 @@ def fit_trend(df: DataFrame, time: str, trend: str = "trend", tol: float = TREND
     return fit
 
 
-def complete_trend(df: DataFrame, time: str, reference: DataFrame | None = None, trend: str = "trend") -> DataFrame:
+def complete_trend(df: DataFrame, time: str, supplied: DataFrame | None = None, trend: str = "trend") -> DataFrame:
     """Extrapolate the line the observed rows imply; supplied values are kept."""
-    source = reference if reference is not None and trend in reference.columns else df
+    source = supplied if supplied is not None and trend in supplied.columns else df
     line = fit_trend(source, time, trend)
     value = line.at(F.col(time))
     return df.withColumn(trend, F.coalesce(F.col(trend), value) if trend in df.columns else value)

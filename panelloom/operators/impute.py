@@ -438,9 +438,9 @@ def build_future(
     supplied = [c for c in covariates.columns if c not in keys]
     out = wanted.join(covariates.select(*keys, *supplied), keys, "left")
     out = out.withColumn("_absent", F.coalesce(*(F.col(c).cast("string") for c in supplied)).isNull())
-    out = calendar.complete_periodic(out, spec.time, reference=covariates)
+    out = calendar.complete_periodic(out, spec.time, supplied=covariates)
     if "trend" in covariates.columns:
-        out = calendar.complete_trend(out, spec.time, reference=covariates)
+        out = calendar.complete_trend(out, spec.time, supplied=covariates)
     out = out.withColumns({c: F.lit(None).cast("double") for c in signals if c not in out.columns})
     out = reconstruct_block(out, covariates, spec, signals, F.col("_absent"), strategy=gap_strategy)
     out = apply_fill(out, spec, stats, flagged, strategy=nan_strategy)
