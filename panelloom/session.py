@@ -21,13 +21,21 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+UNTUNED_PARTITIONS = 200
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash ``df`` over the session's shuffle partitions, a count that is kept as it is.
 
     For small rows that are about to grow (a calendar unrolled per key) or be read many times (rows a
-    model is fitted on): their size before that says nothing about how many tasks they need.
+    model is fitted on): their size before that says nothing about how many tasks they need. A
+    session that keeps Spark's default count gets three tasks per core instead.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts == UNTUNED_PARTITIONS:
+        parts = 3 * spark.sparkContext.defaultParallelism
+    return df.repartition(parts, *cols)
 
 
 def shared_folder(spark: SparkSession) -> str:
