@@ -10,10 +10,12 @@ import math
 import operator
 import string
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,4 +198,57 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
-Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+# ------------------------------------------------------------------ texts in tasks
+
+
+def text_pieces(batch: pa.RecordBatch, text: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``most`` bytes of text, so that memory does not follow the batch."""
+    size = np.cumsum(_lengths(batch.column(text)))
+    start = 0
+    while start < batch.num_rows:
+        done = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, done + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def _lengths(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def lower_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, A-Z in lower case, and where each text's words start (one more entry than texts)."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    lists = pc.ascii_split_whitespace(bare)
+    counts = np.where(_lengths(bare) == 0, 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    flat = pc.list_flatten(lists)
+    if len(flat) != counts.sum():
+        flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+    return flat, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def word_hashes(flat: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word, computed once per distinct word."""
+    coded = flat.dictionary_encode()
+    own = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in coded.dictionary), np.uint64, len(coded.dictionary))
+    return own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.empty(0, np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit numbers (the finaliser of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(words_: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of the ``width`` words from each word on."""
+    n = len(words_) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for i in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words_[i : i + n]
+    return mixed(out)
