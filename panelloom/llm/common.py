@@ -232,7 +232,7 @@ def lower_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def word_hashes(flat: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word, computed once per distinct word."""
     coded = flat.dictionary_encode()
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in coded.dictionary), np.uint64, len(coded.dictionary))
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     return own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.empty(0, np.uint64)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelloom.llm import embeddings, mixing, passages, quality, sharding, simhash
+from panelloom.llm import embeddings, mixing, passages, quality, scoring, sharding, simhash
 from panelloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def substring_dedup(spark, folder):
     return passages.repeated_passages(table(spark, folder, "documents"))
 
 
+@query("op2_lm_scoring")
+def lm_scoring(spark, folder):
+    return scoring.score_documents(table(spark, folder, "documents"))
+
+
 @query("op3_source_mixing")
 def source_mixing(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source")
