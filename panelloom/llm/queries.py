@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelloom.llm import embeddings, mixing, passages, quality, scoring, sharding, simhash
+from panelloom.llm import embeddings, mixing, passages, pieces, quality, scoring, sharding, simhash
 from panelloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def embedding_dedup(spark, folder):
     return embeddings.near_vectors(table(spark, folder, "embeddings"))
 
 
+@query("op5_sentencepiece")
+def sentencepiece(spark, folder):
+    return pieces.encode(table(spark, folder, "documents"))
+
+
 @query("op8_simhash_dedup")
 def simhash_dedup(spark, folder):
     return simhash.simhash_components(table(spark, folder, "documents"))
