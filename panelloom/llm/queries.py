@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelloom.llm import embeddings, mixing, passages, pieces, quality, scoring, sharding, simhash
+from panelloom.llm import embeddings, licenses, mixing, passages, pieces, quality, scoring, sharding, simhash, toolcalls
 from panelloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,16 @@ def sentencepiece(spark, folder):
     return pieces.encode(table(spark, folder, "documents"))
 
 
+@query("op6_license_scan")
+def license_scan(spark, folder):
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+@query("op7_tool_calls")
+def tool_calls(spark, folder):
+    return toolcalls.link_conversations(table(spark, folder, "conversations"))
+
+
 @query("op8_simhash_dedup")
 def simhash_dedup(spark, folder):
     return simhash.simhash_components(table(spark, folder, "documents"))
