@@ -1,32 +1,57 @@
-"""A training-corpus pipeline over ``documents``: each stage works on all its predecessor kept."""
+"""A training-corpus pipeline over ``documents``: each stage works on all its predecessor kept.
+
+Rows without ``doc_id`` cannot be named: no stage but the quality rules removes or changes them. A
+document of which nothing is left after the passages are cut stays, with an empty text.
+"""
 
 from __future__ import annotations
 
-from panelloom.llm import mixing, quality, simhash
+from pyspark.sql import functions as F
+
+from panelloom.llm import mixing, passages, pieces, quality, simhash
 from panelloom.llm.common import kept_table, table
 
+#: SimHash links, shingle chains and sampled segmentations are no SQL; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that the quality rules reject go."""
-    judged = quality.judge_documents(docs, table(spark, sf_dir, "labels"))
-    return docs.join(judged.filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return quality.passing_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_dedup(spark, docs, sf_dir):
-    """One document of each group of near copies stays: the one that names it."""
+    """One document of each group of near copies stays: the one with the smallest id. Rows that share its id stay with it."""
     groups = simhash.simhash_components(docs)
-    return docs.join(groups.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    firsts = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(gone.join(firsts, "doc_id", "left_anti"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark, docs, sf_dir):
+    """Passages of 50 words or more that an earlier document holds are cut out; ``n_chars`` follows."""
+    cut = passages.without_repeats(docs, passages.repeated_passages(docs))
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def source_mixing(spark, docs, sf_dir):
-    """The documents in the order of a mixture of their sources."""
-    mixed = mixing.mix(docs.select("doc_id", "source"), "source", ["doc_id"]).select("doc_id", "position")
-    return docs.join(mixed, "doc_id").orderBy("position").select(*docs.columns)
+    """All documents, in the order of a mixture of their sources."""
+    packed = docs.select(F.struct(*docs.columns).alias("packed"), "source", "doc_id")
+    return mixing.mix(packed, "source", ["doc_id"]).orderBy("position").select("packed.*")
+
+
+def sentencepiece(spark, docs, sf_dir):
+    """Two sampled segmentations of each text."""
+    return pieces.encode(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("simhash_dedup", simhash_dedup), ("source_mixing", source_mixing)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_dedup", simhash_dedup),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("sentencepiece", sentencepiece),
+]
 
 
 def run(spark, sf_dir):

@@ -5,9 +5,7 @@ Words are maximal runs of anything but space and the five ASCII controls from ta
 
 from __future__ import annotations
 
-import functools
 import math
-import operator
 import string
 import uuid
 from collections.abc import Iterator, Sequence
@@ -61,7 +59,7 @@ def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out
 
     Rows are dealt by the leading bits of the hash. Each bucket is numbered on its own, on top of the
     sum of the buckets before it. The bits follow the size of the input, the numbers do not depend
-    on them. ``weight`` counts a row as so many. Group columns are compared with null equal to null.
+    on them. ``weight`` counts a row as so many. Group columns must not be null.
     """
     h, b, base, before = (free_name(df, n) for n in ("_hash", "_bucket", "_base", "_before"))
     df = df.withColumn(h, F.xxhash64(*order))
@@ -73,10 +71,8 @@ def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out
     numbered = df.withColumn(before, F.sum(n).over(inside) - n)
     ahead = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy(*keys).agg(F.sum(n).alias(base)).withColumn(base, F.coalesce(F.sum(base).over(ahead), F.lit(0)))
-    right = sums.select(*[F.col(c).alias(f"{c}__") for c in keys], base)
-    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in keys])
-    joined = numbered.join(right, same, "left")
-    return joined.withColumn(out, (F.col(base) + F.col(before)).cast("long")).drop(h, b, base, before, *[f"{c}__" for c in keys])
+    joined = numbered.join(sums, keys, "left")
+    return joined.withColumn(out, (F.col(base) + F.col(before)).cast("long")).drop(h, b, base, before)
 
 
 # ------------------------------------------------------------------ hot keys and runs of equal keys

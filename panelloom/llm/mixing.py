@@ -104,13 +104,14 @@ def mix(df: DataFrame, source: str, order: list[str], weights: DataFrame | None
     """
     spark = df.sparkSession
     key = free_name(df, "_source")
-    named = df.withColumn(key, F.col(source).cast("string"))
+    unnull = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))  # noqa: E731  a null source is a key too
+    named = df.withColumn(key, unnull(F.col(source)))
     sizes = named.groupBy(key).agg(F.count("*").alias("n"))
     weighed = sizes.withColumn("w", F.sqrt(F.col("n").cast("double")))
     if weights is not None:
-        given = weights.select(F.col("source").cast("string").alias("given"), F.col("weight").cast("double").alias("w"))
-        weighed = sizes.join(given, F.col(key).eqNullSafe(F.col("given")), "left").select(key, "n", "w")
-    found = weighed.orderBy(F.col(key).asc_nulls_first()).limit(MAX_SOURCES + 1).collect()
+        given = weights.select(unnull(F.col("source")).alias("given"), F.col("weight").cast("double").alias("w"))
+        weighed = sizes.join(given, F.col(key) == F.col("given"), "left").select(key, "n", "w")
+    found = weighed.orderBy(key).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: mix groups of sources")
     if any(r["w"] is None or not r["w"] >= 0 for r in found):
@@ -120,7 +121,7 @@ def mix(df: DataFrame, source: str, order: list[str], weights: DataFrame | None
     rows = [(found[s][key], *rest) for s, *rest in plan]
     table = spark.createDataFrame(rows, f"{key}_p string, _first long, _end long, _places array<int>, _a long, _size long, _clock long")
     numbered = number_within(named, [key], order, "source_row").withColumn("block", F.floor(F.col("source_row") / block_rows))
-    hit = F.col(key).eqNullSafe(F.col(f"{key}_p")) & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_end"))
+    hit = (F.col(key) == F.col(f"{key}_p")) & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_end"))
     placed = numbered.join(F.broadcast(table), hit)  # at most one row per phase and source
     j = F.col("block") - F.col("_first")
     slot = F.col("_clock") + F.floor(j / F.col("_a")) * F.col("_size") + F.get("_places", (j % F.col("_a")).cast("int"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelloom.llm.common import SPACE, words
+from panelloom.llm.common import SPACE, kept_table, words
 from panelloom.session import checkpointed
 
 SYMBOLS = "#*$%&|<>"
@@ -137,3 +137,14 @@ def judge_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -
     counted = checkpointed(text_counts(docs.select("doc_id", stratum, "text")).select("doc_id", stratum, *COUNTS))
     out = verdicts(counted, choose_cutoffs(counted, labels, stratum), stratum)
     return out.select("doc_id", *COUNTS[:5], "base_failed", "kept", stratum, "n_lines", "n_capitals", "n_marks", "failed_rules")
+
+
+def passing_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, whole and with their own columns whatever these are called.
+
+    Rows are written once beside their counts, so texts are neither counted twice nor joined.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col(stratum), "text")
+    counted = kept_table(text_counts(packed).drop("text"), "counted")
+    cutoffs = choose_cutoffs(counted.drop("row"), labels, stratum)
+    return verdicts(counted, cutoffs, stratum).filter("kept").select("row.*")
