@@ -13,7 +13,6 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +45,12 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows or 4 MB: texts may be long, and a task's memory should not follow them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base`` with as many underscores as it takes not to clash with a column of ``df``."""
     taken = {c.lower() for c in df.columns}
@@ -67,7 +72,8 @@ def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out
     df = df.withColumn(b, F.shiftrightunsigned(F.col(h), 64 - bits) if bits else F.lit(0).cast("long"))
     n = F.col(weight) if weight else F.lit(1).cast("long")
     keys = [*group, b]
-    inside = Window.partitionBy(*keys).orderBy(h, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    unsigned = F.col(h).bitwiseXOR(F.lit(-(2**63)))  # so that rows in a bucket and the buckets follow one order
+    inside = Window.partitionBy(*keys).orderBy(unsigned, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = df.withColumn(before, F.sum(n).over(inside) - n)
     ahead = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy(*keys).agg(F.sum(n).alias(base)).withColumn(base, F.coalesce(F.sum(base).over(ahead), F.lit(0)))
@@ -226,17 +232,50 @@ def lower_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def word_hashes(flat: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word, computed once per distinct word."""
-    coded = flat.dictionary_encode()
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.empty(0, np.uint64)
+    """A 64-bit hash of each word: the sum of scrambled (byte, place) pairs. Words must not be empty."""
+    if not len(flat):
+        return np.empty(0, np.uint64)
+    wide = np.int64 if pa.types.is_large_string(flat.type) else np.int32
+    offsets = np.frombuffer(flat.buffers()[1], wide)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
+    data = np.frombuffer(flat.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    pair = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    pair <<= 8
+    pair += data
+    return mixed(np.add.reduceat(mixed(pair.view(np.uint64) + np.uint64(1)), offsets[:-1]))
+
+
+class HashIndex:
+    """Places of 64-bit numbers in a fixed list, by their leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys)
+        self.keys = np.append(keys[self.order], np.uint64(2**64 - 1))
+        self.shift = np.uint64(64 - max(1, int(np.ceil(np.log2(len(keys) + 2)))))
+        self.start = np.searchsorted(self.keys[:-1], np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 where it is not in the list."""
+        if len(self.keys) == 1:
+            return np.full(len(wanted), -1)
+        at = self.start.take((wanted >> self.shift).view(np.int64))
+        late = np.flatnonzero(self.keys.take(at) < wanted)
+        while len(late):
+            at[late] += 1
+            late = late[self.keys.take(at.take(late)) < wanted.take(late)]
+        hit = (self.keys.take(at) == wanted) & (at < len(self.order))
+        return np.where(hit, self.order.take(np.minimum(at, len(self.order) - 1)), -1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers (the finaliser of SplitMix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 def shingles(words_: np.ndarray, width: int) -> np.ndarray:

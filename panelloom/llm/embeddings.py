@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import components, join_labels, paired_runs, pairs_in_runs, whole_runs
+from panelloom.llm.common import components, join_labels, paired_runs, pairs_in_runs, small_batches, whole_runs
 from panelloom.session import checkpointed
 
 
@@ -92,6 +92,7 @@ def linked_classes(classes: DataFrame, threshold: float, bits: int, tables: int,
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, bits: int = 14, tables: int = 20, seed: int = 7, cap: int = 2_048) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept``: one row per vector."""
+    small_batches(vectors.sparkSession)
     vec = F.col("embedding").cast("array<float>")
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(F.col("label").isNotNull() & finite & F.exists(vec, lambda x: x != 0), F.lit(False))

@@ -101,6 +101,7 @@ def mix(df: DataFrame, source: str, order: list[str], weights: DataFrame | None
     ``weights`` has columns ``source`` and ``weight``; without it sources weigh the square root of
     their rows. Rows of a source come in the order of a hash of ``order``, so a source is well mixed in
     itself and no source is sorted in one task. What the driver sees is one row per source.
+    Columns of ``df`` that have the names of the four are replaced.
     """
     spark = df.sparkSession
     key = free_name(df, "_source")
@@ -119,12 +120,15 @@ def mix(df: DataFrame, source: str, order: list[str], weights: DataFrame | None
     counts = {i: -(-r["n"] // block_rows) for i, r in enumerate(found)}
     plan = phases(counts, {i: r["w"] for i, r in enumerate(found)}, period)
     rows = [(found[s][key], *rest) for s, *rest in plan]
-    table = spark.createDataFrame(rows, f"{key}_p string, _first long, _end long, _places array<int>, _a long, _size long, _clock long")
+    at, step = free_name(df, "_at"), free_name(df, "_step")
+    fields = "first long, end long, places array<int>, a long, size long, clock long"
+    table = spark.createDataFrame([(k, tuple(rest)) for k, *rest in rows], f"`{at}` string, `{step}` struct<{fields.replace(' ', ':').replace(',:', ',')}>")
     numbered = number_within(named, [key], order, "source_row").withColumn("block", F.floor(F.col("source_row") / block_rows))
-    hit = (F.col(key) == F.col(f"{key}_p")) & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_end"))
+    now = F.col(step)
+    hit = (F.col(key) == F.col(at)) & (F.col("block") >= now["first"]) & (F.col("block") < now["end"])
     placed = numbered.join(F.broadcast(table), hit)  # at most one row per phase and source
-    j = F.col("block") - F.col("_first")
-    slot = F.col("_clock") + F.floor(j / F.col("_a")) * F.col("_size") + F.get("_places", (j % F.col("_a")).cast("int"))
+    j = F.col("block") - now["first"]
+    slot = now["clock"] + F.floor(j / now["a"]) * now["size"] + F.get(now["places"], (j % now["a"]).cast("int"))
     placed = placed.withColumn("slot", slot.cast("long"))
     position = F.col("slot") * block_rows + F.col("source_row") % block_rows
-    return placed.withColumn(out, position.cast("long")).drop(key, f"{key}_p", "_first", "_end", "_places", "_a", "_size", "_clock")
+    return placed.withColumn(out, position.cast("long")).drop(key, at, step)

@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import mixed, text_pieces
+from panelloom.llm.common import mixed, small_batches, text_pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, SPACE = 0x2581, 0x20
 NO_CHARACTER = 0x110000
 LIGHT = 37.0
-PIECE_BYTES = 8_000_000
+PIECE_BYTES = 1_500_000
 GOLD = 0x9E3779B97F4A7C15
 
 
@@ -375,6 +375,7 @@ ENCODED = "key long, sample int, pieces array<int>, n_pieces int, log_prob doubl
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = 2, model: str = MODEL, seed: int = 5) -> DataFrame:
     """One row per row of ``docs`` and sample: ``key``, ``sample`` (1 is the largest perturbed one), ``pieces``, ``n_pieces``,
     ``log_prob`` and ``log_inclusion`` (natural logs), ``exact``: the pieces decode to the text byte by byte."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))  # as large as the vocabulary
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,25 @@ def source_mixing(spark, folder):
     return mixing.mix(docs, "source", ["doc_id"])
 
 
-@query("op4_embedding_dedup")
+EMBEDDING_SQL = """WITH RECURSIVE
+v AS (
+  SELECT row_number() OVER () AS i, vec_id, label, embedding::DOUBLE[] AS e,
+         coalesce(label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0, FALSE) AS valid
+  FROM embeddings
+),
+links AS (
+  SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON a.label = b.label AND a.i <> b.i AND a.valid AND b.valid AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
+),
+reach AS (SELECT i, i AS j FROM v UNION SELECT reach.i, links.b FROM reach JOIN links ON reach.j = links.a),
+least AS (SELECT reach.i, min(v.vec_id) AS component_id FROM reach JOIN v ON v.i = reach.j GROUP BY reach.i),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, FALSE) AS kept
+FROM v JOIN least USING (i) LEFT JOIN degree ON a = i"""
+
+
+@query("op4_embedding_dedup", EMBEDDING_SQL)
 def embedding_dedup(spark, folder):
     return embeddings.near_vectors(table(spark, folder, "embeddings"))
 

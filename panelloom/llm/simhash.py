@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import arrow_schema, components, join_labels, paired_runs, pairs_in_runs, whole_runs
+from panelloom.llm.common import arrow_schema, components, join_labels, paired_runs, pairs_in_runs, small_batches, whole_runs
 from panelloom.session import checkpointed
 
 SEED = 42
@@ -112,6 +112,7 @@ def links(fps: DataFrame, distance: int = 4, cap: int = 4_096) -> DataFrame:
 
 def simhash_components(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``: one row per document."""
+    small_batches(docs.sparkSession)
     fps = checkpointed(fingerprints(docs, width))
     distinct = fps.groupBy("fp").agg(F.min("key").alias("least_key"))
     roots = components(links(distinct, distance))
