@@ -10,7 +10,7 @@ node. Expanding a node hands its value to one child, drawn by mass; every other
 truncated at that value and waits. The best waiting node is always expanded next, so its value is
 the next largest of all. Rows advance together in arrays; words that occur often share a lattice.
 
-A waiting node's value is at most its log mass plus 37 (the smallest exponential that 53 bits can
+A waiting node's value is at most its log mass plus 23 (the smallest exponential that 32 bits can
 give), so nodes too light to come up are never drawn; the bound is checked and widened per row.
 
 ``log_inclusion`` is the log probability that the segmentation is among those kept, given the
@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import mixed, small_batches, text_pieces
+from panelloom.llm.common import HashIndex, mixed, small_batches, text_pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, SPACE = 0x2581, 0x20
 NO_CHARACTER = 0x110000
-LIGHT = 37.0
-PIECE_BYTES = 1_500_000
+LIGHT = 23.0
+PIECE_BYTES = 500_000
 GOLD = 0x9E3779B97F4A7C15
 
 
@@ -78,7 +78,7 @@ class Vocabulary:
                 prefixes.setdefault(h, (-1, 0.0))
             prefixes[h] = (i, logs[i])
         keys = sorted(prefixes)
-        self.key = np.array(keys, np.uint64)
+        self.index = HashIndex(np.array(keys, np.uint64))
         self.piece = np.array([prefixes[k][0] for k in keys], np.int64)
         self.log = np.array([prefixes[k][1] for k in keys])
         self.longest = max(map(len, pieces))
@@ -98,7 +98,7 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """The lattices of distinct units, as one graph: nodes in a row, edges by node, the heaviest first.
+    """The lattices of distinct units, as one graph: nodes in a row, edges by node, the longest piece first.
 
     ``chars`` are the units' code points one after the other, ``at`` their starts (one more than units).
     Node ``at[u] + u + j`` stands after j characters of unit u.
@@ -114,53 +114,55 @@ class Lattices:
         self.last_node = at[1:] + np.arange(units)
         cp = chars.astype(np.uint64)
         live, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
-        src, length, piece, log = [], [], [], []
+        by_length = []
         alone = np.zeros(len(chars), bool)
         for n in range(1, vocabulary.longest + 1):
-            inside = left[live] >= n
+            inside = left.take(live) >= n
             live, h = live[inside], h[inside]
             if not len(live):
                 break
-            h = step_hash(h, cp[live + n - 1])
-            k = np.minimum(np.searchsorted(vocabulary.key, h), len(vocabulary.key) - 1)
-            found = vocabulary.key[k] == h
+            h = step_hash(h, cp.take(live + (n - 1)))
+            k = vocabulary.index.find(h)
+            found = k >= 0
             live, h, k = live[found], h[found], k[found]
-            whole = vocabulary.piece[k] >= 0
-            src.append(live[whole])
-            length.append(np.full(whole.sum(), n))
-            piece.append(vocabulary.piece[k[whole]])
-            log.append(vocabulary.log[k[whole]])
+            piece = vocabulary.piece.take(k)
+            whole = piece >= 0
+            by_length.append((live[whole], n, piece[whole], vocabulary.log.take(k[whole])))
             if n == 1:
                 alone[live[whole]] = True
         spelled = np.flatnonzero(~alone)
         point = np.where(chars[spelled] == NO_CHARACTER, MARK, chars[spelled]).astype(np.int64)
         bytes_ = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
-        src.append(spelled)
-        length.append(np.ones(len(spelled), np.int64))
-        piece.append(vocabulary.size + point)
-        log.append(vocabulary.byte_log * bytes_)
-        src, length, piece, log = (np.concatenate(x) for x in (src, length, piece, log))
-        far = left[src]
-        begin, end = node[src], node[src] + length
-        # from the ends of the units backwards: all nodes at one distance together
-        order = np.lexsort((begin, far))
-        src, begin, end, piece, log, far = (x[order] for x in (src, begin, end, piece, log, far))
-        mass = np.zeros(len(chars) + units)
-        cuts = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1], [True]])) if len(far) else np.zeros(1, int)
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            value = log[a:b] + mass[end[a:b]]
-            new = np.flatnonzero(np.concatenate([[True], begin[a + 1 : b] != begin[a : b - 1]]))
-            mass[begin[a + new]] = np.logaddexp.reduceat(value, new)
-        share = log + mass[end] - mass[begin]
-        order = np.lexsort((piece, -share, begin))
-        self.begin, self.end, self.piece, self.share = begin[order], end[order], piece[order], share[order]
-        count = np.bincount(self.begin, minlength=len(mass))
+        by_length.append((spelled, 1, vocabulary.size + point, vocabulary.byte_log * bytes_))
+        # a place has one edge of a length at most: edges fall into their node's part, the longest first
+        nodes = len(chars) + units
+        count = np.zeros(nodes, np.int64)
+        for src, *_ in by_length:
+            count[node.take(src)] += 1
         self.edge_at = np.concatenate([[0], np.cumsum(count)])
+        edges = int(self.edge_at[-1])
+        self.begin, self.end, self.piece, self.share = np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges)
+        free = self.edge_at[:-1].copy()
+        for src, n, piece, log in reversed(by_length):
+            begin = node.take(src)
+            place = free.take(begin)
+            free[begin] += 1
+            self.begin[place], self.end[place], self.piece[place], self.share[place] = begin, begin + n, piece, log
+        # log masses from the ends of the units backwards, all nodes at one distance together
+        mass = np.zeros(nodes)
+        longest_first = np.argsort(-size, kind="stable")
+        ends = self.last_node[longest_first]
+        as_long = np.cumsum(np.bincount(size)[::-1])[::-1] if units else [0]  # units of a size or more
+        for far in range(1, len(as_long)):
+            here = ends[: as_long[far]] - far
+            n = count.take(here)
+            which = ragged(self.edge_at.take(here), n)
+            mass[here] = np.logaddexp.reduceat(self.share.take(which) + mass.take(self.end.take(which)), np.cumsum(n) - n)
+        self.share += mass.take(self.end) - mass.take(self.begin)
         total = np.cumsum(np.exp(self.share))
         base = np.concatenate([[0.0], total])[self.edge_at[:-1]]
-        self.upto = total - base[self.begin]
-        nonempty = count > 0
-        self.upto[self.edge_at[1:][nonempty] - 1] = np.inf  # the last edge takes what rounding leaves
+        self.upto = total - base.take(self.begin)
+        self.upto[self.edge_at[1:][count > 0] - 1] = np.inf  # the last edge takes what rounding leaves
 
 
 def uniform(key: np.ndarray) -> np.ndarray:
@@ -168,6 +170,11 @@ def uniform(key: np.ndarray) -> np.ndarray:
     return ((mixed(key) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def exponential(key: np.ndarray) -> np.ndarray:
+    """Of rate 1, from a grid of 2 ** -32: never below exp(-LIGHT)."""
+    return -np.log(((mixed(key) >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32)
+
+
 class Batch:
     """The texts of one batch: rows of units, and their sampled paths."""
 
@@ -229,7 +236,7 @@ class Batch:
         before = total[:-1] - total[path_at[:-1]][of]
         step = np.arange(len(path)) - path_at[:-1][of]
         open_ = step >= fixed[of]
-        floor, done = -60.0, np.zeros(len(rows), bool)
+        floor, done = -30.0, np.zeros(len(rows), bool)
         found = []
         while True:
             todo = np.flatnonzero(open_ & (before >= floor) & ~done[of])
@@ -241,7 +248,7 @@ class Batch:
             mu = before[at] + g.share[edge]
             r = of[at]
             key = mixed(self.keys[rows[r]] ^ np.uint64(GOLD * (2 * sample + 1) % 2**64)) + step[at].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-            e = -np.log(uniform(mixed(key) + (edge - g.edge_at[g.begin[edge]]).astype(np.uint64)))
+            e = exponential(mixed(key) + (edge - g.edge_at[g.begin[edge]]).astype(np.uint64))
             x = mu - np.log(np.exp(np.minimum(mu - value[r], 700.0)) + e)
             order = np.lexsort((-x, r))
             r, x, s, edge = r[order], x[order], step[at][order], edge[order]
@@ -398,7 +405,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: in
                     lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays(
-                        [doc.take(pa.array(rows)), pa.array(np.full(n, s + 1, np.int32)), lists, pa.array(np.diff(ends).astype(np.int32)), pa.array(log), pa.array(inclusion), pa.array(same)],
+                        [doc.take(pa.array(rows)), pa.array(np.full(n, s + 1, np.int32)), lists, pa.array(np.diff(ends).astype(np.int32)), pa.array(log), pa.array(inclusion), pa.array(same, pa.bool_())],
                         names=["key", "sample", "pieces", "n_pieces", "log_prob", "log_inclusion", "exact"],
                     )
 
