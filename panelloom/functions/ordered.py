@@ -89,56 +89,23 @@ def lagged(df: DataFrame, spec: PanelSpec, lags: dict[str, tuple[Column, int]],
     )
 
 
-# Wider means are read off running sums; narrower ones are added up row by row.
-WIDE_MEAN = 48
-
-
 def rolling_mean(
     df: DataFrame, spec: PanelSpec, means: dict[str, tuple[Column, int]], *, centred: bool, keys=None
 ) -> DataFrame:
     """Rolling means with at least one row; a centred window of even width leans backward.
 
-    A sliding frame costs its width per row. From ``WIDE_MEAN`` rows on, the mean is the difference
-    of two running sums over the difference of two running counts, whatever the width.
+    Every mean is added up over its own frame, so a value out of range spoils the windows that hold it and no other.
     """
 
     def frame(n: int) -> tuple[int, int]:
         return (n // 2, (n - 1) // 2) if centred else (n - 1, 0)
 
     reach = [frame(n) for _, n in means.values()]
-    span = {"back": max(b for b, _ in reach) + 1, "ahead": max(a for _, a in reach)}
-    narrow = {k: v for k, v in means.items() if v[1] < WIDE_MEAN}
-    wide = {k: v for k, v in means.items() if v[1] >= WIDE_MEAN}
-    if not wide:
-        return over_index(
-            df, spec,
-            lambda w: {n: F.avg(x).over(w.rowsBetween(-frame(k)[0], frame(k)[1])) for n, (x, k) in narrow.items()},
-            keys=keys, **span,
-        )
-
-    def running(w: WindowSpec) -> dict[str, Column]:
-        upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        out = {n: F.avg(x).over(w.rowsBetween(-frame(k)[0], frame(k)[1])) for n, (x, k) in narrow.items()}
-        for n, (x, _) in wide.items():
-            out[f"_s_{n}"] = F.coalesce(F.sum(x).over(upto), F.lit(0.0))
-            out[f"_c_{n}"] = F.count(x).over(upto)
-        return out
-
-    def differences(w: WindowSpec) -> dict[str, Column]:
-        out = {}
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        for n, (_, k) in wide.items():
-            back, ahead = frame(k)
-
-            def part(c: str) -> Column:
-                top = F.coalesce(F.lead(c, ahead).over(w), F.last(c).over(whole)) if ahead else F.col(c)
-                return top - F.coalesce(F.lag(c, back + 1).over(w), F.lit(0))
-
-            out[n] = part(f"_s_{n}") / F.nullif(part(f"_c_{n}"), F.lit(0))
-        return out
-
-    out = over_index(df, spec, running, differences, keys=keys, **span)
-    return out.drop(*(f"{p}{n}" for n in wide for p in ("_s_", "_c_")))
+    return over_index(
+        df, spec,
+        lambda w: {n: F.avg(x).over(w.rowsBetween(-frame(k)[0], frame(k)[1])) for n, (x, k) in means.items()},
+        back=max(b for b, _ in reach), ahead=max(a for _, a in reach), keys=keys,
+    )
 
 
 def carried(

@@ -47,6 +47,13 @@ def seasonal_naive(
     return out.withColumn(name, F.when(F.col("cutoff") <= 0, F.lit(0.0)).otherwise(F.col(name)))
 
 
+def all_phases_seen(df: DataFrame, spec: PanelSpec, cut: int, season: int) -> bool:
+    """Whether every series has an observed value in every phase before the cutoff: then no mean is missing."""
+    i, y = F.col(spec.index), F.col(spec.target)
+    phase = F.when((i < cut) & y.isNotNull(), F.pmod(i, F.lit(season)))
+    return df.groupBy(spec.id).agg(F.size(F.collect_set(phase)).alias("n")).filter(F.col("n") < season).isEmpty()
+
+
 def seasonal_mean(
     windows: DataFrame, df: DataFrame, spec: PanelSpec, cutoffs: Sequence[int], season: int | None = None, name: str = "seasonal_mean"
 ) -> DataFrame:
@@ -72,7 +79,7 @@ def seasonal_mean(
     )
     out = windows.withColumn("_phase", F.pmod(F.col("cutoff") + F.col("step") - 1, F.lit(s)))
     out = out.join(table, [spec.id, "_phase", "cutoff"], "left").drop("_phase")
-    if cuts[0] >= s:
+    if all_phases_seen(df, spec, cuts[0], s):
         return out
     train = df.withColumn("cutoff", F.explode(F.filter(marks, lambda c: c > i)))
     middle = quantiles.grouped(train, ["cutoff"], {"_mid": (spec.target, 0.5)}, bounded=False, few_keys=True)
@@ -86,7 +93,7 @@ def baseline_cube(df: DataFrame, spec: PanelSpec, cutoffs: Sequence[int], horizo
     """
     h = spec.full_horizon if horizon is None else horizon
     rows = df.select(spec.id, spec.time, spec.index, spec.target)
-    if spec.bounded and min(cutoffs) >= spec.season:
+    if spec.bounded and min(cutoffs) >= spec.season and all_phases_seen(rows, spec, min(cutoffs), spec.season):
         out = _one_pass(rows, spec, cutoffs, h)
     else:
         out = last_value(horizons(rows, spec, cutoffs, h), df, spec, cutoffs=cutoffs)

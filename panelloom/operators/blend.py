@@ -142,20 +142,20 @@ def gap_refit(df: DataFrame, spec: PanelSpec, a: str, b: str, points: int = 101)
 # ---------------------------------------------------------------- simplex by Frank-Wolfe
 
 
-def _steps_curve(df: DataFrame, r: Column, d: Column, bins: int = 1024, exact_below: int = 20_000) -> float:
+def _steps_curve(df: DataFrame, r: Column, d: Column, bins: int = 1024, read_below: int = 20_000) -> float:
     """Exact minimiser of ``sum |r - g*d|`` over g in [0, 1]: the weighted median of r/d.
 
-    Found by narrowing a histogram of r/d; only when a bin holds few rows are its values read.
+    Equal ratios are one value with one weight. A histogram over the values is narrowed to the range of the bin
+    that holds the median until that bin has few values, and only these are read.
     """
-    t, w = r / d, F.abs(d)
-    rows = df.filter(d != 0).select(t.alias("t"), w.alias("w"))
+    values = df.filter(d != 0).select((r / d).alias("t"), F.abs(d).alias("w")).groupBy("t").agg(F.sum("w").alias("w"))
     lo, hi, below, half = 0.0, 1.0, 0.0, None
     inside = F.lit(True)
-    for _ in range(6):
+    while True:
         at = F.floor((F.col("t") - F.lit(lo)) / F.lit((hi - lo) / bins))
         slot = F.greatest(F.lit(-1), F.least(F.lit(bins), at)).cast("long")
-        tally = rows.filter(inside).groupBy(slot.alias("b")).agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
-        found = sorted(tally.collect())
+        tally = values.filter(inside).groupBy(slot.alias("b"))
+        found = sorted(tally.agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last")).collect())
         if half is None:
             half = 0.5 * sum(r["w"] for r in found)
             if not half:
@@ -166,23 +166,21 @@ def _steps_curve(df: DataFrame, r: Column, d: Column, bins: int = 1024, exact_be
                 hit = row
                 break
             below += row["w"]
-        if hit is None or hit["b"] >= bins:
+        if hit is None or (hit["b"] >= bins and hit["first"] >= 1.0):
             return hi
-        if hit["b"] < 0:
-            return lo
-        inside = inside & (slot == hit["b"])
-        width = (hi - lo) / bins
-        lo, hi = lo + hit["b"] * width, lo + (hit["b"] + 1) * width
-        if hit["n"] <= exact_below or hi <= lo:
+        if hit["b"] < 0 and hit["last"] < 0.0:
+            return 0.0
+        lo, hi = hit["first"], hit["last"]
+        inside = F.col("t").between(lo, hi)
+        if lo == hi:
+            return min(1.0, max(0.0, lo))
+        if hit["n"] <= read_below:
             break
-    # Equal values collapse first, so a heavy tie is one row.
-    values = rows.filter(inside).groupBy("t").agg(F.sum("w").alias("w")).orderBy("t")
-    if hit["n"] <= exact_below:
-        for row in values.collect():
-            below += row["w"]
-            if below >= half:
-                return min(1.0, max(0.0, row["t"]))
-    return min(1.0, max(0.0, lo))
+    for row in values.filter(inside).orderBy("t").collect():
+        below += row["w"]
+        if below >= half:
+            return min(1.0, max(0.0, row["t"]))
+    return min(1.0, max(0.0, hi))
 
 
 def fit_simplex(df: DataFrame, spec: PanelSpec, members: Sequence[str], iters: int = 300) -> dict[str, float]:
@@ -228,8 +226,8 @@ def combinations_of(members: Sequence[str], sizes: Sequence[int]) -> list[tuple[
     return [c for n in sizes for c in combinations(members, n)]
 
 
-def search_grid(df: DataFrame, spec: PanelSpec, members: Sequence[str], sizes: Sequence[int] = (2, 3), parts: int = 20, keep: int = 10) -> DataFrame:
-    """Every member combination: best grid weights on early rows, scored on late ones, top per size.
+def search_grid(df: DataFrame, spec: PanelSpec, members: Sequence[str], sizes: Sequence[int] = (2, 3), parts: int = 20) -> DataFrame:
+    """Every member combination: best grid weights on early rows, scored on late ones, the best of a size first.
 
     Candidates are sums, ``BATCH`` of them per pass over the rows.
     """
@@ -245,17 +243,17 @@ def search_grid(df: DataFrame, spec: PanelSpec, members: Sequence[str], sizes: S
     out = [
         ("+".join(c), len(c), [float(w[m]) for m in c], held[f"_c{i}"] / held["ya"]) for i, (c, w) in enumerate(chosen)
     ]
-    out = [r for n in sizes for r in sorted((x for x in out if x[1] == n), key=lambda x: (x[3], x[0]))[:keep]]
+    out.sort(key=lambda x: (sizes.index(x[1]), x[3], x[0]))
     return df.sparkSession.createDataFrame(out, "members string, size long, weights array<double>, late_wape double")
 
 
-def search_simplex(df: DataFrame, spec: PanelSpec, members: Sequence[str], sizes: Sequence[int], keep: int = 10) -> DataFrame:
+def search_simplex(df: DataFrame, spec: PanelSpec, members: Sequence[str], sizes: Sequence[int]) -> DataFrame:
     """As ``search_grid`` with exact weights from :func:`fit_simplex`, one fit per combination."""
     early, late = df.filter(F.col("blk") < spec.late_from), df.filter(F.col("blk") >= spec.late_from)
     fits = [(c, fit_simplex(early, spec, c)) for c in combinations_of(members, sizes)]
     held = totals(late, spec.target, {f"_c{i}": weighted_text(w) for i, (_, w) in enumerate(fits)})
     out = [("+".join(c), len(c), [w[m] for m in c], held[f"_c{i}"] / held["ya"]) for i, (c, w) in enumerate(fits)]
-    out = [r for n in sizes for r in sorted((x for x in out if x[1] == n), key=lambda x: (x[3], x[0]))[:keep]]
+    out.sort(key=lambda x: (sizes.index(x[1]), x[3], x[0]))
     return df.sparkSession.createDataFrame(out, "members string, size long, weights array<double>, late_wape double")
 
 

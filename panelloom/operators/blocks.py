@@ -88,8 +88,8 @@ def dispersion(df: DataFrame, spec: PanelSpec, cols: Sequence[str]) -> Built:
     return out, [n for c in cols for n in (f"xs_std_{c}", f"xs_rng_{c}")]
 
 
-def missingness(df: DataFrame, spec: PanelSpec, flags: Sequence[str], shown: int = 5) -> Built:
-    """Share of series whose flag is up, for the first flags and for any flag at all."""
+def missingness(df: DataFrame, spec: PanelSpec, flags: Sequence[str], shown: int | None = None) -> Built:
+    """Share of series whose flag is up, for every flag (or the first ``shown``) and for any flag at all."""
     flags = list(flags)
     some = F.greatest(*flags) if len(flags) > 1 else F.col(flags[0])
     aggs = {f"xs_miss_{f}": F.avg(f) for f in flags[:shown]}
@@ -386,7 +386,7 @@ def registry(
         "A3": (of("xs_loo_{c}", live), lambda d: leave_one_out(d, spec, live), False),
         "A4": (of("xs_{n}_{c}", live, "share", "rank"), lambda d: shares_and_ranks(d, spec, live), False),
         "A5": (of("xs_{n}_{c}", live, "std", "rng"), lambda d: dispersion(d, spec, live), False),
-        "A6": ([*of("xs_miss_{c}", flags[:5]), "xs_miss_any_frac"], lambda d: missingness(d, spec, flags), False),
+        "A6": ([*of("xs_miss_{c}", flags[:5]), "xs_miss_any_frac"], lambda d: missingness(d, spec, flags, 5), False),
         "A7": (of("xs_roll{n}_{c}", live, *wide), lambda d: rolling_system(d, spec, live, wide), False),
         "A8": (of("xs_clu_{c}", live), lambda d: learned_partition(d, spec, live, cut), True),
         "A9": (caps, cap, False),

@@ -85,18 +85,21 @@ def select_horizon(df: DataFrame, spec: PanelSpec, horizon: str) -> DataFrame:
 
 
 def split_horizon(df: DataFrame, spec: PanelSpec, horizon: int) -> int:
-    """The block length a panel of ragged series allows (one number read on the driver)."""
+    """The block length a panel of ragged series allows (one number read on the driver); for small fixtures."""
     lengths = df.groupBy(spec.id).agg(F.count(F.lit(1)).alias("n"))
     shortest = lengths.agg(F.min("n")).first()[0]
     return horizon if shortest >= 2 * horizon + 16 else max(2, (shortest - 16) // 2)
 
 
-def gapped_split(df: DataFrame, spec: PanelSpec, horizon: int) -> DataFrame:
+def gapped_split(df: DataFrame, spec: PanelSpec, horizon: int, shrink: bool = False) -> DataFrame:
     """Tag each row ``train``, ``gap`` or ``score`` from the tail of its own series.
 
-    Adds ``part``, ``is_scored`` and ``step`` (1-based inside gap + score, NULL in train).
+    Adds ``part``, ``is_scored`` and ``step`` (1-based inside gap + score, NULL in train). Too short a
+    series is refused; with ``shrink`` the horizon follows the shortest one instead.
     """
     h = split_horizon(df, spec, horizon)
+    if h != horizon and not shrink:
+        raise ValueError(f"the shortest series allows a horizon of {h}, not {horizon}")
     out = df if spec.index in df.columns else add_index(df, spec)
     ends = out.groupBy(spec.id).agg((F.max(spec.index) - 2 * h + 1).alias("_cut"))
     at = F.col(spec.index) - F.col("_cut")

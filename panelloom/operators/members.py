@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.ml.feature import VectorAssembler, VectorIndexer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +16,12 @@ from panelloom.operators import design as D
 from panelloom.operators import origin
 from panelloom.operators.aggregates import unit_levels
 from panelloom.operators.index import select_horizon
-from panelloom.session import checkpointed, spread
+from panelloom.session import checkpointed
 from panelloom.spec import PanelSpec
 
-# Trees take no missing value; a lag before the series start is put below every observed one.
-ABSENT = -1.0
+# Trees take no missing value; an absent one is put below anything a panel holds, so that a split can single it out.
+ABSENT = -1e12
+LOSSES = ("absolute", "squared")
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,11 @@ class TreeConfig:
     min_rows: int = 20
     bins: int = 64
     seed: int = 42
+    loss: str = "absolute"
+    # Rows are sampled by partition, so a fit names its partitions instead of taking the session's.
+    partitions: int = 32
+    # Codes of the unit category; more units than that share codes, so bins do not follow their number.
+    unit_codes: int = 64
     stride: int = 168
     horizon: int | None = None
     futr: tuple[str, ...] = ()
@@ -59,13 +65,17 @@ class TreeMember:
     config: TreeConfig
     cut: int
     levels: DataFrame | None = None
-    categories: VectorIndexer | None = None
     report: dict = field(default_factory=dict)
 
 
-def assemble(rows: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    filled = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(ABSENT)) for c in features})
-    return VectorAssembler(inputCols=list(features), outputCol=out).transform(filled)
+def assemble(rows: DataFrame, features: Sequence[str], unit_codes: int = 64, out: str = "features") -> DataFrame:
+    """One vector per row. The unit code is the one nominal slot, declared as such in the column's attribute."""
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(ABSENT)) for c in features}
+    if D.UNIT in filled:
+        nominal = {"ml_attr": {"type": "nominal", "name": D.UNIT, "num_vals": unit_codes}}
+        filled[D.UNIT] = F.pmod(F.col(D.UNIT).cast("long"), F.lit(unit_codes)).cast("double").alias(D.UNIT, metadata=nominal)
+    rest = [c for c in rows.columns if c not in filled]
+    return VectorAssembler(inputCols=list(features), outputCol=out).transform(rows.select(*rest, *(x.alias(c) if c != D.UNIT else x for c, x in filled.items())))
 
 
 def _weighted(rows: DataFrame, df: DataFrame, spec: PanelSpec, config: TreeConfig, cut: int) -> tuple[DataFrame, DataFrame | None]:
@@ -79,30 +89,20 @@ def _weighted(rows: DataFrame, df: DataFrame, spec: PanelSpec, config: TreeConfi
     return D.scale_by_level(out, levels, spec, "weight"), levels
 
 
-def _index_units(rows: DataFrame, features: Sequence[str]):
-    """Declare the unit code categorical; other features keep more values than the category limit."""
-    n_units = rows.agg(F.max(D.UNIT)).first()[0] + 1
-    return VectorIndexer(inputCol="raw", outputCol="features", maxCategories=int(n_units), handleInvalid="keep"), int(n_units)
-
-
-def _fit_rows(rows: DataFrame, spec: PanelSpec, features: list[str], config: TreeConfig, rounds: int):
-    categories, bins = None, config.bins
-    if config.unit:
-        rows = assemble(rows, features, "raw")
-        indexer, n_units = _index_units(rows, features)
-        categories = indexer.fit(rows)
-        rows, bins = categories.transform(rows), max(config.bins, n_units + 1)
-    else:
-        rows = assemble(rows, features)
+def _fit_rows(rows: DataFrame, spec: PanelSpec, features: list[str], config: TreeConfig, rounds: int) -> GBTRegressionModel:
+    """The same rows give the same trees on any cluster: they are dealt and ordered by key over a declared number of partitions."""
+    if config.loss not in LOSSES:
+        raise ValueError(f"loss {config.loss!r} is none of {LOSSES}")
     keys = [c for c in (spec.id, spec.time, "o", "k") if c in rows.columns]
-    # Row sampling depends on row order: the same rows in the same order give the same trees again.
-    rows = spread(rows, *keys).sortWithinPartitions(*keys).select("features", spec.target, "weight")
+    rows = assemble(rows, features, config.unit_codes)
+    rows = rows.repartition(config.partitions, *keys).sortWithinPartitions(*keys).select("features", spec.target, "weight")
     booster = GBTRegressor(
-        featuresCol="features", labelCol=spec.target, weightCol="weight", lossType="absolute", maxIter=rounds,
+        featuresCol="features", labelCol=spec.target, weightCol="weight", lossType=config.loss, maxIter=rounds,
         maxDepth=config.depth, stepSize=config.step, subsamplingRate=config.subsample,
-        featureSubsetStrategy=config.features, minInstancesPerNode=config.min_rows, maxBins=bins, seed=config.seed,
+        featureSubsetStrategy=config.features, minInstancesPerNode=config.min_rows, maxBins=max(config.bins, config.unit_codes if config.unit else 0),
+        seed=config.seed,
     )
-    return booster.fit(rows), categories
+    return booster.fit(rows)
 
 
 def _features(spec: PanelSpec, config: TreeConfig) -> list[str]:
@@ -117,22 +117,19 @@ def _design(df: DataFrame, pairs: DataFrame, spec: PanelSpec, config: TreeConfig
 
 
 def fit_gapped(df: DataFrame, spec: PanelSpec, cut: int, config: TreeConfig, rounds: int | None = None) -> TreeMember:
-    """Boosted trees with absolute loss on every (series, origin, step) whose target lies before the cut."""
+    """Boosted trees on every (series, origin, step) whose target lies before the cut."""
     rows = D.training_design(
         df, spec, cut, stride=config.stride, horizon=config.h(spec), futr=config.futr, statics=config.statics,
         fc_lags=config.fc_lags, unit=config.unit,
     ).filter(F.col(spec.target).isNotNull())
     rows, levels = _weighted(rows, df, spec, config, cut)
     features = _features(spec, config)
-    model, categories = _fit_rows(rows, spec, features, config, rounds or config.rounds)
-    return TreeMember(model, features, config, cut, levels, categories)
+    model = _fit_rows(rows, spec, features, config, rounds or config.rounds)
+    return TreeMember(model, features, config, cut, levels)
 
 
 def _score(member: TreeMember, rows: DataFrame) -> DataFrame:
-    if member.categories is None:
-        rows = assemble(rows, member.features)
-    else:
-        rows = member.categories.transform(assemble(rows, member.features, "raw")).drop("raw")
+    rows = assemble(rows, member.features, member.config.unit_codes)
     return member.model.setPredictionCol("_p").transform(rows).drop("features")
 
 
@@ -166,9 +163,9 @@ def tune_rounds(df: DataFrame, spec: PanelSpec, cut: int, config: TreeConfig, ma
     if not n_valid:
         raise ValueError(f"the validation fold before cut {cut} is empty")
     features = _features(spec, config)
-    model, categories = _fit_rows(tr, spec, features, config, max_rounds)
-    ready = assemble(va, features) if categories is None else categories.transform(assemble(va, features, "raw"))
-    losses = model.evaluateEachIteration(ready.select("features", F.col(spec.target), "weight"), "absolute")
+    model = _fit_rows(tr, spec, features, config, max_rounds)
+    ready = assemble(va, features, config.unit_codes)
+    losses = model.evaluateEachIteration(ready.select("features", F.col(spec.target), "weight"), config.loss)
     best = min(range(len(losses)), key=lambda i: (losses[i], i)) + 1
     return {
         "best_iteration": best, "best_score": float(losses[best - 1]), "max_rounds": max_rounds,
@@ -214,8 +211,8 @@ def residual_member(df: DataFrame, spec: PanelSpec, cut: int, oof: DataFrame, pr
     rows = _design(df, samples.select(spec.id, "o", "k"), spec, config, target=False)
     rows = rows.join(samples, [spec.id, "o", "k"]).withColumn(spec.target, F.col("residual")).withColumn("weight", F.lit(1.0))
     features = _features(spec, config)
-    model, categories = _fit_rows(rows.filter(F.col("residual").isNotNull()), spec, features, config, config.rounds)
-    fitted = TreeMember(model, features, config, cut, None, categories)
+    model = _fit_rows(rows.filter(F.col("residual").isNotNull()), spec, features, config, config.rounds)
+    fitted = TreeMember(model, features, config, cut)
     pairs = D.inference_pairs(df, spec, cut, config.h(spec), first_step=config.h(spec) - spec.score_len + 1)
     corr = _score(fitted, _design(df, pairs, spec, config, target=False)).select(spec.id, spec.time, F.col("_p").alias("_c"))
     return preds.join(corr, [spec.id, spec.time]).withColumn(name, clip(F.col(member) + F.col("_c"), low=0.0)).drop("_c")
@@ -259,7 +256,7 @@ def residual_stacker(
 
     def train(part: DataFrame) -> TreeMember:
         data = part.withColumn(spec.target, F.col("_r")).withColumn("weight", F.lit(1.0))
-        model, _ = _fit_rows(data, spec, used, inner, inner.rounds)
+        model = _fit_rows(data, spec, used, inner, inner.rounds)
         return TreeMember(model, used, inner, 0)
 
     early = train(fit.filter(F.col("blk") < edge))
@@ -279,7 +276,7 @@ def residual_stacker(
 
 
 def recursive_trees(df: DataFrame, spec: PanelSpec, cut: int, horizon: int, config: TreeConfig, lags: Sequence[int] = (1, 2, 7, 14, 28), roll: int = 7, name: str = "recursive", cut_every: int = 7) -> DataFrame:
-    """One-step trees rolled forward, all series advancing together.
+    """One-step trees of squared loss rolled forward, all series advancing together.
 
     The state is one array per series holding the last values any lag needs; a step appends its own
     forecast to it. Nothing is shuffled per step, and lineage is cut every few steps.
@@ -299,7 +296,8 @@ def recursive_trees(df: DataFrame, spec: PanelSpec, cut: int, horizon: int, conf
         },
         back=need,
     ).filter(i >= need).withColumn("weight", F.lit(1.0))
-    model, _ = _fit_rows(train.dropna(subset=names), spec, names, config, config.rounds)
+    config = replace(config, loss="squared")
+    model = _fit_rows(train.dropna(subset=names), spec, names, config, config.rounds)
     one_step = TreeMember(model, names, config, cut)
 
     tail = df.filter((i >= cut - need) & (i < cut)).groupBy(spec.id).agg(

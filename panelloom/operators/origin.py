@@ -84,19 +84,20 @@ def forecast_blocks(
     name: str = "channel",
     *,
     covariates: Sequence[str] = (),
-    context_rows: int,
+    context_rows: int | None = None,
 ) -> DataFrame:
-    """Run a Python forecaster for every (series, block): each call sees at most ``context_rows`` rows.
+    """Run a Python forecaster for every (series, block): each call sees the whole history before its block.
 
     A row is sent only to the blocks whose context or horizon holds it, and a group is one block of
-    one series, so its size is ``context_rows`` plus the block length whatever the series length.
+    one series. A forecaster that can only use so many rows says so by ``context_rows``; then a group
+    is that many rows plus the block length whatever the series length.
     """
     covs = list(covariates)
     table = F.array(
         *(F.struct(F.lit(int(s)).cast("long").alias("s"), F.lit(int(n)).cast("long").alias("n")) for s, n in blocks)
     )
     i = F.col(spec.index)
-    held = F.filter(table, lambda b: (i >= b["s"] - context_rows) & (i < b["s"] + b["n"]))
+    held = F.filter(table, lambda b: (F.lit(True) if context_rows is None else i >= b["s"] - context_rows) & (i < b["s"] + b["n"]))
     rows = df.select(spec.id, spec.time, spec.index, spec.target, *covs).withColumn("_b", F.explode(held))
     rows = rows.withColumn("cutoff", F.col("_b.s")).withColumn("_len", F.col("_b.n")).drop("_b")
     # The target of the forecast rows never reaches Python.

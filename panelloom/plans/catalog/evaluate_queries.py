@@ -53,7 +53,7 @@ def windows_won(t: Tables):
     return evaluate.windows_won(t.scored, t.weekly, SM, SN)
 
 
-N_BOOT = 200
+N_BOOT = 4_000
 
 BOOT = f"""
 blocks AS (SELECT cutoff, unique_id, sum(abs(y)) AS ya, sum(abs(y - {SM})) AS ae_c, sum(abs(y - {SN})) AS ae_b FROM scored GROUP BY 1, 2),
@@ -169,15 +169,18 @@ def pair_report(t: Tables):
 
 @query(
     "G1b_gap_refit", "cube",
-    f"""WITH b AS (SELECT *, blk >= 0 AS is_scored FROM cube WHERE cutoff = 331),
-    c AS (SELECT i, is_scored, sum(abs(y - greatest(i / 1e2 * {SN} + (1 - i / 1e2) * {SM}, 0))) / sum(abs(y)) AS wape FROM b, range(101) r(i) GROUP BY 1, 2),
-    f AS (SELECT arg_min(i, (wape, i)) AS i, min(wape) AS w FROM c WHERE NOT is_scored)
-    SELECT f.i / 1e2 AS weight, f.w AS fit_wape, (SELECT wape FROM c WHERE is_scored AND c.i = f.i) AS score_wape FROM f""",
+    f"""WITH b AS (SELECT *, blk >= 0 AS is_scored FROM cube),
+    c AS (SELECT cutoff, i, is_scored, sum(abs(y - greatest(i / 1e2 * {SN} + (1 - i / 1e2) * {SM}, 0))) / sum(abs(y)) AS wape FROM b, range(101) r(i) GROUP BY 1, 2, 3),
+    f AS (SELECT cutoff, arg_min(i, (wape, i)) AS i, min(wape) AS w FROM c WHERE NOT is_scored GROUP BY 1)
+    SELECT f.cutoff, f.i / 1e2 AS weight, f.w AS fit_wape, (SELECT wape FROM c WHERE is_scored AND c.i = f.i AND c.cutoff = f.cutoff) AS score_wape FROM f""",
     digits="weight fit_wape score_wape",
 )
 def gap_refit(t: Tables):
-    rows = t.stored.filter("cutoff = 331").withColumn("is_scored", F.col("blk") >= 0)
-    return blend.gap_refit(rows, t.weekly, SN, SM)
+    rows, out = t.stored.withColumn("is_scored", F.col("blk") >= 0), None
+    for cut in CUTOFFS:
+        part = blend.gap_refit(rows.filter(F.col("cutoff") == cut), t.weekly, SN, SM).withColumn("cutoff", F.lit(cut).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def weighted_median_sql(a: str, b: str) -> str:
@@ -380,11 +383,23 @@ def provenance_merge(t: Tables):
 
 @query(
     "V2_leak_hours", "panel_s",
-    f"""WITH {PROV}, c AS (SELECT CAST(unnest([331, 318, 305]) AS BIGINT) AS cutoff)
+    """WITH h AS (SELECT DISTINCT hidx FROM panel_s WHERE hidx < 357),
+    prov AS (SELECT DISTINCT 'rolled' AS "column", 357 - 13 * CAST(ceil((357 - hidx) / 13e0) AS BIGINT) AS start FROM h UNION ALL
+      SELECT DISTINCT 'anchored', CASE WHEN hidx >= 331 THEN 331 ELSE 331 - 13 * CAST(ceil((331 - hidx) / 13e0) AS BIGINT) END FROM h),
+    c AS (SELECT CAST(unnest([331, 318, 305]) AS BIGINT) AS cutoff)
     SELECT "column", cutoff, CAST(coalesce(max(start - cutoff) FILTER (start > cutoff AND start < cutoff + 26), 0) AS BIGINT) AS leak_hours FROM prov, c GROUP BY 1, 2""",
 )
 def leak_hours(t: Tables):
-    return provenance.leak_table(provenance.merge(prov_tables(t)), CUTOFFS, 26)
+    # Blocks are read off the channel itself: each starts at its cutoff and is as long as the rows it filled.
+    ahead = t.panel_s.filter("hidx < 357")
+    rolled = origin.roll_train(ahead, t.weekly, 357, 13)[0]
+    fresh = origin.forecast_horizon(t.panel_s, t.weekly, 331, 26)[0]
+    anchored = origin.roll_train(t.panel_s, t.weekly, 331, 13)[0].select("cutoff", "hidx").unionByName(fresh.select("cutoff", "hidx"))
+    blocks = None
+    for name, rows in (("rolled", rolled.select("cutoff", "hidx")), ("anchored", anchored)):
+        part = rows.groupBy(F.col("cutoff").alias("start")).agg((F.max("hidx") - F.min("hidx") + 1).alias("length")).withColumn("column", F.lit(name))
+        blocks = part if blocks is None else blocks.unionByName(part)
+    return provenance.leak_table(blocks, CUTOFFS, 26)
 
 
 @query(
@@ -431,14 +446,18 @@ def frame_audit(t: Tables):
 
 @query(
     "V5_forecast_smell", "cube",
-    """WITH j AS (SELECT p.y, c.seasonal_mean AS a, c.naive AS b FROM panel_s p LEFT JOIN (SELECT * FROM cube WHERE cutoff = 331) c USING (unique_id, ds))
-    SELECT 'a' AS channel, avg(CAST(a IS NULL AS DOUBLE)) AS missing_share, corr(a, y) AS corr FROM j UNION ALL
-    SELECT 'b', avg(CAST(b IS NULL AS DOUBLE)), corr(b, y) FROM j""",
+    """WITH w AS (SELECT unnest([331, 318, 305]) AS cut),
+    j AS (SELECT w.cut, p.y, c.seasonal_mean AS a, c.naive AS b FROM panel_s p CROSS JOIN w
+      LEFT JOIN cube c ON c.unique_id = p.unique_id AND c.ds = p.ds AND c.cutoff = w.cut)
+    SELECT 'a_' || cut AS channel, avg(CAST(a IS NULL AS DOUBLE)) AS missing_share, corr(a, y) AS corr FROM j GROUP BY cut UNION ALL
+    SELECT 'b_' || cut, avg(CAST(b IS NULL AS DOUBLE)), corr(b, y) FROM j GROUP BY cut""",
     digits="missing_share corr",
 )
 def smell(t: Tables):
-    block = t.cube.filter("cutoff = 331").select("unique_id", "ds", F.col(SM).alias("a"), F.col("naive").alias("b"))
-    return diagnose.forecast_smell(t.panel_s.join(block, ["unique_id", "ds"], "left"), t.weekly, ["a", "b"])
+    at = lambda m, c: F.max(F.when(F.col("cutoff") == c, F.col(m)))
+    wide = t.cube.groupBy("unique_id", "ds").agg(*(at(m, c).alias(f"{n}_{c}") for n, m in (("a", SM), ("b", "naive")) for c in CUTOFFS))
+    names = [f"{n}_{c}" for n in "ab" for c in CUTOFFS]
+    return diagnose.forecast_smell(t.panel_s.join(wide, ["unique_id", "ds"], "left"), t.weekly, names)
 
 
 # ---------------------------------------------------------------- H: diagnosis
@@ -556,18 +575,21 @@ def quintiles(t: Tables):
     return diagnose.quintile_calibration(t.stored_scored, t.weekly, SM)
 
 
+LAGS = range(14)
+
+
 def lag_sql() -> str:
     return " UNION ALL ".join(
         f"SELECT '{s}' AS signal, CAST({n} AS BIGINT) AS lag, corr(b.{s}, a.y) AS corr FROM panel_s a JOIN panel_s b"
         f" ON a.unique_id = b.unique_id AND b.hidx = a.hidx - {n} WHERE b.{s} IS NOT NULL"
         for s in ("x1", "x3")
-        for n in range(5)
+        for n in LAGS
     )
 
 
 @query("H8_lagged_correlation", "panel_s", lag_sql(), digits="corr")
 def lagged_correlation(t: Tables):
-    return diagnose.lagged_correlation(t.panel_s, t.chunked, ["x1", "x3"], range(5))
+    return diagnose.lagged_correlation(t.panel_s, t.chunked, ["x1", "x3"], LAGS)
 
 
 @query(
@@ -576,7 +598,7 @@ def lagged_correlation(t: Tables):
     digits="peak_corr",
 )
 def peak_lag(t: Tables):
-    return diagnose.peak_lag(diagnose.lagged_correlation(t.panel_s, t.chunked, ["x1", "x3"], range(5)))
+    return diagnose.peak_lag(diagnose.lagged_correlation(t.panel_s, t.chunked, ["x1", "x3"], LAGS))
 
 
 @query(

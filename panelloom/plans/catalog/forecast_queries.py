@@ -163,8 +163,8 @@ def seasonal_mean(t: Tables):
 @query(
     "B4f_lag_repeats", "panel_u",
     """SELECT p.unique_id, p.hidx, a.y AS lag24, b.y AS lag168 FROM panel_u p
-    JOIN panel_u a ON a.unique_id = p.unique_id AND a.hidx = 528 + (p.hidx - 552) % 24
-    JOIN panel_u b ON b.unique_id = p.unique_id AND b.hidx = 384 + (p.hidx - 552) % 168 WHERE p.hidx >= 552 AND p.hidx < 720""",
+    JOIN (SELECT unique_id, hidx, y FROM panel_u WHERE hidx >= 528 AND hidx < 552) a ON a.unique_id = p.unique_id AND a.hidx = 528 + (p.hidx - 552) % 24
+    JOIN (SELECT unique_id, hidx, y FROM panel_u WHERE hidx >= 384 AND hidx < 552) b ON b.unique_id = p.unique_id AND b.hidx = 384 + (p.hidx - 552) % 168 WHERE p.hidx >= 552 AND p.hidx < 720""",
     digits="lag24 lag168",
 )
 def lag_repeats(t: Tables):

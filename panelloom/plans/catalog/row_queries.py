@@ -293,16 +293,13 @@ def map_lookup(t: Tables):
 
 @query(
     "J9_channel_merge", "cube",
-    "SELECT p.unique_id, p.ds, p.y, c.naive AS ch_a, c.seasonal_mean AS ch_b FROM panel_s p"
-    " LEFT JOIN (SELECT * FROM cube WHERE cutoff = 331) c USING (unique_id, ds)",
-    digits="ch_a ch_b",
+    "SELECT p.unique_id, p.ds, p.y, max(naive) FILTER (cutoff = 331) AS ch_a, max(seasonal_mean) FILTER (cutoff = 318) AS ch_b,"
+    " max(seasonal_mean) FILTER (cutoff = 305) AS ch_c FROM panel_s p LEFT JOIN cube c ON c.unique_id = p.unique_id AND c.ds = p.ds GROUP BY ALL",
+    digits="ch_a ch_b ch_c",
 )
 def channel_merge(t: Tables):
-    block = t.cube.filter("cutoff = 331")
-    channels = {
-        "ch_a": block.select("unique_id", "ds", F.col("naive").alias("ch_a")),
-        "ch_b": block.select("unique_id", "ds", F.col("seasonal_mean").alias("ch_b")),
-    }
+    made = (("ch_a", 331, "naive"), ("ch_b", 318, "seasonal_mean"), ("ch_c", 305, "seasonal_mean"))
+    channels = {n: t.cube.filter(F.col("cutoff") == c).select("unique_id", "ds", F.col(m).alias(n)) for n, c, m in made}
     return panel_files.merge_channels(t.panel_s.select("unique_id", "ds", "y"), channels, ["unique_id", "ds"])
 
 
@@ -492,7 +489,7 @@ def canonical(t: Tables):
       UNION ALL SELECT 2, 'naive+seasonal_mean', n_sm / ya FROM s UNION ALL SELECT 2, 'seasonal_naive+seasonal_mean', sn_sm / ya FROM s
       UNION ALL SELECT 3, 'naive+seasonal_naive+seasonal_mean', n_sn_sm / ya FROM s)
     SELECT CAST(size AS BIGINT) AS size, members, wape, row_number() OVER (PARTITION BY size ORDER BY wape, members) AS rank
-    FROM c QUALIFY rank <= 2
+    FROM c QUALIFY rank <= 10
     """,
     digits="wape",
 )
@@ -500,7 +497,7 @@ def top_combinations(t: Tables):
     from panelloom.operators.blend import combination_means
 
     table = combination_means(t.scored, t.weekly, MEMBERS, (1, 2, 3))
-    return index.ranked_within(table, ["size"], [F.col("wape"), F.col("members")], 2)
+    return index.ranked_within(table, ["size"], [F.col("wape"), F.col("members")], 10)
 
 
 @query(
@@ -572,18 +569,22 @@ def window_intersection(t: Tables):
 @query(
     "U5_combinations", "cube",
     """
-    WITH m AS (SELECT unnest(['naive', 'seasonal_naive', 'seasonal_mean']) AS m, unnest([1, 2, 3]) AS i),
-    c AS (SELECT a.m || '+' || b.m AS members, 2 AS size FROM m a JOIN m b ON a.i < b.i UNION ALL
-          SELECT a.m || '+' || b.m || '+' || c.m, 3 FROM m a JOIN m b ON a.i < b.i JOIN m c ON b.i < c.i)
-    SELECT members, CAST(size AS BIGINT) AS size, (SELECT count(*) FROM scored) AS n_rows FROM c
+    WITH s AS (SELECT member AS m, count(*) AS n, sum(abs(y - p)) AS ae FROM (UNPIVOT scored ON naive, seasonal_naive, seasonal_mean INTO NAME member VALUE p) GROUP BY 1),
+    m AS (SELECT m, n, row_number() OVER (ORDER BY m) AS i FROM s),
+    c AS (SELECT a.m || '+' || b.m AS members, 2 AS size, least(a.n, b.n) AS n_rows FROM m a JOIN m b ON a.i < b.i UNION ALL
+          SELECT a.m || '+' || b.m || '+' || c.m, 3, least(a.n, b.n, c.n) FROM m a JOIN m b ON a.i < b.i JOIN m c ON b.i < c.i)
+    SELECT members, CAST(size AS BIGINT) AS size, n_rows FROM c
     """,
 )
 def combos(t: Tables):
     from panelloom.operators.blend import combinations_of
 
-    names = combinations_of(MEMBERS, (2, 3))
-    sizes = F.array(*(F.struct(F.lit("+".join(c)).alias("members"), F.lit(len(c)).cast("long").alias("size")) for c in names))
-    return t.scored.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.explode(sizes).alias("_c")).select("_c.*", "n_rows")
+    # The members are those the cube holds forecasts of, the rows those that all of a combination forecast.
+    known = t.scored.agg(*(F.count(m).alias(m) for m in sorted(set(t.scored.columns) & set(MEMBERS)))).first().asDict()
+    names = combinations_of([m for m, n in known.items() if n], (2, 3))
+    rows = t.scored.agg(*(F.count_if(F.forall(F.array(*c), lambda x: x.isNotNull())).alias("+".join(c)) for c in names))
+    cells = F.array(*(F.struct(F.lit("+".join(c)).alias("members"), F.lit(len(c)).cast("long").alias("size"), F.col(f"`{'+'.join(c)}`").alias("n_rows")) for c in names))
+    return rows.select(F.inline(cells))
 
 
 # ---------------------------------------------------------------- scalar functions

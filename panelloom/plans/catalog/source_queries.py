@@ -9,7 +9,7 @@ from panelloom.operators import blocks, evaluate, impute, index, members, origin
 from panelloom.operators.members import TreeConfig
 from panelloom.plans import workflows
 from panelloom.plans.registry import query
-from panelloom.plans.tables import MEMBERS, SIGNALS, Tables
+from panelloom.plans.tables import CUTOFFS, MEMBERS, SIGNALS, Tables
 from panelloom.sources import cubes, panel_files, results, retail
 
 CUT = 331
@@ -77,15 +77,20 @@ def pruned_csv(t: Tables):
 
 @query(
     "S6_prediction_sink", "cube",
-    "SELECT unique_id AS series_id, ds AS timestamp, seasonal_mean AS prediction FROM scored WHERE cutoff = 331", digits="prediction",
+    "SELECT cutoff, unique_id AS series_id, ds AS timestamp, seasonal_mean AS prediction FROM scored", digits="prediction",
 )
 def prediction_sink(t: Tables):
-    path = t.scratch("predictions.csv")
-    rows = t.scored.filter("cutoff = 331").select(
-        F.col("unique_id").alias("series_id"), F.col("ds").alias("timestamp"), F.col("seasonal_mean").alias("prediction")
-    )
-    panel_files.write_predictions(rows, path, ["series_id", "timestamp"], "prediction")
-    return t.spark.read.schema("series_id string, timestamp timestamp, prediction double").csv(path, header=True)
+    out = None
+    for cut in CUTOFFS:
+        path = t.scratch(f"predictions_{cut}.csv")
+        rows = t.scored.filter(F.col("cutoff") == cut).select(
+            F.col("unique_id").alias("series_id"), F.col("ds").alias("timestamp"), F.col("seasonal_mean").alias("prediction")
+        )
+        panel_files.write_predictions(rows, path, ["series_id", "timestamp"], "prediction")
+        part = t.spark.read.schema("series_id string, timestamp timestamp, prediction double").csv(path, header=True)
+        part = part.withColumn("cutoff", F.lit(cut).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("S7_member_cube_store", "cube", "SELECT cutoff, unique_id, ds, y, seasonal_mean, 2 AS keys_refused FROM scored", digits="seasonal_mean")
@@ -332,14 +337,18 @@ def sweep_run(t: Tables):
 
 @query(
     "R3_registered_members", "cube",
-    "SELECT sum(abs(y - naive)) / sum(abs(y)) AS naive, sum(abs(y - seasonal_naive)) / sum(abs(y)) AS seasonal_naive,"
-    " sum(abs(y - seasonal_mean)) / sum(abs(y)) AS seasonal_mean FROM scored WHERE cutoff = 331",
+    "SELECT cutoff, sum(abs(y - naive)) / sum(abs(y)) AS naive, sum(abs(y - seasonal_naive)) / sum(abs(y)) AS seasonal_naive,"
+    " sum(abs(y - seasonal_mean)) / sum(abs(y)) AS seasonal_mean FROM scored GROUP BY 1",
     digits="naive seasonal_naive seasonal_mean",
 )
 def registered_members(t: Tables):
     from panelloom.operators.assembly import join_members
 
-    ctx = runners.Context(t.panel_s, t.weekly, CUT)
-    frames = {m: runners.run_member(m, ctx) for m in runners.available("baseline")}
-    cube = join_members(frames, ["unique_id", "ds", "y"])
-    return cube.agg(*(M.wape(F.col("y"), F.col(m)).alias(m) for m in frames))
+    out = None
+    for cut in CUTOFFS:
+        ctx = runners.Context(t.panel_s, t.weekly, cut)
+        frames = {m: runners.run_member(m, ctx) for m in runners.available("baseline")}
+        cube = join_members(frames, ["unique_id", "ds", "y"])
+        part = cube.agg(*(M.wape(F.col("y"), F.col(m)).alias(m) for m in frames)).withColumn("cutoff", F.lit(cut).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return out

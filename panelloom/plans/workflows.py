@@ -112,7 +112,7 @@ def run_panel(
             frames[arm] = frame
             record(arm, frame, arm, time.perf_counter() - start)
         except Exception as e:  # noqa: BLE001 - recorded, not fatal
-            out.append((arm, "error", f"{type(e).__name__}: {e}"[:500], None, time.perf_counter() - start, *([None] * len(METRICS))))
+            out.append((arm, "error", f"{type(e).__name__}: {e}", None, time.perf_counter() - start, *([None] * len(METRICS))))
     if "tree" in frames and partner in frames:
         both = join_members({m: frames[m] for m in ("tree", partner)}, [*keys, spec.target, "is_scored"])
         fitted = blend.gap_refit(both, spec, "tree", partner).first()["weight"]

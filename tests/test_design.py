@@ -99,7 +99,9 @@ def test_ragged_series_split_on_their_own_tails(panel):
     out = index.gapped_split(ragged, SPEC, 6).toPandas()
     sizes = out.groupby(["unique_id", "part"]).size().unstack()
     assert sizes.gap.tolist() == [6, 6] and sizes.score.tolist() == [6, 6] and sizes.train.tolist() == [48, 38]
-    short = index.gapped_split(panel.filter("hidx < 24").drop("hidx"), SPEC, 6).toPandas()
+    with pytest.raises(ValueError):
+        index.gapped_split(panel.filter("hidx < 24").drop("hidx"), SPEC, 6)
+    short = index.gapped_split(panel.filter("hidx < 24").drop("hidx"), SPEC, 6, shrink=True).toPandas()
     assert (short.groupby(["unique_id", "part"]).size().unstack()[["gap", "score"]] == 4).all().all()
 
 
