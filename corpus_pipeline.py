@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelloom.llm import mixing, passages, pieces, quality, simhash
-from panelloom.llm.common import kept_table, table
+from panelloom.llm.common import forget, kept_table, table
 
 #: SimHash links, shingle chains and sampled segmentations are no SQL; tests hold every stage against a plain version.
 ORACLE_SQL = None
@@ -56,6 +56,10 @@ STAGES = [
 
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = kept_table(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

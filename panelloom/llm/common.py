@@ -42,7 +42,16 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and continue from there: lineage is cut, and lost executors cost nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(kept: DataFrame) -> None:
+    """Remove the files of a kept table that nothing reads any more."""
+    jvm = kept.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(kept.kept_at)
+    path.getFileSystem(kept.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
