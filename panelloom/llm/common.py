@@ -5,6 +5,7 @@ Words are maximal runs of anything but space and the five ASCII controls from ta
 
 from __future__ import annotations
 
+import gc
 import math
 import string
 import uuid
@@ -48,10 +49,15 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(kept: DataFrame) -> None:
-    """Remove the files of a kept table that nothing reads any more."""
+    """Remove the files of a kept table that nothing reads any more, and let Spark drop the shuffles that made it.
+
+    Spark drops shuffle files when the driver finds their plans unused, which may be long after; so it is asked to look.
+    """
     jvm = kept.sparkSession._jvm
     path = jvm.org.apache.hadoop.fs.Path(kept.kept_at)
     path.getFileSystem(kept.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelloom.llm.common import SPACE, kept_table, words
+from panelloom.llm.common import SPACE, words
 from panelloom.session import checkpointed
 
 SYMBOLS = "#*$%&|<>"
@@ -142,9 +142,13 @@ def judge_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -
 def passing_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, whole and with their own columns whatever these are called.
 
-    Rows are written once beside their counts, so texts are neither counted twice nor joined.
+    Texts are counted once; the verdicts are found again by stratum, length and two hashes of text and id.
     """
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col(stratum), "text")
-    counted = kept_table(text_counts(packed).drop("text"), "counted")
-    cutoffs = choose_cutoffs(counted.drop("row"), labels, stratum)
-    return verdicts(counted, cutoffs, stratum).filter("kept").select("row.*")
+    body = F.coalesce(F.col("row.text"), F.lit(""))
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    key = {"k1": F.xxhash64("row.doc_id", body), "k2": F.hash(body, "row.doc_id"), "k3": F.octet_length(body), "k4": F.coalesce(F.col(f"row.{stratum}").cast("string"), F.lit(""))}
+    packed = packed.select("row", *(c.alias(n) for n, c in key.items()))
+    rows = packed.select(*key, F.col("row.doc_id").alias("doc_id"), F.col(f"row.{stratum}").alias("stratum"), F.col("row.text").alias("text"))
+    counted = checkpointed(text_counts(rows).select(*key, "doc_id", "stratum", *COUNTS))
+    judged = verdicts(counted, choose_cutoffs(counted, labels, "stratum"), "stratum")
+    return packed.join(judged.filter("kept").select(*key).distinct(), list(key), "left_semi").select("row.*")
