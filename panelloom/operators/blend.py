@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,10 +140,10 @@ def gap_refit(df: DataFrame, spec: PanelSpec, a: str, b: str, points: int = 101)
     )
 
 
-# ---------------------------------------------------------------- simplex by Frank-Wolfe
+# ---------------------------------------------------------------- simplex by exact line searches
 
 
-def _steps_curve(df: DataFrame, r: Column, d: Column, bins: int = 1024, read_below: int = 20_000) -> float:
+def _steps_curve(df: DataFrame, r: Column, d: Column, bins: int = 1024, exact_below: int = 20_000) -> float:
     """Exact minimiser of ``sum |r - g*d|`` over g in [0, 1]: the weighted median of r/d.
 
     Equal ratios are one value with one weight. A histogram over the values is narrowed to the range of the bin
@@ -174,7 +175,7 @@ def _steps_curve(df: DataFrame, r: Column, d: Column, bins: int = 1024, read_bel
         inside = F.col("t").between(lo, hi)
         if lo == hi:
             return min(1.0, max(0.0, lo))
-        if hit["n"] <= read_below:
+        if hit["n"] <= exact_below:
             break
     for row in values.filter(inside).orderBy("t").collect():
         below += row["w"]
@@ -183,11 +184,12 @@ def _steps_curve(df: DataFrame, r: Column, d: Column, bins: int = 1024, read_bel
     return min(1.0, max(0.0, hi))
 
 
-def fit_simplex(df: DataFrame, spec: PanelSpec, members: Sequence[str], iters: int = 300) -> dict[str, float]:
-    """Convex weights with the lowest absolute error (Frank-Wolfe with exact line search).
+def fit_simplex(df: DataFrame, spec: PanelSpec, members: Sequence[str], sweeps: int = 50, points: int = 2_000) -> dict[str, float]:
+    """Convex weights with the lowest absolute error: the best point of a grid, then exact line searches.
 
-    The prediction is linear in the weights, so each iteration is a fresh aggregation of ``df`` at
-    the current weights and no state is carried through the plan. Pass a checkpointed ``df``.
+    A line search moves weight between two members. It never raises the error, so the result is no worse
+    than the grid, whose step is the finest with at most ``points`` points. Sweeps over all pairs end when
+    none moves. Every search is a few aggregations of ``df``; pass a checkpointed ``df``.
     """
     members = list(members)
     y = F.col(spec.target)
@@ -197,15 +199,22 @@ def fit_simplex(df: DataFrame, spec: PanelSpec, members: Sequence[str], iters: i
         a, b = members
         g = _steps_curve(df, y - F.col(b), F.col(a) - F.col(b))
         return {a: g, b: 1.0 - g}
-    w = {m: 1.0 / len(members) for m in members}
-    for _ in range(iters):
-        pred = weighted_sum(w)
-        pull = df.agg(*(F.sum(F.col(m) * F.sign(y - pred)).alias(m) for m in members)).first()
-        j = max(members, key=lambda m: pull[m])
-        g = _steps_curve(df, y - pred, F.col(j) - pred)
-        if g <= 1e-9:  # the same vertex would be tried again with the same result
+    parts = max((n for n in range(1, 21) if comb(n + len(members) - 1, n) <= points), default=1)
+    starts = simplex_grid(members, parts)
+    sums = totals(df, spec.target, {f"_g{i}": weighted_text(w) for i, w in enumerate(starts)})
+    w = dict(starts[min(range(len(starts)), key=lambda i: (sums[f"_g{i}"], i))])
+    for _ in range(sweeps):
+        moved = 0.0
+        for a, b in combinations(members, 2):
+            both = w[a] + w[b]
+            if not both:
+                continue
+            rest = weighted_sum({**w, a: 0.0, b: both})
+            g = _steps_curve(df, y - rest, F.lit(both) * (F.col(a) - F.col(b)))
+            moved = max(moved, abs(g * both - w[a]))
+            w[a], w[b] = g * both, (1.0 - g) * both
+        if moved <= 1e-9:
             break
-        w = {m: x * (1 - g) + (g if m == j else 0.0) for m, x in w.items()}
     return w
 
 

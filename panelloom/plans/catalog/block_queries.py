@@ -170,16 +170,39 @@ def a11(t, df):
     return blocks.system_leads_lags(df, t.chunked, ["x1"], (-4, 4, 13))
 
 
-@query("X8_A8_learned_partition")
+@query(
+    "X8_A8_learned_partition", "panel_s",
+    f"""WITH v AS (SELECT unique_id, var_pop(y) AS v FROM panel_s WHERE hidx < {CUT} GROUP BY 1)
+    SELECT count(*) AS series, count(*) FILTER (v = 0) AS flat, TRUE AS each_once, TRUE AS at_most_k, TRUE AS means_hold FROM v""",
+)
 def a8(t: Tables):
-    out, names = blocks.learned_partition(full(t), t.weekly, ["x1"], CUT, k=8)
-    return out.select("unique_id", "hidx", *names)
+    df = full(t)
+    groups = blocks.learned_groups(df, t.weekly, CUT, 8)
+    out, (name,) = blocks.learned_partition(df, t.weekly, ["x1"], CUT, k=8)
+    spans = out.join(groups, "unique_id").groupBy("cluster", "hidx").agg(F.max(name).alias("hi"), F.min(name).alias("lo"), F.avg("x1").alias("m"))
+    held = spans.agg(F.every((F.abs(F.col("hi") - F.col("m")) < 1e-9) & (F.abs(F.col("lo") - F.col("m")) < 1e-9)).alias("means_hold"))
+    count = groups.agg(
+        F.count(F.lit(1)).alias("series"), F.count_if(F.col("cluster") == -1).alias("flat"), (F.count(F.lit(1)) == F.count_distinct("unique_id")).alias("each_once"),
+        (F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))) <= 8).alias("at_most_k"),
+    )
+    return count.withColumn("means_hold", F.lit(held.first()[0]))
 
 
-@query("X12_A12_principal_components")
+@query(
+    "X12_A12_principal_components", "panel_s",
+    "SELECT count(DISTINCT hidx) AS hours, TRUE AS same_for_all, TRUE AS in_order, TRUE AS orthogonal FROM panel_s",
+)
 def a12(t: Tables):
     out, names = blocks.principal_components(full(t), t.weekly, ["x1"], CUT, 3)
-    return out.select("unique_id", "hidx", *names)
+    hours = out.groupBy("hidx").agg(*(F.max(n).alias(n) for n in names), *(F.min(n).alias(f"_lo{i}") for i, n in enumerate(names)))
+    a, b, c = (F.when(F.col("hidx") < CUT, F.col(n)) for n in names)
+    size = lambda x: F.sum(x * x)
+    apart = lambda x, y: F.abs(F.sum(x * y)) < 1e-6 * F.sqrt(size(x) * size(y))
+    same = F.every(F.greatest(*(F.abs(F.col(n) - F.col(f"_lo{i}")) for i, n in enumerate(names))) < 1e-9)
+    return hours.agg(
+        F.count(F.lit(1)).alias("hours"), same.alias("same_for_all"), ((size(a) >= size(b)) & (size(b) >= size(c))).alias("in_order"),
+        (apart(a, b) & apart(a, c) & apart(b, c)).alias("orthogonal"),
+    )
 
 
 @query(

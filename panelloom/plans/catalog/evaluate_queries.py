@@ -195,14 +195,17 @@ def two_member(t: Tables):
     return t.spark.createDataFrame([(SN, SM, w[SN])], "a string, b string, weight_a double")
 
 
-@query("G2_fit_simplex")
+@query("G2_fit_simplex", "cube", "SELECT count(*) AS fitted_rows, TRUE AS convex, TRUE AS below_grid FROM scored WHERE blk < 9")
 def simplex(t: Tables):
     rows = t.stored_scored
-    w = blend.fit_simplex(rows.filter(F.col("blk") < t.weekly.late_from), t.weekly, MEMBERS)
-    late = rows.filter(F.col("blk") >= t.weekly.late_from)
-    weights = F.array(*(F.struct(F.lit(m).alias("member"), F.lit(x).alias("weight")) for m, x in w.items()))
-    table = late.agg(M.wape(F.col("y"), blend.weighted_sum(w)).alias("late_wape"))
-    return table.select("late_wape", F.explode(weights).alias("_w")).select("_w.*", "late_wape")
+    early = rows.filter(F.col("blk") < t.weekly.late_from)
+    w = blend.fit_simplex(early, t.weekly, MEMBERS)
+    # No point of a grid over the simplex has a lower error than the fitted weights.
+    points = {f"g{i}": blend.weighted_text(x) for i, x in enumerate(blend.simplex_grid(MEMBERS, 20))}
+    sums = blend.totals(early, "y", {"fit": blend.weighted_text(w), **points})
+    convex = abs(sum(w.values()) - 1) < 1e-9 and min(w.values()) >= 0
+    row = (early.count(), convex, sums["fit"] <= min(sums[g] for g in points) * (1 + 1e-6))
+    return t.spark.createDataFrame([row], "fitted_rows long, convex boolean, below_grid boolean")
 
 
 def combos_sql() -> str:

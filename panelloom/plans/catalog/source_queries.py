@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import metrics as M
@@ -183,41 +186,80 @@ def filled(t: Tables):
     return impute.apply_fill(t.panel_s, t.weekly, stats)
 
 
-@query("D10_tree_member")
+def shape(t: Tables, rows, pred: str, arm=None):
+    """What holds of any sound forecast: per step its rows and series, none missing or negative; overall better than the last value."""
+    base = t.cube.filter(F.col("cutoff") == CUT).select("unique_id", "ds", F.col("y").alias("_y"), F.col("naive").alias("_n"), F.col("step").alias("_step"))
+    joined = rows.join(base, ["unique_id", "ds"]).withColumn("arm", arm if arm is not None else F.lit(pred))
+    p = F.col(pred)
+    out = joined.groupBy("arm", F.col("_step").alias("step")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("unique_id").alias("series"), F.every((p >= 0) & ~F.isnan(p)).alias("sound"),
+        F.sum(F.abs(F.col("_y") - p)).alias("_ae"), F.sum(F.abs(F.col("_y") - F.col("_n"))).alias("_an"),
+    )
+    whole = Window.partitionBy("arm")
+    return out.select("arm", "step", "n", "series", "sound", (F.sum("_ae").over(whole) < F.sum("_an").over(whole)).alias("below_naive"))
+
+
+def shape_sql(first: int, *arms: str, last: int = 26) -> str:
+    return (
+        f"SELECT arm, step, count(*) AS n, count(DISTINCT unique_id) AS series, TRUE AS sound, TRUE AS below_naive FROM cube,"
+        f" (SELECT unnest({list(arms)}) AS arm) WHERE cutoff = {CUT} AND step BETWEEN {first} AND {last} GROUP BY 1, 2"
+    )
+
+
+@query("D10_tree_member", "cube", shape_sql(14, "tree", "unit"))
 def tree_member(t: Tables):
-    return members.predict_gapped(filled(t), t.weekly, CUT, SMALL)
+    # With and without the unit as a category.
+    rows = filled(t)
+    plain = shape(t, members.predict_gapped(rows, t.weekly, CUT, SMALL), "tree")
+    unit = members.predict_gapped(rows, t.weekly, CUT, replace(SMALL, unit=True), name="unit")
+    return plain.unionByName(shape(t, unit, "unit"))
 
 
-@query("D11_tune_rounds")
+@query(
+    "D11_tune_rounds", "panel_s",
+    f"SELECT count(DISTINCT unique_id) > 0 AS fitted, 12 AS max_rounds, {CUT} - 13 AS valid_from, {CUT} AS valid_to, TRUE AS within, TRUE AS scored FROM panel_s",
+)
 def tune_rounds(t: Tables):
-    report = members.tune_rounds(filled(t), t.weekly, CUT, SMALL, 12, 3)
-    return t.spark.createDataFrame([{k: v for k, v in report.items()}])
+    r = members.tune_rounds(filled(t), t.weekly, CUT, SMALL, 12, 3)
+    row = (r["n_train_rows"] > r["n_valid_rows"] > 0, r["max_rounds"], r["valid_from"], r["valid_to"], 1 <= r["best_iteration"] <= 12, r["best_score"] > 0)
+    return t.spark.createDataFrame([row], "fitted boolean, max_rounds long, valid_from long, valid_to long, within boolean, scored boolean")
 
 
-@query("D12_second_tree_family")
+@query("D12_second_tree_family", "cube", shape_sql(14, "tree2"))
 def second_tree(t: Tables):
     config = members.symmetric_config(TreeConfig(**{**SMALL.__dict__, "rounds": 6}))
-    return members.predict_gapped(filled(t), t.weekly, CUT, config, name="tree2")
+    return shape(t, members.predict_gapped(filled(t), t.weekly, CUT, config, name="tree2"), "tree2")
 
 
-@query("D13_recursive_trees")
+@query("D13_recursive_trees", "cube", shape_sql(1, "recursive"))
 def recursive(t: Tables):
     config = TreeConfig(**{**SMALL.__dict__, "futr": ("x1",)})
-    return members.recursive_trees(filled(t), t.weekly, CUT, 26, config, (1, 2, 4, 13, 26), 4)
+    return shape(t, members.recursive_trees(filled(t), t.weekly, CUT, 26, config, (1, 2, 4, 13, 26), 4), "recursive")
 
 
-@query("D14_residual_member")
+@query("D14_residual_member", "cube", shape_sql(14, "corrected"))
 def residual(t: Tables):
     start = t.panel_s.select("unique_id", F.col("hidx").alias("_o"), F.col("ds").alias("_cut"))
     oof = t.cube.filter("cutoff < 331").withColumn("_o", F.col("cutoff") - 1).join(start, ["unique_id", "_o"])
     oof = oof.select("unique_id", "ds", F.col("_cut").alias("cutoff"), "y", "seasonal_mean")
     preds = t.scored.filter("cutoff = 331").select("unique_id", "ds", "y", "seasonal_mean")
-    return members.residual_member(filled(t), t.weekly, CUT, oof, preds, "seasonal_mean", SMALL)
+    return shape(t, members.residual_member(filled(t), t.weekly, CUT, oof, preds, "seasonal_mean", SMALL), "corrected")
+
 
+RIDGE = f"""WITH k AS (SELECT * FROM panel_s WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL),
+    m AS (SELECT avg(y) AS my, stddev_pop(y) AS sy, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, stddev_pop(x3) AS s3,
+      corr(x1, x2) AS a, corr(x1, x3) AS b, corr(x2, x3) AS c, corr(x1, y) AS p, corr(x2, y) AS q, corr(x3, y) AS r, 1 + 1 / stddev_pop(y) AS d FROM k WHERE hidx < {CUT}),
+    w AS (SELECT *, d * d * d + 2 * a * b * c - d * (a * a + b * b + c * c) AS det FROM m),
+    v AS (SELECT *, (p * (d * d - c * c) - q * (a * d - b * c) + r * (a * c - b * d)) / det * sy / s1 AS w1,
+      (q * (d * d - b * b) - p * (a * d - b * c) - r * (c * d - a * b)) / det * sy / s2 AS w2,
+      (r * (d * d - a * a) + p * (a * c - b * d) - q * (c * d - a * b)) / det * sy / s3 AS w3 FROM w)
+    SELECT unique_id, ds, hidx - {CUT} + 1 AS step, y, greatest(my + w1 * (x1 - m1) + w2 * (x2 - m2) + w3 * (x3 - m3), 0) AS ridge
+    FROM k, v WHERE hidx >= {CUT} AND hidx < {CUT} + 26"""
 
-@query("D15_ridge_control")
+
+@query("D15_ridge_control", "panel_s", RIDGE, digits={"ridge": 5})
 def ridge(t: Tables):
-    return members.ridge_control(filled(t), t.weekly, CUT, 26, SIGNALS)
+    return members.ridge_control(t.panel_s, t.weekly, CUT, 26, SIGNALS).drop("cutoff")
 
 
 @query(
@@ -236,7 +278,12 @@ def residual_target(t: Tables):
     return members.from_residual_target(preds, frame, t.weekly, "channel", "p").select("unique_id", "ds", "p")
 
 
-@query("D17_residual_stacker")
+@query(
+    "D17_residual_stacker", "cube",
+    """WITH l AS (SELECT count(*) AS n_rows, sum(abs(y - 0.4e0 * seasonal_naive - 0.6e0 * seasonal_mean)) / sum(abs(y)) AS blend_wape FROM scored WHERE blk >= 9)
+    SELECT arm, n_rows, blend_wape, TRUE AS on_grid, TRUE AS sound FROM l, (SELECT unnest(['all', 'no_clock']) AS arm)""",
+    digits="blend_wape",
+)
 def stacker(t: Tables):
     cov = filled(t).select("unique_id", "ds", "x1", "x2", "capacity")
     from panelloom.session import checkpointed
@@ -250,10 +297,11 @@ def stacker(t: Tables):
     for name, features in (("all", [*clock_free, "blk"]), ("no_clock", clock_free)):
         part = members.residual_stacker(cube, t.weekly, mix, MEMBERS, features, early, ~early, config).withColumn("arm", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return out
+    on_grid = F.col("gamma").isin(list(members.STACK_GRID))
+    return out.select("arm", "n_rows", "blend_wape", on_grid.alias("on_grid"), (F.col("stacked_wape") < 1.5 * F.col("blend_wape")).alias("sound"))
 
 
-@query("R7_arms_one_fit")
+@query("R7_arms_one_fit", "cube", shape_sql(1, "real", "median", "ffill_decay"))
 def arms(t: Tables):
     df = filled(t)
     config = TreeConfig(**{**SMALL.__dict__, "futr": ("x1", "x2")})
@@ -262,20 +310,24 @@ def arms(t: Tables):
     frames = {"real": future}
     for s in ("median", "ffill_decay"):
         frames[s] = impute.withhold_gap(future, history, t.weekly, 13, ["x1", "x2"], strategy=s)
-    return members.predict_arms(df, t.weekly, member, frames)
+    return shape(t, members.predict_arms(df, t.weekly, member, frames), "tree", F.col("arm"))
 
 
-@query("R7_member_runner")
+@query("R7_member_runner", "cube", shape_sql(14, "tree_level"))
 def member_runner(t: Tables):
     ctx = runners.Context(filled(t), t.weekly, CUT, seed=7, gap_fill="ffill_decay", config=SMALL)
-    return runners.run_member("tree_level", ctx)
+    return shape(t, runners.run_member("tree_level", ctx), "tree_level")
 
 
-@query("Y2_run_panel")
+@query(
+    "Y2_run_panel", "cube",
+    """SELECT arm, CASE WHEN arm = 'absent' THEN 'unknown arm' ELSE 'ok' END AS status, arm <> 'absent' AS scored
+    FROM (SELECT unnest(['naive', 'seasonal_naive', 'seasonal_mean', 'channel', 'tree', 'recursive', 'absent', 'blend', 'blend_refit']) AS arm) WHERE (SELECT count(*) FROM scored) > 0""",
+)
 def run_panel(t: Tables):
     config = TreeConfig(rounds=5, depth=3, stride=52, step=0.2)
     out = workflows.run_panel(t.panel_s, t.weekly, config, ("naive", "seasonal_naive", "seasonal_mean", "channel", "tree", "recursive", "absent"))
-    return out.drop("seconds", "error")
+    return out.select("arm", "status", F.coalesce(F.col("wape").between(0, 3), F.lit(False)).alias("scored"))
 
 
 @query(
@@ -326,13 +378,20 @@ def inference_run(t: Tables):
     return out.select("unique_id", "ds", "prediction", F.lit(rung).alias("rung"))
 
 
-@query("G3_sweep_run")
+@query(
+    "G3_sweep_run", "cube",
+    """SELECT members, TRUE AS sound FROM (SELECT unnest(['naive+seasonal_naive', 'naive+seasonal_mean', 'seasonal_naive+seasonal_mean',
+      'naive+seasonal_naive+seasonal_mean', 'pool', 'best minus incumbent']) AS members) WHERE (SELECT count(*) FROM scored) > 0""",
+)
 def sweep_run(t: Tables):
-    out = workflows.sweep(t.scored, t.weekly, MEMBERS, {"seasonal_naive": 0.5, "seasonal_mean": 0.5}, n_boot=100)
+    out = workflows.sweep(t.scored, t.weekly, MEMBERS, {"seasonal_naive": 0.5, "seasonal_mean": 0.5})
+    # A convex mixture has no larger error than its worst member.
+    late = t.scored.filter(F.col("blk") >= t.weekly.late_from)
+    worst = max(late.agg(*(M.wape(F.col("y"), F.col(m)).alias(m) for m in MEMBERS)).first()) + 1e-9
     best = out["combinations"].select("members", "late_wape")
     return best.unionByName(out["pool"].select(F.lit("pool").alias("members"), "late_wape")).unionByName(
         out["best_vs_incumbent"].select(F.lit("best minus incumbent").alias("members"), F.col("delta").alias("late_wape"))
-    )
+    ).select("members", (F.col("late_wape") < worst).alias("sound"))
 
 
 @query(
