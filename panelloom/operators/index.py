@@ -84,6 +84,14 @@ def select_horizon(df: DataFrame, spec: PanelSpec, horizon: str) -> DataFrame:
     return df.filter(near if horizon == "near" else ~near)
 
 
+def common_length(df: DataFrame, spec: PanelSpec) -> int:
+    """Rows of every series; series that end at different positions have no common cut and are refused."""
+    ends = df.groupBy(spec.id).agg(F.max(spec.index).alias("end")).agg(F.min("end").alias("lo"), F.max("end").alias("hi")).first()
+    if ends["lo"] != ends["hi"]:
+        raise ValueError(f"series end at different positions ({ends['lo']} to {ends['hi']}): split each at its own tail")
+    return ends["hi"] + 1
+
+
 def split_horizon(df: DataFrame, spec: PanelSpec, horizon: int) -> int:
     """The block length a panel of ragged series allows (one number read on the driver); for small fixtures."""
     lengths = df.groupBy(spec.id).agg(F.count(F.lit(1)).alias("n"))

@@ -48,16 +48,17 @@ def load_window(t: Tables):
     return out.drop("hidx", "capacity", "zone")
 
 
-@query("S3_index_and_covariates", "panel_s", "SELECT unique_id AS series_id, ds AS timestamp, x1, x3 FROM panel_s WHERE hidx >= 344", digits="x1 x3")
+@query("S3_index_and_covariates", "panel_s", "SELECT unique_id AS series_id, ds AS timestamp, x1, x3, row_number() OVER (ORDER BY ds DESC, unique_id) - 1 AS _order FROM panel_s WHERE hidx >= 344", digits="x1 x3")
 def index_and_covariates(t: Tables):
     folder = t.scratch("inputs")
     rows = t.panel_s.filter("hidx >= 344").select(F.col("unique_id").alias("series_id"), F.col("ds").alias("timestamp"), "x1", "x3")
-    rows.select("series_id", "timestamp").write.csv(f"{folder}/forecast_index_b.csv", header=True)
+    asked = rows.select("series_id", "timestamp").orderBy(F.desc("timestamp"), "series_id")
+    asked.write.csv(f"{folder}/forecast_index_b.csv", header=True)  # several files, in order
     rows.limit(0).select("series_id", "timestamp").write.csv(f"{folder}/forecast_index_c.csv", header=True)
     rows.write.csv(f"{folder}/validation_input.csv", header=True)
     wanted = panel_files.load_forecast_index(t.spark, folder)
     cov = panel_files.load_covariates(t.spark, folder, ["x1", "x3"])
-    return wanted.drop("_order").join(cov, ["series_id", "timestamp"], "left")
+    return wanted.join(cov, ["series_id", "timestamp"], "left")
 
 
 @query(

@@ -38,7 +38,7 @@ def predict(
     plan = impute.horizon_plan(history, forecast_index, spec).first()
     h = plan["h_required"]
     hist = history if spec.index in history.columns else index.add_index(history, spec)
-    cut = hist.agg(F.max(spec.index)).first()[0] + 1
+    cut = index.common_length(hist, spec)
     stats = impute.fit_fill_stats(hist, spec)
     grid = impute.future_grid(hist, spec, h)
     future = impute.build_future(covariates, grid, spec, stats)
@@ -80,7 +80,7 @@ def run_panel(
     """
     from panelloom.operators import origin
 
-    length = df.agg(F.max(spec.index)).first()[0] + 1
+    length = index.common_length(df, spec)
     cut, h = length - spec.full_horizon, spec.full_horizon
     rows = index.horizons(df.select(spec.id, spec.time, spec.index), spec, [cut])
     keys = [spec.id, spec.time]

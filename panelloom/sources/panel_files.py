@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -58,14 +58,12 @@ def first_match(folder: str, exact: Sequence[str], pattern: str, read: Callable[
             return read(f"{folder}/{name}")
         except AnalysisException:
             continue
-    try:
-        found = read(f"{folder}/{pattern}")
-    except AnalysisException:
-        return None
-    name = "/" + pattern.replace(".", "\\.").replace("*", "[^/]*") + "(?=/|$)"
-    place = F.concat(F.regexp_extract(F.input_file_name(), f"^(.*?){name}", 1), F.regexp_extract(F.input_file_name(), name, 0))
-    first = found.select(place.alias("_f")).distinct().agg(F.min("_f")).first()[0]
-    return read(first) if first else found
+    # The folder is listed, no file is read to learn its name.
+    spark = SparkSession.active()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    names = sorted(f.getPath().toString() for f in found or [])
+    return read(names[0]) if names else None
 
 
 # The file names looked for before any pattern.
@@ -134,8 +132,21 @@ def assign_predictions(index: DataFrame, preds: DataFrame, keys: Sequence[str],
 
 
 def with_order(df: DataFrame, name: str = "_order") -> DataFrame:
-    """Position of each row in its file, increasing across the file's splits."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Position of each row from 0: by file path, place of the split in its file, and row. ``df`` is a read of files;
+    any other frame is numbered in its own partition order.
+
+    Inside a split rows have consecutive numbers; a split starts where the rows of the splits before it end.
+    """
+    try:
+        rows = df.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()})
+        rows.schema  # noqa: B018 - resolves the file columns
+    except AnalysisException:
+        return df.withColumn(name, F.monotonically_increasing_id())
+    splits = rows.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    places = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    at = F.col("_base") + F.col("_row") - F.col("_first")
+    return rows.join(places.drop("_n"), ["_file", "_start"]).withColumn(name, at.cast("long")).drop("_file", "_start", "_row", "_first", "_base")
 
 
 def write_predictions(df: DataFrame, path: str, keys: Sequence[str], pred: str, order: str | None = None, *, one_file: bool = False) -> None:

@@ -72,22 +72,23 @@ def test_cube_store_refuses_on_any_doubt(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def shop(spark):
-    panel, statics = retail.synthetic(spark, 8, 300)
+    """Eight shops over 300 days: a level each, a weekday pattern, a promotion every tenth day, a price in steps."""
+    day, shop_no = F.col("id") % 300, F.floor(F.col("id") / 300)
+    date = F.date_add(F.lit("2020-01-01").cast("date"), day.cast("int"))
+    weekday = F.get(F.array(*map(F.lit, (3.0, 1.0, 4.0, 1.5, 5.0, 2.0, 0.5))), F.weekday(date))
+    promo, wobble = (day % 10 == 0).cast("double"), (F.col("id") * 7919 % 101) / 101.0
+    panel = spark.range(8 * 300).select(
+        F.concat(F.lit("shop_"), F.lpad(shop_no.cast("string"), 3, "0")).alias("unique_id"), date.cast("timestamp").alias("ds"), day.alias("hidx"),
+        (weekday + 2 * promo + shop_no / 2 + wobble).alias("y"), (F.lit(1.0) + F.floor(day / 20) / 10).alias("sell_price"),
+        promo.alias("snap_CA"), (1 - promo).alias("snap_TX"), promo.alias("snap_WI"), F.weekday(date).cast("double").alias("wday"),
+        F.month(date).cast("double").alias("month"), (F.weekday(date) >= 5).cast("double").alias("is_weekend"), (day % 50 == 3).cast("double").alias("event_active"),
+    )
+    statics = spark.range(8).select(F.concat(F.lit("shop_"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("unique_id"), *(
+        (F.col("id") % n).alias(c) for c, n in (("item_id", 8), ("dept_id", 3), ("cat_id", 2), ("store_id", 4), ("state_id", 3))
+    ))
     return panel.cache(), statics
 
 
-def test_synthetic_panel_has_its_declared_structure(shop):
-    panel, _ = shop
-    again = retail.synthetic(panel.sparkSession, 8, 300)[0]
-    assert cubes.frame_identity(panel) == cubes.frame_identity(again)
-    pdf = panel.toPandas()
-    assert len(pdf) == 2400 and (pdf.y >= 0).all() and pdf.groupby("unique_id").size().eq(300).all()
-    assert (pdf.wday == pdf.ds.dt.dayofweek).all() and set(pdf.snap_CA) == {0.0, 1.0}
-    assert pdf.groupby("wday").y.mean().idxmax() in (1, 2)
-    level = pdf.groupby("unique_id").y.mean()
-    assert level.is_monotonic_increasing
-
-
 @pytest.mark.parametrize("n", [3, 17, 40, 100])
 def test_quota_is_proportional_by_largest_remainder(spark, n):
     sizes = {("a", "x"): 23, ("a", "y"): 5, ("b", "x"): 11, ("b", "y"): 1}
@@ -110,15 +111,15 @@ def test_quota_is_proportional_by_largest_remainder(spark, n):
 def test_retail_load_carries_within_series(spark, shop):
     panel, statics = shop
     root = f"{shared_folder(spark)}/retail-test"
-    holes = panel.withColumn("sell_price", F.when((F.col("hidx") % 5 == 0) & (F.col("unique_id") != "synth_001"), F.col("sell_price")))
+    holes = panel.withColumn("sell_price", F.when((F.col("hidx") % 5 == 0) & (F.col("unique_id") != "shop_001"), F.col("sell_price")))
     holes.drop("hidx").write.mode("overwrite").parquet(f"{root}/panel")
     named = statics.withColumn("store_id", F.concat(F.lit("S"), F.col("store_id").cast("string")))
     named.write.mode("overwrite").parquet(f"{root}/statics")
     out, codes = retail.load(spark, f"{root}/panel", f"{root}/statics", retail.SPEC.with_(series_len=300))
     pdf = pull(out, "unique_id", "hidx")
-    assert (pdf[pdf.unique_id == "synth_001"].sell_price == 0).all() and pdf.sell_price.notna().all()
-    one = pdf[pdf.unique_id == "synth_002"]
-    src = pull(panel.filter("unique_id = 'synth_002'"), "hidx")
+    assert (pdf[pdf.unique_id == "shop_001"].sell_price == 0).all() and pdf.sell_price.notna().all()
+    one = pdf[pdf.unique_id == "shop_002"]
+    src = pull(panel.filter("unique_id = 'shop_002'"), "hidx")
     np.testing.assert_allclose(one.sell_price, src.sell_price.where(src.hidx % 5 == 0).ffill())
     assert sorted(r.store_id for r in codes.select("store_id").distinct().collect()) == [0, 1, 2, 3]
 
@@ -176,3 +177,26 @@ def test_entry_runs(spark):
     from __spark_entry__ import entry
 
     assert entry(spark).count() == 12
+
+
+def test_ragged_panels_are_refused(shop):
+    panel, _ = shop
+    ragged = panel.filter("unique_id <> 'shop_003' OR hidx < 290")
+    with pytest.raises(ValueError, match="end"):
+        workflows.run_panel(ragged, retail.SPEC.with_(series_len=300, score_len=14), members.TreeConfig(), ("naive",))
+
+
+def test_index_keeps_the_order_of_its_files(spark):
+    """Several files, split into many partitions: the order is that of paths, places in the file and rows."""
+    root = f"{shared_folder(spark)}/order-test"
+    rows = [(f"u{i * 7919 % 1000:04d}", i) for i in range(1_000)]
+    for part in range(3):
+        mine = spark.createDataFrame(rows[part * 300 : (part + 1) * 300 + 100 * (part == 2)], "k string, i long").coalesce(1)
+        mine.write.mode("overwrite").csv(f"{root}/part={part}")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+        got = panel_files.with_order(spark.read.schema("k string, i long").csv(root)).orderBy("_order").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert [r.i for r in got] == list(range(1_000)) and [r._order for r in got] == list(range(1_000))
