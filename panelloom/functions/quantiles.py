@@ -9,6 +9,7 @@ sketch first brackets the wanted rank, and only the values inside the bracket ar
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 SMALL_GROUP = 4_096
 ACCURACY = 20_000
 MARGIN = 10.0 / ACCURACY
-# Pooled columns up to this many values go straight to the built-in.
-POOL_LIMIT = 2_000_000
+# A pooled quantile reads the values of a range once it has about so many; a range is cut at so many marks.
+FEW, MARKS = 4_096, 512
+# Rows of a group that are ranked in one task.
+BIN_ROWS = 50_000
 
 
 def grouped(
@@ -101,36 +104,104 @@ def _bracketed(long: DataFrame, keys: list[str], probs: list[float], few_keys: b
 def pooled(df: DataFrame, cols: Sequence[str], prob: float = 0.5) -> dict[str, float | None]:
     """Exact quantile of each column over all rows, returned to the driver as one number each.
 
-    Columns beyond ``POOL_LIMIT`` values go through the bracketed path, keyed by column name.
+    A range that holds the wanted rank is narrowed for all columns at once: each pass counts what lies
+    below it and sketches what lies inside, until few distinct values are left, and only these are read.
     """
     cols = list(cols)
-    counts = df.agg(*(F.count(c).alias(c) for c in cols)).first()
-    if all(counts[c] <= POOL_LIMIT for c in cols):
-        row = df.agg(*(F.percentile(c, F.lit(prob)).alias(c) for c in cols)).first()
-        return {c: row[c] for c in cols}
-    return pooled_by_bracket(df, cols, prob)
+    cells = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols))
+    long = df.select(F.explode(cells).alias("e")).select("e.c", "e.v").filter(F.col("v").isNotNull())
+    marks = [i / MARKS for i in range(MARKS + 1)]
+    sizes = {r["c"]: r for r in long.groupBy("c").agg(F.count("v").alias("n"), F.percentile_approx("v", marks, ACCURACY).alias("m")).collect()}
+    out: dict[str, float | None] = {c: None for c in cols}
+    rank = {c: prob * (r["n"] - 1) for c, r in sizes.items()}
+    spans = {c: _around(r["m"], rank[c] / max(1, r["n"] - 1)) for c, r in sizes.items()}
+    todo = set(sizes)
+    while todo:
+        c, v = F.col("c"), F.col("v")
+        lo = F.create_map(*(F.lit(x) for k in todo for x in (k, spans[k][0])))[c]
+        hi = F.create_map(*(F.lit(x) for k in todo for x in (k, spans[k][1])))[c]
+        inside = v.between(lo, hi)
+        found = long.filter(c.isin(list(todo))).groupBy("c").agg(
+            F.count_if(v < lo).alias("below"), F.count_if(inside).alias("n"), F.approx_count_distinct(F.when(inside, v)).alias("kinds"),
+            F.max(F.when(v < lo, v)).alias("prev"), F.min(F.when(v > hi, v)).alias("next"),
+            F.percentile_approx(F.when(inside, v), marks, ACCURACY).alias("m"),
+        ).collect()
+        ready = {}
+        for r in found:
+            k, (a, b) = r["c"], spans[r["c"]]
+            first, last = floor(rank[k]), ceil(rank[k])
+            if first < r["below"]:  # the sketch was off by a little: step out to the next value
+                spans[k] = (r["prev"], b)
+            elif last >= r["below"] + r["n"]:
+                spans[k] = (a, r["next"])
+            elif a == b or r["kinds"] <= FEW:
+                ready[k] = r["below"]
+            else:
+                narrow = _around(r["m"], (rank[k] - r["below"]) / max(1, r["n"] - 1))
+                if narrow == (a, b):  # heavy values at both ends: what is between them is little
+                    ready[k] = r["below"]
+                spans[k] = narrow
+        if ready:
+            lo = F.create_map(*(F.lit(x) for k in ready for x in (k, spans[k][0])))[c]
+            hi = F.create_map(*(F.lit(x) for k in ready for x in (k, spans[k][1])))[c]
+            near = long.filter(c.isin(list(ready))).filter(v.between(lo, hi))
+            upto = dict(ready)
+            values: dict[str, list[float]] = {}
+            for r in near.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).orderBy("c", "v").collect():
+                k, begin = r["c"], upto[r["c"]]
+                upto[k] = begin + r["n"]
+                values.setdefault(k, []).extend(r["v"] for x in (floor(rank[k]), ceil(rank[k])) if begin <= x < upto[k])
+            for k, (low, high) in values.items():
+                out[k] = low + (high - low) * (rank[k] - floor(rank[k]))
+        todo -= set(ready)
+    return out
 
 
 def pooled_by_bracket(df: DataFrame, cols: Sequence[str], prob: float) -> dict[str, float | None]:
+    """As :func:`pooled`, by the bracket of one sketch."""
     wanted = {c: (c, prob) for c in cols}
     rows = grouped(df.withColumn("_all", F.lit(1)), ["_all"], wanted, bounded=False, few_keys=True).collect()
     return {c: (rows[0][c] if rows else None) for c in cols}
 
 
-def average_rank(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, *, pct: bool = True, few_keys: bool = False
-) -> DataFrame:
-    """Rank of ``value`` within its group, ties averaged, over the non-NULL count when ``pct``.
+def _around(marks: Sequence[float], share: float) -> tuple[float, float]:
+    """The sketched values two marks below and above a share of the ranks."""
+    at = share * MARKS
+    return marks[max(0, floor(at) - 2)], marks[min(MARKS, ceil(at) + 2)]
+
+
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, *, pct: bool = True, few_keys: bool = False) -> DataFrame:
+    """Rank of ``value`` within its group, ties averaged, over the non-NULL count when ``pct``."""
+    keys = list(keys)
+    ranks = value_ranks(df.select(*keys, F.col(value).alias("_v")), keys, name, pct, few_keys)
+    return df.join(ranks.withColumnRenamed("_v", value), [*keys, value], "left")
+
+
+def average_ranks(df: DataFrame, row: Sequence[str], keys: Sequence[str], names: dict[str, str], *, pct: bool = True, few_keys: bool = False) -> DataFrame:
+    """Ranks of several columns in one pass over their cells; ``row`` names a row, ``names`` the result of each column."""
+    cells = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in names))
+    extra = [k for k in keys if k not in row]
+    long = df.select(*row, *extra, F.explode(cells).alias("_e")).select(*row, *extra, F.col("_e.c").alias("_c"), F.col("_e.v").alias("_v")).filter(F.col("_v").isNotNull())
+    ranks = value_ranks(long.select(*keys, "_c", "_v"), [*keys, "_c"], "_r", pct, few_keys)
+    wide = long.join(ranks, [*keys, "_c", "_v"]).groupBy(*row).agg(*(F.max(F.when(F.col("_c") == c, F.col("_r"))).alias(n) for c, n in names.items()))
+    return df.join(wide, list(row), "left")
+
+
+def value_ranks(cells: DataFrame, keys: Sequence[str], name: str, pct: bool, few_keys: bool) -> DataFrame:
+    """One row per group and distinct value ``_v`` with its rank.
 
     Tied rows are first collapsed to one row per value, the values are cut into bins at sketched
-    quantiles, and each bin is ranked on its own on top of the sizes of the bins below it.
+    quantiles, as many as the largest group needs, and each bin is ranked on its own on top of the
+    sizes of the bins below it.
     """
     keys = list(keys)
-    known = df.filter(F.col(value).isNotNull())
-    marks = [i / 32 for i in range(1, 32)]
-    tally = known.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
+    known = cells.filter(F.col("_v").isNotNull())
+    largest = known.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    bins = min(4_096, max(8, ceil(largest / BIN_ROWS)))
+    marks = [i / bins for i in range(1, bins)]
+    tally = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m"))
     splits = known.groupBy(*keys).agg(
-        F.percentile_approx(value, marks, 1_000).alias("_s"), F.count(F.lit(1)).alias("_n")
+        F.array_distinct(F.percentile_approx("_v", marks, 10 * bins)).alias("_s"), F.count(F.lit(1)).alias("_n")
     )
     binned = tally.join(F.broadcast(splits) if few_keys else splits, keys).withColumn("_bin", F.size(F.filter("_s", lambda s: s < F.col("_v"))))
     sizes = binned.groupBy(*keys, "_bin").agg(F.sum("_m").alias("_w"))
@@ -139,7 +210,4 @@ def average_rank(
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = binned.withColumn("_to", F.sum("_m").over(inside)).join(starts, [*keys, "_bin"])
     rank = F.col("_base") + F.col("_to") - (F.col("_m") - 1) / 2.0
-    ranks = placed.select(*keys, "_v", (rank / F.col("_n") if pct else rank).alias(name))
-    return df.join(
-        ranks.withColumnRenamed("_v", value), [*keys, value], "left"
-    )
+    return placed.select(*keys, "_v", (rank / F.col("_n") if pct else rank).alias(name))

@@ -73,8 +73,7 @@ def shares_and_ranks(df: DataFrame, spec: PanelSpec, cols: Sequence[str]) -> Bui
     out = out.withColumns(
         {f"xs_share_{c}": F.when(F.abs(f"_t_{c}") >= 1e-9, F.col(c) / F.col(f"_t_{c}")) for c in cols}
     ).drop(*(f"_t_{c}" for c in cols))
-    for c in cols:
-        out = quantiles.average_rank(out, [spec.index], c, f"xs_rank_{c}", few_keys=spec.bounded)
+    out = quantiles.average_ranks(out, [spec.id, spec.index], [spec.index], {c: f"xs_rank_{c}" for c in cols}, few_keys=spec.bounded)
     return out, [n for c in cols for n in (f"xs_share_{c}", f"xs_rank_{c}")]
 
 

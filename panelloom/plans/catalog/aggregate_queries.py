@@ -19,7 +19,7 @@ from panelloom.plans.tables import Tables
 )
 def medians(t: Tables):
     per = quantiles.grouped(t.panel_s, ["unique_id"], {"m1": ("x1", 0.5), "m3": ("x3", 0.5)}, bounded=t.weekly.bounded)
-    overall = quantiles.pooled_by_bracket(t.panel_s, ["x1", "x3"], 0.5)
+    overall = quantiles.pooled(t.panel_s, ["x1", "x3"])
     return per.withColumns({"g1": F.lit(overall["x1"]), "g3": F.lit(overall["x3"])})
 
 

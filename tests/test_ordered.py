@@ -118,3 +118,21 @@ def test_average_rank_matches_pandas(spark):
     df = to_spark(spark, pdf)
     out = pull(quantiles.average_rank(df, ["k"], "v", "r"), "i")
     np.testing.assert_allclose(out.r.to_numpy(float), pdf.groupby("k").v.rank(pct=True).to_numpy(), rtol=1e-12)
+
+
+def test_pooled_quantiles_narrow_to_the_value(spark):
+    """Many passes are forced by reading very few values at once; ties, infinities and empty columns included."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": rng.normal(size=30_000), "b": np.where(rng.random(30_000) < 0.7, 0.0, rng.exponential(size=30_000)), "c": np.repeat([5.0, 1e300], 15_000), "d": np.nan})
+    df = spark.createDataFrame(pdf).withColumn("d", F.lit(None).cast("double")).cache()
+    kept = quantiles.FEW
+    try:
+        quantiles.FEW = 3
+        for p in (0.0, 0.25, 0.5, 0.9, 1.0):
+            got = quantiles.pooled(df, ["a", "b", "c", "d"], p)
+            assert got["d"] is None
+            for c in "abc":
+                assert got[c] == pytest.approx(float(pdf[c].quantile(p)), rel=1e-12)
+    finally:
+        quantiles.FEW = kept
+    assert quantiles.pooled(df.limit(0), ["a"]) == {"a": None}
