@@ -227,46 +227,54 @@ class Batch:
         return out, got
 
     def waiting(self, path: np.ndarray, path_at: np.ndarray, fixed: np.ndarray, value: np.ndarray, sample: int, wanted: int, rows: np.ndarray):
-        """The ``wanted`` best siblings of each row's path beyond its first ``fixed`` edges, as (row, value, step, edge)."""
+        """The ``wanted`` best siblings of each row's path beyond its first ``fixed`` edges, as (row, value, step, edge).
+
+        Nodes are looked at in the order of the path, ``reach`` steps and down to a log mass of ``floor``, both widened
+        for the rows where a node beyond them could still come up.
+        """
         g = self.graph
-        share = g.share[path]
-        total = np.concatenate([[0.0], np.cumsum(share)])
         counts = np.diff(path_at)
-        of = np.repeat(np.arange(len(rows)), counts)
-        before = total[:-1] - total[path_at[:-1]][of]
-        step = np.arange(len(path)) - path_at[:-1][of]
-        open_ = step >= fixed[of]
-        floor, done = -30.0, np.zeros(len(rows), bool)
-        found = []
-        while True:
-            todo = np.flatnonzero(open_ & (before >= floor) & ~done[of])
-            n = np.diff(g.edge_at)[g.begin[path[todo]]]
-            at = np.repeat(todo, n)
-            edge = ragged(g.edge_at[g.begin[path[todo]]], n)
-            other = edge != path[at]
-            at, edge = at[other], edge[other]
-            mu = before[at] + g.share[edge]
-            r = of[at]
-            key = mixed(self.keys[rows[r]] ^ np.uint64(GOLD * (2 * sample + 1) % 2**64)) + step[at].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-            e = exponential(mixed(key) + (edge - g.edge_at[g.begin[edge]]).astype(np.uint64))
-            x = mu - np.log(np.exp(np.minimum(mu - value[r], 700.0)) + e)
+        floor, reach = -30.0, 1_024
+        left, found = np.arange(len(rows)), []
+        while len(left):
+            taken = np.minimum(counts[left], reach)
+            at = ragged(path_at[left], taken)
+            edge_on = path.take(at)
+            of = np.repeat(np.arange(len(left)), taken)
+            start = np.cumsum(taken) - taken
+            total = np.cumsum(g.share.take(edge_on))
+            before = np.concatenate([[0.0], total])[:-1]
+            before -= before.take(np.minimum(start, max(len(before) - 1, 0))).take(of) if len(before) else 0.0
+            step = np.arange(len(at)) - start.take(of)
+            heavy = before >= floor
+            todo = np.flatnonzero(heavy & (step >= fixed[left].take(of)))
+            begin = g.begin.take(edge_on.take(todo))
+            n = g.edge_at.take(begin + 1) - g.edge_at.take(begin)
+            edge, node = ragged(g.edge_at.take(begin), n), np.repeat(todo, n)
+            other = edge != edge_on.take(node)
+            node, edge = node[other], edge[other]
+            mu, r = before.take(node) + g.share.take(edge), of.take(node)
+            row = left.take(r)
+            key = mixed(self.keys[rows[row]] ^ np.uint64(GOLD * (2 * sample + 1) % 2**64)) + step.take(node).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+            e = exponential(mixed(key) + (edge - g.edge_at.take(g.begin.take(edge))).astype(np.uint64))
+            x = mu - np.log(np.exp(np.minimum(mu - value.take(row), 700.0)) + e)
             order = np.lexsort((-x, r))
-            r, x, s, edge = r[order], x[order], step[at][order], edge[order]
+            r, x, s, edge = r[order], x[order], step.take(node)[order], edge[order]
             rank = np.arange(len(r)) - np.searchsorted(r, r)
             best = rank < wanted
-            r, x, s, edge = r[best], x[best], s[best], edge[best]
+            r, x, s, edge, rank = r[best], x[best], s[best], edge[best], rank[best]
             # a row is settled if all its nodes were drawn, or its last wanted value beats any node left out
-            drawn = np.bincount(of[open_ & (before >= floor)], minlength=len(rows)) == np.bincount(of[open_], minlength=len(rows))
-            worst = np.full(len(rows), -np.inf)
-            full = np.flatnonzero(rank[best] == wanted - 1)
+            all_heavy = np.bincount(of[heavy], minlength=len(left)) == taken
+            worst = np.full(len(left), -np.inf)
+            full = rank == wanted - 1
             worst[r[full]] = x[full]
-            settled = ~done & (drawn | (worst >= floor + LIGHT))
+            settled = (all_heavy & (taken == counts[left])) | (~all_heavy & (worst >= floor + LIGHT))
             take = settled[r]
-            found.append((rows[r[take]], x[take], s[take], edge[take]))
-            done |= settled
-            if done.all():
-                return tuple(np.concatenate(c) for c in zip(*found))
-            floor *= 4
+            found.append((rows[left[r[take]]], x[take], s[take], edge[take]))
+            left = left[~settled]
+            floor, reach = 2 * floor, 4 * reach
+        empty = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))
+        return tuple(np.concatenate(c) for c in zip(*found)) if found else empty
 
     def samples(self, k: int):
         """For each sample: the rows that have it, edges of all of them, where each row's start, and values; at last the thresholds."""
