@@ -74,7 +74,7 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, weight: str | None = None, per_bucket: int = 50_000) -> DataFrame:
+def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, weight: str | None = None, per_bucket: int = 20_000) -> DataFrame:
     """Gapless numbers from 0 in every group, in the order of a hash of ``order``; no group is sorted in one task.
 
     Rows are dealt by the leading bits of the hash. Each bucket is numbered on its own, on top of the
@@ -83,8 +83,8 @@ def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out
     """
     h, b, base, before = (free_name(df, n) for n in ("_hash", "_bucket", "_base", "_before"))
     df = df.withColumn(h, F.xxhash64(*order))
-    bits = max(0, math.ceil(math.log2(max(1, df.count()) / per_bucket)))
-    df = df.withColumn(b, F.shiftrightunsigned(F.col(h), 64 - bits) if bits else F.lit(0).cast("long"))
+    bits = max(5, math.ceil(math.log2(max(1, df.count()) / per_bucket)))
+    df = df.withColumn(b, F.shiftrightunsigned(F.col(h), 64 - bits))
     n = F.col(weight) if weight else F.lit(1).cast("long")
     keys = [*group, b]
     unsigned = F.col(h).bitwiseXOR(F.lit(-(2**63)))  # so that rows in a bucket and the buckets follow one order

@@ -111,7 +111,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, bits: int = 14, ta
         .join(roots, F.col("cls") == F.col("node"), "left")
         .select("cls", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "least_id", F.coalesce("root", "cls").alias("root"))
     )
-    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written before the join, so that a component of very many classes is a skewed side that can be split
+    ids = checkpointed(named.groupBy("root").agg(F.min("least_id").alias("component_id")))
     final = named.join(ids, "root").select("cls", "n_links", "component_id")
     out = rows.select("vec_id", "cls").join(final, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))

@@ -117,7 +117,8 @@ def simhash_components(docs: DataFrame, width: int = 4, distance: int = 4) -> Da
     distinct = fps.groupBy("fp").agg(F.min("key").alias("least_key"))
     roots = components(links(distinct, distance))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_key", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least_key").alias("component_id"))
+    # written before the join, so that a component of very many fingerprints is a skewed side that can be split
+    ids = checkpointed(named.groupBy("root").agg(F.min("least_key").alias("component_id")))
     classes = named.join(ids, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(classes, "fp").select(F.col("key").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
