@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from math import ceil
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
@@ -35,8 +36,8 @@ class TreeConfig:
     bins: int = 64
     seed: int = 42
     loss: str = "absolute"
-    # Rows are sampled by partition, so a fit names its partitions instead of taking the session's.
-    partitions: int = 32
+    # Rows are sampled by partition, so a fit's partitions follow its rows and not the session.
+    partition_rows: int = 100_000
     # Codes of the unit category; more units than that share codes, so bins do not follow their number.
     unit_codes: int = 64
     stride: int = 168
@@ -90,12 +91,13 @@ def _weighted(rows: DataFrame, df: DataFrame, spec: PanelSpec, config: TreeConfi
 
 
 def _fit_rows(rows: DataFrame, spec: PanelSpec, features: list[str], config: TreeConfig, rounds: int) -> GBTRegressionModel:
-    """The same rows give the same trees on any cluster: they are dealt and ordered by key over a declared number of partitions."""
+    """The same rows give the same trees on any cluster: they are dealt and ordered by key over partitions counted by rows."""
     if config.loss not in LOSSES:
         raise ValueError(f"loss {config.loss!r} is none of {LOSSES}")
     keys = [c for c in (spec.id, spec.time, "o", "k") if c in rows.columns]
     rows = assemble(rows, features, config.unit_codes)
-    rows = rows.repartition(config.partitions, *keys).sortWithinPartitions(*keys).select("features", spec.target, "weight")
+    parts = max(1, ceil(rows.count() / config.partition_rows))
+    rows = rows.repartition(parts, *keys).sortWithinPartitions(*keys).select("features", spec.target, "weight")
     booster = GBTRegressor(
         featuresCol="features", labelCol=spec.target, weightCol="weight", lossType=config.loss, maxIter=rounds,
         maxDepth=config.depth, stepSize=config.step, subsamplingRate=config.subsample,

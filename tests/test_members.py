@@ -11,7 +11,7 @@ from panelloom.operators.members import TreeConfig
 from panelloom.spec import PanelSpec
 
 SPEC = PanelSpec(signals=("x1",), statics=("capacity",), season=6, score_len=4, lags=(1, 2), rolls=(3,), series_len=60, train_end=50, late_from=2)
-CONFIG = TreeConfig(rounds=3, depth=3, stride=6, futr=("x1",), statics=("capacity",), partitions=4)
+CONFIG = TreeConfig(rounds=3, depth=3, stride=6, futr=("x1",), statics=("capacity",), partition_rows=200)
 
 
 @pytest.fixture(scope="module")
