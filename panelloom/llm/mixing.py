@@ -5,9 +5,10 @@ release time floor((k - 1) / w) and deadline ceil(k / w), and each slot goes to
 with the earliest deadline. With shares that add up to one this never misses a deadline, so at any
 time a source is less than one block away from its share.
 
-Shares are whole numbers of slots in a period. The schedule repeats after a period, so only one
-period is ever simulated, a table of ``period`` slots whatever the size of the data; every block
-finds its slot by its number in that table. When a source has no block left, the schedule goes on
+Shares are the exact ratios of the weights, as whole numbers, so the bound holds against the weights
+themselves for as long as a phase lasts. The driver walks the slots in constant memory and keeps, every
+``period`` slots, how many blocks each source has had; tasks lay out each such window again from there, and
+every block finds its slot by a join. When a source has no block left, the schedule goes on
 with the others at their weights among themselves, as a new phase. Nothing is dropped or repeated.
 
 Nulls: a null source is a source of its own. A source without a weight, or with a null or negative one, is
@@ -18,89 +19,122 @@ An empty table gives an empty result. The last block of a source may be short.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import itertools
+import math
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import free_name, number_within
+from panelloom.llm.common import free_name, kept_table, number_within
 
 PERIOD = 1_000
 MAX_SOURCES = 100_000
 
 
-def shares(weights: Mapping[int, float], period: int) -> dict[int, int]:
-    """Whole slots of a period by largest remainders, at least one each; the period grows if there are more sources."""
-    total, period = sum(weights.values()), max(period, 2 * len(weights))
-    exact = {s: Fraction(w) / Fraction(total) * period for s, w in weights.items()}
-    slots = {s: max(1, int(x)) for s, x in exact.items()}
-    left = period - sum(slots.values())
-    order = sorted(slots, key=lambda s: (float(int(exact[s]) - exact[s]), s))
-    for s in order[: max(0, left)]:
-        slots[s] += 1
-    while left < 0:
-        s = max(slots, key=lambda x: (slots[x] - exact[x] if slots[x] > 1 else -period, -x))
-        slots[s], left = slots[s] - 1, left + 1
-    return slots
-
-
-def one_period(slots: Mapping[int, int]) -> list[int]:
-    """The source of each slot of a period, earliest deadline first among the released blocks."""
-    period = sum(slots.values())
+def shares(weights: Mapping[int, float], period: int = 0) -> dict[int, int]:
+    """Whole numbers in the exact ratio of the weights; ``period`` does not change them."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * scale) for s, x in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: n // common for s, n in whole.items()}
+
+
+def turns(slots: Mapping[int, int], done: Mapping[int, int], t: int) -> Iterator[int]:
+    """The source of each slot from ``t`` on, earliest deadline first among the released blocks, after ``done`` blocks of each."""
+    size, done = sum(slots.values()), dict(done)
     waiting: dict[int, list[int]] = {}
-    for s in slots:
-        waiting.setdefault(0, []).append(s)
-    done, ready, out = dict.fromkeys(slots, 0), [], []
-    for t in range(period):
+    for s, n in slots.items():
+        waiting.setdefault(max(t, done[s] * size // n), []).append(s)
+    ready: list[tuple[int, int]] = []
+    while True:
         for s in waiting.pop(t, ()):
-            k = done[s] + 1
-            heapq.heappush(ready, (-(-k * period // slots[s]), s))
+            heapq.heappush(ready, (-(-(done[s] + 1) * size // slots[s]), s))
         _, s = heapq.heappop(ready)
-        out.append(s)
+        yield s
         done[s] += 1
-        if done[s] < slots[s]:
-            waiting.setdefault(max(t + 1, done[s] * period // slots[s]), []).append(s)
-    return out
+        t += 1
+        waiting.setdefault(max(t, done[s] * size // slots[s]), []).append(s)
 
 
-def phases(blocks: Mapping[int, int], weights: Mapping[int, float], period: int) -> list[tuple]:
-    """The schedule as rows (source, first block, end block, place in the period, blocks a period, period, first slot).
-
-    A block k of [first, end) of a source stands at ``slot0 + (j // a) * period + places[j % a]`` with
-    j = k - first and a the blocks a period.
-    """
+def windows(blocks: Mapping[int, int], weights: Mapping[int, float], period: int) -> Iterator[tuple]:
+    """The schedule as windows of up to ``period`` slots: first slot, slots of the phase before it, slots, the weights of the live
+    sources, their blocks before the phase, their blocks in it before the window."""
     rest = {s: n for s, n in blocks.items() if n > 0}
-    used, clock, out = dict.fromkeys(rest, 0), 0, []
+    used, clock = dict.fromkeys(rest, 0), 0
     while rest:
-        live = {s: weights[s] for s in rest if weights[s] > 0} or {s: float(rest[s]) for s in rest}
-        slots = shares(live, period)
-        table = one_period(slots)
-        size = len(table)
-        places: dict[int, list[int]] = {s: [] for s in slots}
-        for t, s in enumerate(table):
-            places[s].append(t)
-        length = min((rest[s] - 1) // slots[s] * size + places[s][(rest[s] - 1) % slots[s]] + 1 for s in slots)
-        for s in slots:
-            whole, part = divmod(length, size)
-            n = whole * slots[s] + sum(p < part for p in places[s])
-            if n:
-                out.append((s, used[s], used[s] + n, places[s], slots[s], size, clock))
+        live = {s: float(weights[s]) for s in rest if weights[s] > 0} or {s: float(rest[s]) for s in rest}
+        done, t, ended = dict.fromkeys(live, 0), 0, False
+        turn = turns(shares(live), done, 0)
+        while not ended:
+            start, length = dict(done), 0
+            while length < period and not ended:
+                s = next(turn)
+                done[s] += 1
+                length += 1
+                ended = done[s] == rest[s]
+            yield clock, t, length, live, {s: used[s] for s in live}, start
+            clock, t = clock + length, t + length
+        for s, n in done.items():
             used[s] += n
             rest[s] -= n
             if not rest[s]:
                 del rest[s]
-        clock += length
+
+
+def laid_out(t: int, length: int, live: Mapping[int, float], start: Mapping[int, int]) -> dict[int, list[int]]:
+    """The places in a window of the blocks of each source, in their order."""
+    places: dict[int, list[int]] = {}
+    for at, s in enumerate(itertools.islice(turns(shares(live), start, t), length)):
+        places.setdefault(s, []).append(at)
+    return places
+
+
+def phases(blocks: Mapping[int, int], weights: Mapping[int, float], period: int) -> list[tuple]:
+    """The whole schedule as rows (source, first block, end block, places in the window, how many, slots of the window, first slot):
+    block k of [first, end) of a source stands at ``slot0 + places[k - first]``."""
+    out = []
+    for clock, t, length, live, used, start in windows(blocks, weights, period):
+        for s, places in laid_out(t, length, live, start).items():
+            first = used[s] + start[s]
+            out.append((s, first, first + len(places), places, len(places), length, clock))
     return out
 
 
+WINDOW = "clock long, t long, length int, live array<int>, weight array<double>, used array<long>, start array<long>"
+
+
+def schedule(spark: SparkSession, blocks: Mapping[int, int], weights: Mapping[int, float], period: int) -> DataFrame:
+    """``of``, ``block``, ``slot``: one row per block; windows are laid out in tasks. ``of`` is the number of the source."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in batch.to_pylist():
+                start = dict(zip(w["live"], w["start"]))
+                used = dict(zip(w["live"], w["used"]))
+                of, block, slot = [], [], []
+                for s, places in laid_out(w["t"], w["length"], dict(zip(w["live"], w["weight"])), start).items():
+                    of += [s] * len(places)
+                    block += range(used[s] + start[s], used[s] + start[s] + len(places))
+                    slot += [w["clock"] + p for p in places]
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(block, pa.int64()), pa.array(slot, pa.int64())], names=["of", "block", "slot"])
+
+    period = max(period, 16 * len(blocks))  # a window has a row of all live sources
+    rows = [(clock, t, length, list(live), list(live.values()), list(used.values()), list(start.values())) for clock, t, length, live, used, start in windows(blocks, weights, period)]
+    many = max(1, min(len(rows), spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame(rows, WINDOW).repartition(many, "clock").mapInArrow(each, "of int, block long, slot long")
+
+
 def mix(df: DataFrame, source: str, order: list[str], weights: DataFrame | None = None, block_rows: int = 16, period: int = PERIOD, out: str = "position") -> DataFrame:
     """``df`` with ``source_row``, ``block``, ``slot`` and the ``out`` position in the mixture: slot times
     ``block_rows`` plus the place in the block, so positions skip where the last block of a source is short.
 
     ``weights`` has columns ``source`` and ``weight``; without it sources weigh the square root of
     their rows. Rows of a source come in the order of a hash of ``order``, so a source is well mixed in
-    itself and no source is sorted in one task. What the driver sees is one row per source.
+    itself and no source is sorted in one task. The driver sees one row per source and keeps one per window.
     Columns of ``df`` that have the names of the four are replaced.
     """
     spark = df.sparkSession
@@ -118,17 +152,12 @@ def mix(df: DataFrame, source: str, order: list[str], weights: DataFrame | None
     if any(r["w"] is None or not r["w"] >= 0 for r in found):
         raise ValueError("every source needs a weight of at least zero")
     counts = {i: -(-r["n"] // block_rows) for i, r in enumerate(found)}
-    plan = phases(counts, {i: r["w"] for i, r in enumerate(found)}, period)
-    rows = [(found[s][key], *rest) for s, *rest in plan]
     at, step = free_name(df, "_at"), free_name(df, "_step")
-    fields = "first long, end long, places array<int>, a long, size long, clock long"
-    table = spark.createDataFrame([(k, tuple(rest)) for k, *rest in rows], f"`{at}` string, `{step}` struct<{fields.replace(' ', ':').replace(',:', ',')}>")
+    plan = kept_table(schedule(spark, counts, {i: r["w"] for i, r in enumerate(found)}, period), "mixing-schedule")
+    names = spark.createDataFrame([(i, r[key]) for i, r in enumerate(found)], "of int, name string")
+    plan = plan.join(F.broadcast(names), "of").select(F.col("name").alias(at), F.struct("block", "slot").alias(step))
     numbered = number_within(named, [key], order, "source_row").withColumn("block", F.floor(F.col("source_row") / block_rows))
-    now = F.col(step)
-    hit = (F.col(key) == F.col(at)) & (F.col("block") >= now["first"]) & (F.col("block") < now["end"])
-    placed = numbered.join(F.broadcast(table), hit)  # at most one row per phase and source
-    j = F.col("block") - now["first"]
-    slot = now["clock"] + F.floor(j / now["a"]) * now["size"] + F.get(now["places"], (j % now["a"]).cast("int"))
-    placed = placed.withColumn("slot", slot.cast("long"))
+    hit = (F.col(key) == F.col(at)) & (F.col("block") == F.col(step)["block"])
+    placed = numbered.join(plan, hit).withColumn("slot", F.col(step)["slot"])
     position = F.col("slot") * block_rows + F.col("source_row") % block_rows
     return placed.withColumn(out, position.cast("long")).drop(key, at, step)

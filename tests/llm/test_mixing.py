@@ -51,6 +51,19 @@ def test_schedule_against_slot_by_slot(sources, period):
     assert laid_out(mixing.phases(blocks, weights, period)) == plain_schedule(blocks, weights, period)
 
 
+def test_deviation_from_the_weights_over_many_periods():
+    """One large and nineteen equal sources; and one far below a thousandth."""
+    for blocks in ({0: 60_000, **{s: 6_300 for s in range(1, 20)}}, {0: 60_000, 1: 30_000, 2: 12}):
+        weights = {s: n**0.5 for s, n in blocks.items()} if len(blocks) > 3 else {0: 1.0, 1: 0.5, 2: 0.0002}
+        first = min(blocks.values()) if len(blocks) > 3 else 50_000
+        order = laid_out(mixing.phases(blocks, weights, mixing.PERIOD))
+        total, used = sum(map(Fraction, weights.values())), Counter()
+        for t, s in enumerate(order[: 30_000 if len(blocks) == 3 else first * 15]):
+            used[s] += 1
+            assert abs(used[s] - Fraction(weights[s]) / total * (t + 1)) < 1
+        assert Counter(order) == blocks
+
+
 def mixed(df, **kw):
     return mixing.mix(df, "source", ["id"], **kw).orderBy("position").collect()
 
