@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelloom.llm import embeddings, licenses, mixing, passages, pieces, quality, scoring, sharding, simhash, toolcalls
+from panelloom.llm import alignment, embeddings, licenses, mixing, passages, pieces, quality, scoring, sharding, simhash, toolcalls
 from panelloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,8 @@ def quality_rules(spark, folder):
 @query("op10_jump_sharding")
 def jump_sharding(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"))
+
+
+@query("op12_tokenizer_alignment")
+def tokenizer_alignment(spark, folder):
+    return alignment.alignment_digest(table(spark, folder, "documents"))
