@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelloom.llm import alignment, embeddings, licenses, mixing, passages, pieces, quality, scoring, sharding, simhash, toolcalls
+from panelloom.llm import alignment, blobscan, embeddings, licenses, mixing, passages, pieces, quality, scoring, sharding, simhash, spelling, toolcalls
 from panelloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,52 @@ def jump_sharding(spark, folder):
 @query("op12_tokenizer_alignment")
 def tokenizer_alignment(spark, folder):
     return alignment.alignment_digest(table(spark, folder, "documents"))
+
+
+@query("op13_secret_scan")
+def secret_scan(spark, folder):
+    return blobscan.scan_documents(table(spark, folder, "documents"))
+
+
+SPELLING_SQL = r"""WITH RECURSIVE
+crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, x)) AS t
+),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL
+),
+hashed AS (
+  SELECT run, n, xor(list_reduce(
+    flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+            lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 | (unicode(c)::BIGINT >> 6), 128 | (unicode(c)::BIGINT & 63)] END)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM runs, crc
+),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2
+),
+less AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word)))::INT AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT l.word, w.word, w.n FROM less l JOIN words w ON w.word = l.rest
+  UNION SELECT w.word, l.word, l.n FROM less l JOIN words w ON w.word = l.rest
+),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS most FROM near GROUP BY word),
+named AS (SELECT best.word, n_near, most, min(near.near) AS near FROM best JOIN near ON near.word = best.word AND near_n = most GROUP BY ALL),
+formed AS (
+  SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 10 * n THEN near END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n
+  FROM words LEFT JOIN named USING (word)
+),
+walk AS (
+  SELECT word, word AS root, 0 AS hops FROM formed
+  UNION ALL SELECT walk.word, formed.form, hops + 1 FROM walk JOIN formed ON formed.word = walk.root WHERE formed.form IS NOT NULL
+),
+ends AS (SELECT word, max({'hops': hops, 'root': root}).root AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def spelling_variants(spark, folder):
+    return spelling.corpus_spellings(table(spark, folder, "documents"))
