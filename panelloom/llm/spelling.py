@@ -7,8 +7,8 @@ apart, the one whose prefix ends first in the order has a pivot that also stands
 
 Position limits: an unbroken pivot has the edit on one side of it, and the other side is equal in full. Two words
 are compared only where pivot and prefix gram agree in the head of the word up to the gram's end, or in the tail
-from its start on; lengths differ by one at most. What meets is verified by edit distance inside the join, so no
-candidate leaves it. The join is a plain equi-join whose skewed keys adaptive execution splits; a word has a
+from its start on, and, if much is left beside that, in one half of the rest, which the edit must leave as it is. Lengths differ
+by one at most. What meets is verified by edit distance inside the join, so no candidate leaves it. The join is a plain equi-join whose skewed keys adaptive execution splits; a word has a
 bounded number of near words (one edit over the alphabet), so no group behind it grows with the corpus.
 
 Words are counted over all texts by partial aggregation. Their letters are A-Z, a-z and U+00C0 to U+00FF, so there are at most
@@ -35,6 +35,8 @@ LEAST_LENGTH, LEAST_COUNT, TIMES = 7, 2, 10
 #: One run in so many loses a code point.
 THINNED = 31
 GRAM = 2
+#: A rest of so many code points is looked up by its halves.
+SHORT_REST = 4
 
 
 def corpus_words(docs: DataFrame, key: str = "doc_id", text: str = "text", least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
@@ -59,12 +61,12 @@ def gram_frequencies(words: DataFrame) -> dict[str, int]:
     return {r.gram: r.n for r in grams.groupBy("gram").agg(F.count("*").alias("n")).collect()}
 
 
-def pivots(places: Sequence[int], weight: Sequence[int], wanted: int = 2) -> list[int]:
+def pivots(places: Sequence[int], weight: Sequence[float], wanted: int = 2) -> list[int]:
     """Indices of ``wanted`` disjoint grams with the smallest total weight; ``places`` are ascending starts.
 
     ``best[k]`` holds, for the grams so far, the cheapest choice of k of them; a gram extends choices that end before it.
     """
-    done: list[list[tuple[int, tuple[int, ...]] | None]] = []
+    done: list[list[tuple[float, tuple[int, ...]] | None]] = []
     for i, at in enumerate(places):
         apart = i
         while apart and places[apart - 1] > at - GRAM:
@@ -88,12 +90,26 @@ def gram_prefix(word: str, rank: dict[str, int]) -> tuple[list[int], int]:
     return [i for i, r in enumerate(ranks) if r <= last], last
 
 
-SIDES = "part string, last int, word string, n long, pivot boolean"
+def keys_of(word: str, start: int, head: bool, size: int) -> list[str]:
+    """Where a word that agrees with ``word`` in the head up to the gram at ``start`` (or the tail from it on) and has ``size``
+    more code points is found: a short rest by the head alone, a longer one also by one of its halves, since an edit leaves one as it is.
+    """
+    part, rest = (word[: start + GRAM], word[start + GRAM :]) if head else (word[start:], word[:start])
+    mark = "<" if head else ">"
+    if size < SHORT_REST:
+        return [mark + part]
+    first, last = rest[: size - size // 2], rest[max(0, len(rest) - size // 2) :]
+    return [f"{mark}{part}+{first}", f"{mark}{part}-{last}"]
+
+
+SIDES = "key string, last int, word string, n long, pivot boolean"
 
 
 def gram_sides(words: DataFrame) -> DataFrame:
-    """``part`` (``<`` and a head, or ``>`` and a tail), ``last``, ``word``, ``n``: a row for each end of each prefix gram;
-    ``pivot`` marks those of the word's pivots."""
+    """``key``, ``last``, ``word``, ``n``: the index of all prefix grams, and with ``pivot`` the keys a word's pivots look under.
+
+    A gram weighs its frequency by what head and tail leave of it: every further letter is taken to leave a quarter.
+    """
     frequency = gram_frequencies(words)
     rank = {g: i for i, g in enumerate(sorted(frequency, key=lambda g: (frequency[g], g)))}
     schema = arrow_schema(SIDES)
@@ -103,25 +119,30 @@ def gram_sides(words: DataFrame) -> DataFrame:
             out = [], [], [], [], []
             for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
                 places, last = gram_prefix(word, rank)
-                chosen = set(pivots(places, [frequency[word[p : p + GRAM]] for p in places]))
-                for i, p in enumerate(places):
-                    for part in ("<" + word[: p + GRAM], ">" + word[p:]):
-                        for column, value in zip(out, (part, last, word, n, i in chosen)):
-                            column.append(value)
+                weight = [frequency[word[p : p + GRAM]] * (0.25**p + 0.25 ** (len(word) - GRAM - p)) for p in places]
+                chosen = [places[i] for i in pivots(places, weight)]
+                ends = [(p, head, len(word) - p - GRAM if head else p) for p in places for head in (True, False)]
+                index = {k for p, head, rest in ends for k in keys_of(word, p, head, rest)}
+                looked = {k for p, head, rest in ends if p in chosen for size in (rest - 1, rest, rest + 1) for k in keys_of(word, p, head, size)}
+                for keys, pivot in ((index, False), (looked, True)):
+                    for column, value in zip(out, (keys, [last] * len(keys), [word] * len(keys), [n] * len(keys), [pivot] * len(keys))):
+                        column.extend(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return words.select("word", "n").mapInArrow(each, SIDES)
+    return words.select("word", "n").mapInArrow(each, SIDES).withColumn("key", F.xxhash64("key"))
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """``word``, ``near``, ``near_n``: both directions of every pair of words exactly one edit apart. Words have 4 code points or more."""
     sides = kept_table(gram_sides(words), "sides")
-    a = sides.filter("pivot").select("part", F.col("last").alias("a_last"), F.col("word").alias("a"), F.col("n").alias("a_n"))
-    b = sides.select("part", F.col("last").alias("b_last"), F.col("word").alias("b"), F.col("n").alias("b_n"))
-    close = (F.col("a_last") <= F.col("b_last")) & (F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1)
-    met = a.join(b, (a.part == b.part) & close & (F.levenshtein("a", "b", 1) == 1)).select("a", "a_n", "b", "b_n")
-    ways = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n"))))
-    return met.select(ways.alias("w")).select("w.*").distinct()
+    a, b = (sides.filter(F.col("pivot") == (x == "a")).select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("last", "word", "n"))) for x in "ab")
+    close = (F.col("a_last") <= F.col("b_last")) & (F.abs(F.length("a_word") - F.length("b_word")) <= 1) & (F.levenshtein("a_word", "b_word", 1) == 1)
+    met = a.join(b, (a.key == b.key) & close)
+    ways = F.array(
+        F.struct(F.col("a_word").alias("word"), F.col("b_word").alias("near"), F.col("b_n").alias("near_n")),
+        F.struct(F.col("b_word").alias("word"), F.col("a_word").alias("near"), F.col("a_n").alias("near_n")),
+    )
+    return met.select(F.explode(ways).alias("w")).select("w.*").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
