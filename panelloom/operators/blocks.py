@@ -9,16 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import crosssection as xs
-from panelloom.functions import ordered, quantiles
+from panelloom.functions import linkage, ordered, quantiles, spectral
 from panelloom.functions.exprs import ratio
 from panelloom.operators.impute import MISSING
+from panelloom.session import checkpointed
 from panelloom.spec import PanelSpec
 
 Built = tuple[DataFrame, list[str]]
@@ -103,28 +101,18 @@ def rolling_system(df: DataFrame, spec: PanelSpec, cols: Sequence[str], widths:
     return xs.attach(df, table, spec), list(means)
 
 
-def learned_groups(df: DataFrame, spec: PanelSpec, cut: int, k: int = 8, seed: int = 42) -> DataFrame:
+def learned_groups(df: DataFrame, spec: PanelSpec, cut: int, k: int = 8) -> DataFrame:
     """Partition of the series by target correlation on the train region: (id, cluster).
 
-    Cosine k-means on series centred by their own train mean, for which cosine similarity is the
-    Pearson correlation; no pair of series is ever formed. A series without variation has no
-    direction and forms cluster -1. Clusters are numbered by their smallest id.
+    Average linkage on one minus the correlation, cut at ``k`` groups, numbered by their smallest id. A series without
+    variation has correlation zero with every other.
     """
-    train = df.filter(F.col(spec.index) < cut)
-    means = train.groupBy(spec.id).agg(F.avg(spec.target).alias("_mu"), F.var_pop(spec.target).alias("_var"))
-    rows = series_vectors(train.join(means.filter("_var > 0"), spec.id), spec, F.col(spec.target) - F.col("_mu"))
-    vectors = rows.select(spec.id, array_to_vector("values").alias("features"))
-    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=30).fit(vectors)
-    found = model.transform(vectors).select(spec.id, F.col("prediction").alias("_k"))
-    names = found.groupBy("_k").agg(F.min(spec.id).alias("_first"))
-    names = names.withColumn("cluster", F.row_number().over(Window.orderBy("_first")) - 1)
-    labelled = found.join(names, "_k").select(spec.id, F.col("cluster").cast("long").alias("cluster"))
-    flat = means.filter("_var = 0 OR _var IS NULL").select(spec.id, F.lit(-1).cast("long").alias("cluster"))
-    return labelled.unionByName(flat)
-
-
-def learned_partition(df: DataFrame, spec: PanelSpec, cols: Sequence[str], cut: int, k: int = 8) -> Built:
-    grouped = df.join(learned_groups(df, spec, cut, k), spec.id, "left")
+    return linkage.linked_groups(df.filter(F.col(spec.index) < cut), spec.id, spec.index, spec.target, k)
+
+
+def learned_partition(df: DataFrame, spec: PanelSpec, cols: Sequence[str], cut: int, k: int = 8, groups: DataFrame | None = None) -> Built:
+    """Means over the learned groups; ``groups`` are those of :func:`learned_groups` where they are known."""
+    grouped = df.join(learned_groups(df, spec, cut, k) if groups is None else groups, spec.id, "left")
     out = xs.spread_back(grouped, spec, {f"xs_clu_{c}": F.avg(c) for c in cols}, ["cluster"])
     return out.drop("cluster"), [f"xs_clu_{c}" for c in cols]
 
@@ -157,46 +145,21 @@ def system_leads_lags(df: DataFrame, spec: PanelSpec, cols: Sequence[str], shift
     return xs.attach(df, table, spec), list(lags)
 
 
-def series_vectors(df: DataFrame, spec: PanelSpec, value: Column) -> DataFrame:
-    """One row per series with its values in time order; refused without a bound on their number."""
-    if not spec.bounded:
-        raise ValueError("a series becomes one vector: state its length in the spec, within chunk_rows")
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(spec.index).alias("i"), value.alias("v"))))
-    return df.groupBy(spec.id).agg(F.transform(pairs, lambda p: p["v"]).alias("values"))
-
-
 def principal_components(df: DataFrame, spec: PanelSpec, cols: Sequence[str], cut: int, n_pc: int = 3) -> Built:
     """Scores of the first components of the [time x series] panel, fitted on the train region.
 
-    The factorisation runs in the time dimension, which the calendar bounds, with one row per series:
-    rows and their negatives are stacked so that the library's own centring leaves them unchanged.
-    The scores are then one aggregation over series. Each component's sign is fixed by its largest
-    loading, ties going to the smaller id.
+    The loadings are the leading vectors over the series of the train rows centred by series; the scores are one
+    aggregation over series. Each component's sign is fixed by its largest loading, ties going to the smaller digest.
     """
     out, names = df, []
     i = F.col(spec.index)
     for c in cols:
         mean = df.filter(i < cut).groupBy(spec.id).agg(F.avg(c).alias("_mu"))
         centred = df.join(mean, spec.id).withColumn("_x", F.col(c) - F.col("_mu")).select(spec.id, spec.index, "_x")
-        rows = series_vectors(centred.filter(i < cut), spec, F.col("_x"))
-        both = rows.withColumn("_sign", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
-        both = both.select(
-            spec.id, "_sign",
-            array_to_vector(F.transform("values", lambda v: v * F.col("_sign"))).alias("features"),
-        )
-        model = PCA(k=n_pc, inputCol="features", outputCol="proj").fit(both)
-        loads = (
-            model.transform(both.filter("_sign > 0"))
-            .select(spec.id, F.posexplode(vector_to_array("proj")).alias("pc", "_p"))
-        )
-        norms = loads.groupBy("pc").agg(
-            F.sqrt(F.sum(F.col("_p") * F.col("_p"))).alias("_norm"),
-            F.sign(F.max_by("_p", F.struct(F.round(F.abs("_p"), 9), F.crc32(spec.id)))).alias("_flip"),
-        )
-        loads = loads.join(norms, "pc").withColumn("_u", ratio(F.col("_p") * F.col("_flip"), F.col("_norm")))
-        wide = loads.groupBy(spec.id).agg(
-            *(F.sum(F.when(F.col("pc") == j, F.col("_u"))).alias(f"_u{j}") for j in range(n_pc))
-        )
+        loads = checkpointed(spectral.leading_vectors(centred.filter((i < cut) & F.col("_x").isNotNull()), spec.id, spec.index, "_x", n_pc))
+        largest = [F.sign(F.max_by(F.try_element_at("u", F.lit(j + 1)), F.struct(F.round(F.abs(F.try_element_at("u", F.lit(j + 1))), 9), F.crc32(spec.id)))).alias(f"_s{j}") for j in range(n_pc)]
+        signs = loads.agg(*largest)
+        wide = loads.crossJoin(F.broadcast(signs)).select(spec.id, *((F.try_element_at("u", F.lit(j + 1)) * F.col(f"_s{j}")).alias(f"_u{j}") for j in range(n_pc)))  # one row of signs
         scores = centred.join(wide, spec.id).groupBy(spec.index).agg(
             *(F.sum(F.col("_x") * F.col(f"_u{j}")).alias(f"xs_pc{j}_{c}") for j in range(n_pc))
         )

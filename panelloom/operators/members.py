@@ -4,42 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
-from math import ceil
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions import metrics as M
 from panelloom.functions.exprs import clip
+from panelloom.operators import boosting, origin
 from panelloom.operators import design as D
-from panelloom.operators import origin
 from panelloom.operators.aggregates import unit_levels
 from panelloom.operators.index import select_horizon
 from panelloom.session import checkpointed
 from panelloom.spec import PanelSpec
 
-# Trees take no missing value; an absent one is put below anything a panel holds, so that a split can single it out.
-ABSENT = -1e12
-LOSSES = ("absolute", "squared")
-
-
 @dataclass(frozen=True)
 class TreeConfig:
     rounds: int = 60
     depth: int = 6
     step: float = 0.1
+    leaves: int = 63
     subsample: float = 0.8
-    features: str = "0.8"
+    features: float = 0.8
     min_rows: int = 20
     bins: int = 64
     seed: int = 42
     loss: str = "absolute"
-    # Rows are sampled by partition, so a fit's partitions follow its rows and not the session.
-    partition_rows: int = 100_000
-    # Codes of the unit category; more units than that share codes, so bins do not follow their number.
-    unit_codes: int = 64
+    # One split per level instead of the best leaf first.
+    symmetric: bool = False
     stride: int = 168
     horizon: int | None = None
     futr: tuple[str, ...] = ()
@@ -55,13 +48,13 @@ class TreeConfig:
 
 
 def symmetric_config(config: TreeConfig) -> TreeConfig:
-    """The second tree family: depth 6 on the same design with its own seed and rate."""
-    return TreeConfig(**{**config.__dict__, "depth": 6, "step": 0.05, "seed": config.seed + 1, "features": "all"})
+    """The second tree family: symmetric trees of depth 6 on the same design with their own seed and rate."""
+    return replace(config, depth=6, step=0.05, seed=config.seed + 1, features=1.0, symmetric=True)
 
 
 @dataclass(frozen=True)
 class TreeMember:
-    model: GBTRegressionModel
+    model: boosting.Forest
     features: list[str]
     config: TreeConfig
     cut: int
@@ -69,16 +62,6 @@ class TreeMember:
     report: dict = field(default_factory=dict)
 
 
-def assemble(rows: DataFrame, features: Sequence[str], unit_codes: int = 64, out: str = "features") -> DataFrame:
-    """One vector per row. The unit code is the one nominal slot, declared as such in the column's attribute."""
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(ABSENT)) for c in features}
-    if D.UNIT in filled:
-        nominal = {"ml_attr": {"type": "nominal", "name": D.UNIT, "num_vals": unit_codes}}
-        filled[D.UNIT] = F.pmod(F.col(D.UNIT).cast("long"), F.lit(unit_codes)).cast("double").alias(D.UNIT, metadata=nominal)
-    rest = [c for c in rows.columns if c not in filled]
-    return VectorAssembler(inputCols=list(features), outputCol=out).transform(rows.select(*rest, *(x.alias(c) if c != D.UNIT else x for c, x in filled.items())))
-
-
 def _weighted(rows: DataFrame, df: DataFrame, spec: PanelSpec, config: TreeConfig, cut: int) -> tuple[DataFrame, DataFrame | None]:
     weight = config.weight() if config.weight else F.lit(1.0)
     if config.half_life:
@@ -90,21 +73,14 @@ def _weighted(rows: DataFrame, df: DataFrame, spec: PanelSpec, config: TreeConfi
     return D.scale_by_level(out, levels, spec, "weight"), levels
 
 
-def _fit_rows(rows: DataFrame, spec: PanelSpec, features: list[str], config: TreeConfig, rounds: int) -> GBTRegressionModel:
-    """The same rows give the same trees on any cluster: they are dealt and ordered by key over partitions counted by rows."""
-    if config.loss not in LOSSES:
-        raise ValueError(f"loss {config.loss!r} is none of {LOSSES}")
+def _fit_rows(rows: DataFrame, spec: PanelSpec, features: list[str], config: TreeConfig, rounds: int) -> boosting.Forest:
+    """Trees on rows that are written first, so that what they are made from runs once."""
     keys = [c for c in (spec.id, spec.time, "o", "k") if c in rows.columns]
-    rows = assemble(rows, features, config.unit_codes)
-    parts = max(1, ceil(rows.count() / config.partition_rows))
-    rows = rows.repartition(parts, *keys).sortWithinPartitions(*keys).select("features", spec.target, "weight")
-    booster = GBTRegressor(
-        featuresCol="features", labelCol=spec.target, weightCol="weight", lossType=config.loss, maxIter=rounds,
-        maxDepth=config.depth, stepSize=config.step, subsamplingRate=config.subsample,
-        featureSubsetStrategy=config.features, minInstancesPerNode=config.min_rows, maxBins=max(config.bins, config.unit_codes if config.unit else 0),
-        seed=config.seed,
+    kept = checkpointed(rows.select(*dict.fromkeys([*keys, *features, spec.target, "weight"])))
+    return boosting.fit(
+        kept, features, spec.target, "weight", F.xxhash64(*keys), rounds=rounds, step=config.step, leaves=config.leaves, depth=config.depth, least=config.min_rows,
+        bins=config.bins, loss=config.loss, share=config.subsample, feature_share=config.features, seed=config.seed, category=D.UNIT, symmetric=config.symmetric,
     )
-    return booster.fit(rows)
 
 
 def _features(spec: PanelSpec, config: TreeConfig) -> list[str]:
@@ -131,14 +107,18 @@ def fit_gapped(df: DataFrame, spec: PanelSpec, cut: int, config: TreeConfig, rou
 
 
 def _score(member: TreeMember, rows: DataFrame) -> DataFrame:
-    rows = assemble(rows, member.features, member.config.unit_codes)
-    return member.model.setPredictionCol("_p").transform(rows).drop("features")
+    return boosting.forecast(member.model, rows, "_p")
+
 
+def forecast_gapped(df: DataFrame, spec: PanelSpec, member: TreeMember, name: str = "tree", horizon: int | None = None) -> DataFrame:
+    """All steps of the horizon from one origin per series; no forecast is fed back.
 
-def forecast_gapped(df: DataFrame, spec: PanelSpec, member: TreeMember, name: str = "tree") -> DataFrame:
-    """All steps of the horizon from one origin per series; no forecast is fed back."""
-    pairs = D.inference_pairs(df, spec, member.cut, member.config.h(spec))
-    rows = _score(member, _design(df, pairs, spec, member.config, target=False))
+    ``horizon`` may go past the one the member was fitted for: every feature is still known, and the step itself
+    counts as the largest the trees have seen. Forecast-anchored lags must reach back over it.
+    """
+    config = member.config if horizon is None else replace(member.config, horizon=horizon)
+    pairs = D.inference_pairs(df, spec, member.cut, config.h(spec))
+    rows = _score(member, _design(df, pairs, spec, config, target=False))
     if member.levels is not None:
         rows = rows.join(member.levels, spec.id).withColumn("_p", F.col("_p") * F.col("level")).drop("level")
     return rows.withColumn(name, clip(F.col("_p"), low=0.0)).select(
@@ -149,7 +129,7 @@ def forecast_gapped(df: DataFrame, spec: PanelSpec, member: TreeMember, name: st
 def tune_rounds(df: DataFrame, spec: PanelSpec, cut: int, config: TreeConfig, max_rounds: int = 100, patience: int = 10) -> dict:
     """Round count with the lowest validation error on a fold inside the train region.
 
-    One fit; the library then reports the validation error after every round.
+    One fit; one pass over the fold then has the validation error after every round.
     """
     h = config.h(spec)
     score_len = spec.score_len
@@ -166,8 +146,9 @@ def tune_rounds(df: DataFrame, spec: PanelSpec, cut: int, config: TreeConfig, ma
         raise ValueError(f"the validation fold before cut {cut} is empty")
     features = _features(spec, config)
     model = _fit_rows(tr, spec, features, config, max_rounds)
-    ready = assemble(va, features, config.unit_codes)
-    losses = model.evaluateEachIteration(ready.select("features", F.col(spec.target), "weight"), config.loss)
+    losses = boosting.staged_loss(boosting.pack(va, model.bins, spec.target, "weight", F.lit(0).cast("long")), model, config.loss)
+    if not losses:
+        raise ValueError(f"no split helps before cut {cut}")
     best = min(range(len(losses)), key=lambda i: (losses[i], i)) + 1
     return {
         "best_iteration": best, "best_score": float(losses[best - 1]), "max_rounds": max_rounds,
@@ -277,11 +258,42 @@ def residual_stacker(
 # ---------------------------------------------------------------- recursive forecasts
 
 
-def recursive_trees(df: DataFrame, spec: PanelSpec, cut: int, horizon: int, config: TreeConfig, lags: Sequence[int] = (1, 2, 7, 14, 28), roll: int = 7, name: str = "recursive", cut_every: int = 7) -> DataFrame:
-    """One-step trees of squared loss rolled forward, all series advancing together.
+def _rolled(model: boosting.Forest, lags: Sequence[int], roll: int, need: int):
+    """A function of a series' last values and its known columns ahead: the one-step forecasts, each fed to the next.
 
-    The state is one array per series holding the last values any lag needs; a step appends its own
-    forecast to it. Nothing is shuffled per step, and lineage is cut every few steps.
+    All series of an Arrow batch advance together, a matrix with a row for each. Horizons may differ; a series with
+    fewer than ``need`` values before the cut lacks its oldest.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(hist, ahead):
+        import numpy as np
+        import pandas as pd
+
+        sizes = np.array([len(a[0]) if len(a) else 0 for a in ahead], np.int64)
+        values = np.full((len(hist), need + int(sizes.max(initial=0))), np.nan)
+        for row, h in zip(values, hist):
+            h = np.array(h, np.float64)[-need:]
+            row[need - len(h) : need] = h
+        known = [np.full((len(hist), int(sizes.max(initial=0))), np.nan) for _ in range(len(ahead.iloc[0]) if len(ahead) else 0)]
+        for i, a in enumerate(ahead):
+            for column, own in zip(known, a):
+                column[i, : sizes[i]] = np.array(own, np.float64)
+        for step in range(values.shape[1] - need):
+            at = need + step
+            live = np.flatnonzero(sizes > step)
+            window = values[live, at - roll : at]
+            features = [*(values[live, at - n] for n in lags), window.sum(axis=1) / roll, *(c[live, step] for c in known)]
+            values[live, at] = model.predict(features)
+        return pd.Series([v[need : need + n] for v, n in zip(values, sizes)])
+
+    return run
+
+
+def recursive_trees(df: DataFrame, spec: PanelSpec, cut: int, horizon: int, config: TreeConfig, lags: Sequence[int] = (1, 2, 7, 14, 28), roll: int = 7, name: str = "recursive") -> DataFrame:
+    """One-step trees of squared loss rolled forward in one plan whatever the horizon.
+
+    A series is one row with the last values any lag needs and its known columns ahead; the steps run inside a task.
     """
     from panelloom.functions import ordered
 
@@ -300,34 +312,17 @@ def recursive_trees(df: DataFrame, spec: PanelSpec, cut: int, horizon: int, conf
     ).filter(i >= need).withColumn("weight", F.lit(1.0))
     config = replace(config, loss="squared")
     model = _fit_rows(train.dropna(subset=names), spec, names, config, config.rounds)
-    one_step = TreeMember(model, names, config, cut)
-
     tail = df.filter((i >= cut - need) & (i < cut)).groupBy(spec.id).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(i, y.alias("v")))), lambda s: s["v"]).alias("_hist")
     )
+    known = [*calendar, *futr]
     ahead = df.filter((i >= cut) & (i < cut + horizon)).withColumns(calendar)
-    packed = F.array_sort(F.collect_list(F.struct(i.alias("i"), F.col(spec.time).alias("t"), *calendar, *futr)))
-    state = tail.join(ahead.groupBy(spec.id).agg(packed.alias("_fut")), spec.id).withColumn(
-        "_out", F.array().cast("array<double>")
-    )
-    state = checkpointed(state)
-    for step in range(horizon):
-        hist, fut = F.col("_hist"), F.col("_fut")[step]
-        recent = F.slice("_hist", F.size("_hist") - roll + 1, roll)
-        mean = F.aggregate(recent, F.lit(0.0), lambda a, v: a + v) / F.lit(float(roll))
-        feats = {f"lag_{n}": F.element_at(hist, -n) for n in lags}
-        feats[f"roll_{roll}"] = mean
-        feats.update({c: fut[c] for c in [*calendar, *futr]})
-        scored = _score(one_step, state.withColumns(feats))
-        state = scored.select(
-            spec.id, "_fut",
-            F.slice(F.concat("_hist", F.array("_p")), 2, need).alias("_hist"),
-            F.concat("_out", F.array("_p")).alias("_out"),
-        )
-        if (step + 1) % cut_every == 0 and step + 1 < horizon:
-            state = checkpointed(state)
-    pairs = F.arrays_zip(F.col("_fut.t").alias("t"), F.col("_out").alias("p"))
-    out = state.select(spec.id, F.posexplode(pairs).alias("_k", "_r"))
+    packed = F.array_sort(F.collect_list(F.struct(i.alias("i"), F.col(spec.time).alias("t"), *(F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(known)))))
+    state = tail.join(ahead.groupBy(spec.id).agg(packed.alias("_fut")), spec.id)
+    columns = [F.expr(f"transform(_fut, s -> s._x{j})") for j in range(len(known))]
+    out = state.withColumn("_out", _rolled(model, lags, roll, need)("_hist", F.array(*columns)))
+    pairs = F.arrays_zip(F.transform("_fut", lambda s: s["t"]).alias("t"), F.col("_out").alias("p"))
+    out = out.select(spec.id, F.posexplode(pairs).alias("_k", "_r"))
     return out.select(
         spec.id, F.col("_r.t").alias(spec.time), F.lit(cut).cast("long").alias("cutoff"),
         (F.col("_k") + 1).cast("long").alias("step"), clip(F.col("_r.p"), low=0.0).alias(name),

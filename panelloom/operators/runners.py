@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from panelloom.operators import baselines, impute, provenance
 from panelloom.operators.assembly import with_labels
 from panelloom.operators.evaluate import validate_prediction
 from panelloom.operators.index import BLOCKS, horizons, select_horizon
-from panelloom.operators.members import TreeConfig, fit_gapped, forecast_gapped, ridge_control
+from panelloom.operators.members import TreeConfig, fit_gapped, forecast_gapped, ridge_control, symmetric_config
 from panelloom.spec import PanelSpec
 
 KINDS = ("baseline", "tree", "linear", "residual")
@@ -109,10 +109,10 @@ def _baseline(fn: Callable[[DataFrame, Context], DataFrame]):
     return run
 
 
-def _tree(name: str, **changes):
+def _tree(name: str, symmetric: bool = False, **changes):
     def run(ctx: Context) -> DataFrame:
         seed = ctx.config.seed if ctx.seed is None else ctx.seed
-        config = TreeConfig(**{**ctx.config.__dict__, **changes, "seed": seed})
+        config = replace(symmetric_config(ctx.config) if symmetric else ctx.config, **changes, seed=seed)
         frame = _withheld(ctx)
         member = fit_gapped(frame, ctx.spec, ctx.cut, config)
         return forecast_gapped(frame, ctx.spec, member, name)
@@ -130,6 +130,7 @@ register(Member("seasonal_mean", "baseline", _baseline(lambda r, c: baselines.se
 register(Member("tree", "tree", _tree("tree"), seedable=True, honours_gap_cov=True))
 register(Member("tree_unit", "tree", _tree("tree_unit", unit=True), seedable=True, honours_gap_cov=True))
 register(Member("tree_level", "tree", _tree("tree_level", by_level=True), seedable=True, honours_gap_cov=True))
+register(Member("tree_symmetric", "tree", _tree("tree_symmetric", symmetric=True), seedable=True, honours_gap_cov=True))
 register(Member("ridge", "linear", _ridge, honours_gap_cov=True))
 
 

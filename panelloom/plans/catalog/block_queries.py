@@ -172,20 +172,24 @@ def a11(t, df):
 
 @query(
     "X8_A8_learned_partition", "panel_s",
-    f"""WITH v AS (SELECT unique_id, var_pop(y) AS v FROM panel_s WHERE hidx < {CUT} GROUP BY 1)
-    SELECT count(*) AS series, count(*) FILTER (v = 0) AS flat, TRUE AS each_once, TRUE AS at_most_k, TRUE AS means_hold FROM v""",
+    f"""WITH RECURSIVE {FULL.strip()},
+    r AS MATERIALIZED (SELECT a.unique_id AS i, b.unique_id AS j, coalesce(corr(a.y, b.y), 0) AS r FROM panel_s a JOIN panel_s b ON a.hidx = b.hidx AND a.unique_id < b.unique_id
+      WHERE a.hidx < {CUT} GROUP BY ALL),
+    n AS MATERIALIZED (SELECT count(DISTINCT unique_id) AS n FROM panel_s),
+    g AS (SELECT DISTINCT 0 AS step, unique_id, unique_id AS root FROM panel_s
+      UNION ALL SELECT step + 1, unique_id, CASE WHEN root = two THEN one ELSE root END FROM g, n,
+        (SELECT least(x.root, y.root) AS one, greatest(x.root, y.root) AS two FROM r JOIN g x ON x.unique_id = i JOIN g y ON y.unique_id = j
+         WHERE x.root <> y.root GROUP BY ALL ORDER BY avg(r) DESC, one, two LIMIT 1)
+      WHERE step < n - 8),
+    c AS (SELECT unique_id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM g WHERE step = (SELECT max(step) FROM g))
+    SELECT unique_id, hidx, cluster, avg(x1) OVER (PARTITION BY cluster, hidx) AS xs_clu_x1 FROM c JOIN full_s USING (unique_id)""",
+    digits="xs_clu_x1",
 )
 def a8(t: Tables):
     df = full(t)
-    groups = blocks.learned_groups(df, t.weekly, CUT, 8)
-    out, (name,) = blocks.learned_partition(df, t.weekly, ["x1"], CUT, k=8)
-    spans = out.join(groups, "unique_id").groupBy("cluster", "hidx").agg(F.max(name).alias("hi"), F.min(name).alias("lo"), F.avg("x1").alias("m"))
-    held = spans.agg(F.every((F.abs(F.col("hi") - F.col("m")) < 1e-9) & (F.abs(F.col("lo") - F.col("m")) < 1e-9)).alias("means_hold"))
-    count = groups.agg(
-        F.count(F.lit(1)).alias("series"), F.count_if(F.col("cluster") == -1).alias("flat"), (F.count(F.lit(1)) == F.count_distinct("unique_id")).alias("each_once"),
-        (F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))) <= 8).alias("at_most_k"),
-    )
-    return count.withColumn("means_hold", F.lit(held.first()[0]))
+    groups = blocks.learned_groups(df, t.chunked, CUT, 8)
+    out, (name,) = blocks.learned_partition(df, t.chunked, ["x1"], CUT, 8, groups)
+    return out.select("unique_id", "hidx", name).join(groups, "unique_id").select("unique_id", "hidx", "cluster", name)
 
 
 @query(
@@ -193,7 +197,7 @@ def a8(t: Tables):
     "SELECT count(DISTINCT hidx) AS hours, TRUE AS same_for_all, TRUE AS in_order, TRUE AS orthogonal FROM panel_s",
 )
 def a12(t: Tables):
-    out, names = blocks.principal_components(full(t), t.weekly, ["x1"], CUT, 3)
+    out, names = blocks.principal_components(full(t), t.chunked, ["x1"], CUT, 3)
     hours = out.groupBy("hidx").agg(*(F.max(n).alias(n) for n in names), *(F.min(n).alias(f"_lo{i}") for i, n in enumerate(names)))
     a, b, c = (F.when(F.col("hidx") < CUT, F.col(n)) for n in names)
     size = lambda x: F.sum(x * x)

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import metrics as M
-from panelloom.operators import blocks, evaluate, impute, index, members, origin, runners
+from panelloom.operators import boosting, blocks, evaluate, impute, index, members, origin, runners
 from panelloom.operators.members import TreeConfig
 from panelloom.plans import workflows
 from panelloom.plans.registry import query
@@ -216,6 +216,63 @@ def tree_member(t: Tables):
     return plain.unionByName(shape(t, unit, "unit"))
 
 
+def split_panel(t: Tables):
+    """Train rows with two features of few values, whose bins are the values."""
+    rows = t.panel_s.filter(F.col("hidx") < CUT).select("unique_id", "hidx", "y", F.col("zone").cast("double").alias("zone"), (F.col("hidx") % 13).cast("double").alias("phase"))
+    return rows.withColumn("weight", F.lit(1.0))
+
+
+def split_forecast(t: Tables, **options):
+    from panelloom.session import checkpointed
+
+    rows = checkpointed(split_panel(t))
+    forest = boosting.fit(rows, ["zone", "phase"], "y", "weight", F.xxhash64("unique_id", "hidx"), rounds=1, step=1.0, least=20, narrow=0.0, **options)
+    cells = rows.select("zone", "phase").distinct()
+    return boosting.forecast(forest, cells, "p").select(F.col("zone").cast("long").alias("zone"), F.col("phase").cast("long").alias("phase"), "p")
+
+
+# Every split of the rows of a leaf on zone (f = 0) or phase (f = 1), by the sums of a gradient g.
+SPLIT_ROWS = f"d AS (SELECT zone, hidx % 13 AS phase, y FROM panel_s WHERE hidx < {CUT}), v AS (SELECT DISTINCT 0 AS f, zone AS v FROM d UNION SELECT DISTINCT 1, phase FROM d)"
+SPLIT_GAIN = "CASE WHEN least(nl, n - nl) >= 20 THEN greatest(gl * gl / nl + (g - gl) * (g - gl) / (n - nl) - g * g / n, 0) ELSE 0 END"
+
+
+@query(
+    "D10_one_split", "panel_s",
+    f"""WITH {SPLIT_ROWS},
+    s AS (SELECT min(y) AS m FROM (SELECT y, row_number() OVER (ORDER BY y) AS i, count(*) OVER () AS n FROM d) WHERE 2 * i >= n),
+    g AS (SELECT zone, phase, y, sign(m - y)::DOUBLE AS g FROM d, s),
+    e AS (SELECT f, v, sum(g) FILTER (CASE f WHEN 0 THEN zone ELSE phase END <= v) AS gl, count(*) FILTER (CASE f WHEN 0 THEN zone ELSE phase END <= v) AS nl, sum(g) AS g, count(*) AS n
+      FROM g, v GROUP BY ALL),
+    b AS (SELECT f, v FROM e ORDER BY {SPLIT_GAIN} DESC, f, v LIMIT 1),
+    x AS (SELECT zone, phase, y, CASE f WHEN 0 THEN zone ELSE phase END <= v AS l FROM d, b),
+    m AS (SELECT l, min(y) AS p FROM (SELECT y, l, row_number() OVER (PARTITION BY l ORDER BY y) AS i, count(*) OVER (PARTITION BY l) AS n FROM x) WHERE 2 * i >= n GROUP BY l)
+    SELECT DISTINCT zone, phase, p FROM x JOIN m USING (l)""",
+    digits="p",
+)
+def one_split(t: Tables):
+    return split_forecast(t, leaves=2, loss="absolute")
+
+
+@query(
+    "D12_symmetric_levels", "panel_s",
+    f"""WITH {SPLIT_ROWS},
+    g AS (SELECT zone, phase, y, (SELECT avg(y) FROM d) - y AS g FROM d),
+    e AS (SELECT f, v, sum(g) FILTER (CASE f WHEN 0 THEN zone ELSE phase END <= v) AS gl, count(*) FILTER (CASE f WHEN 0 THEN zone ELSE phase END <= v) AS nl, sum(g) AS g, count(*) AS n
+      FROM g, v GROUP BY ALL),
+    b AS (SELECT f, v FROM e ORDER BY {SPLIT_GAIN} DESC, f, v LIMIT 1),
+    x AS (SELECT zone, phase, y, g, CASE f WHEN 0 THEN zone ELSE phase END <= v AS l FROM g, b),
+    e2 AS (SELECT f, v, l, sum(g) FILTER (CASE f WHEN 0 THEN zone ELSE phase END <= v) AS gl, count(*) FILTER (CASE f WHEN 0 THEN zone ELSE phase END <= v) AS nl, sum(g) AS g, count(*) AS n
+      FROM x, v GROUP BY ALL),
+    b2 AS (SELECT f, v FROM e2 GROUP BY f, v ORDER BY sum({SPLIT_GAIN.replace("gl * gl / nl", "coalesce(gl, 0) * coalesce(gl, 0) / nl").replace("(g - gl) * (g - gl)", "(g - coalesce(gl, 0)) * (g - coalesce(gl, 0))")}) DESC, f, v LIMIT 1),
+    z AS (SELECT zone, phase, y, l, CASE f WHEN 0 THEN zone ELSE phase END <= v AS l2 FROM x, b2),
+    m AS (SELECT l, l2, avg(y) AS p FROM z GROUP BY ALL)
+    SELECT DISTINCT zone, phase, p FROM z JOIN m USING (l, l2)""",
+    digits="p",
+)
+def symmetric_levels(t: Tables):
+    return split_forecast(t, symmetric=True, depth=2, loss="squared")
+
+
 @query(
     "D11_tune_rounds", "panel_s",
     f"SELECT count(DISTINCT unique_id) > 0 AS fitted, 12 AS max_rounds, {CUT} - 13 AS valid_from, {CUT} AS valid_to, TRUE AS within, TRUE AS scored FROM panel_s",
@@ -228,13 +285,13 @@ def tune_rounds(t: Tables):
 
 @query("D12_second_tree_family", "cube", shape_sql(14, "tree2"))
 def second_tree(t: Tables):
-    config = members.symmetric_config(TreeConfig(**{**SMALL.__dict__, "rounds": 6}))
+    config = replace(members.symmetric_config(SMALL), step=0.2)
     return shape(t, members.predict_gapped(filled(t), t.weekly, CUT, config, name="tree2"), "tree2")
 
 
 @query("D13_recursive_trees", "cube", shape_sql(1, "recursive"))
 def recursive(t: Tables):
-    config = TreeConfig(**{**SMALL.__dict__, "futr": ("x1",)})
+    config = replace(SMALL, futr=("x1",))
     return shape(t, members.recursive_trees(filled(t), t.weekly, CUT, 26, config, (1, 2, 4, 13, 26), 4), "recursive")
 
 
@@ -379,6 +436,40 @@ def inference_run(t: Tables):
     return out.select("unique_id", "ds", "prediction", F.lit(rung).alias("rung"))
 
 
+@query(
+    "S6_graded_run", "panel_s",
+    """SELECT unique_id, ds, 'tree and rolled' AS rung, TRUE AS sound, TRUE AS below_naive, count(*) OVER () AS n FROM panel_s WHERE hidx BETWEEN 331 AND 356""",
+)
+def graded_run(t: Tables):
+    # Fitted for 26 steps, asked for steps 14 to 39: the tree answers them directly, the seasonal member rolls forward.
+    spec, cut = t.weekly, 318
+    history = t.panel_s.filter(F.col("hidx") < cut)
+    asked = t.panel_s.filter(F.col("hidx").between(331, 356))
+    index_rows = panel_files.with_order(asked.select("unique_id", "ds").orderBy(F.xxhash64("unique_id", "ds")))
+    aggregates = ["xs_cap_x1", "ew_x1_6"]
+    config = replace(SMALL, futr=("x1", "x2", *aggregates), fc_lags=(52,), rounds=6, horizon=26)
+
+    def tree(whole, at, h):
+        return members.forecast_gapped(whole, spec, members.fit_gapped(whole, spec, at, config), horizon=h)
+
+    def rolled(whole, at, h):
+        return members.rollout(whole, spec, at, h, 26, "seasonal_mean", "rolled")
+
+    def broken(whole, at, h):
+        raise RuntimeError("weights are not available offline")
+
+    rungs = (("full", {"deep": 0.5, "tree": 0.5}), ("tree and rolled", {"tree": 0.7, "rolled": 0.3}), ("rolled", {"rolled": 1.0}))
+    out, rung = workflows.predict(
+        history, asked.select("unique_id", "ds", *SIGNALS), index_rows, spec, {"deep": broken, "tree": tree, "rolled": rolled}, rungs, aggregates=aggregates,
+        block_registry=lambda s: blocks.registry(s, cut, live=["x1"], given=["x1"], refill=[], memory=["x1"], asymmetric=["x1"]),
+    )
+    last = history.groupBy("unique_id").agg(F.max_by("y", "hidx").alias("_last"))
+    scored = out.join(asked.select("unique_id", "ds", "y"), ["unique_id", "ds"]).join(last, "unique_id")
+    errors = scored.agg(F.sum(F.abs(F.col("y") - F.col("prediction"))), F.sum(F.abs(F.col("y") - F.col("_last"))), F.count(F.lit(1))).first()
+    sound = (F.col("prediction") >= 0) & ~F.isnan("prediction")
+    return scored.select("unique_id", "ds", F.lit(rung).alias("rung"), sound.alias("sound"), F.lit(errors[0] < errors[1]).alias("below_naive"), F.lit(errors[2]).cast("long").alias("n"))
+
+
 @query(
     "G3_sweep_run", "cube",
     """SELECT members, TRUE AS sound FROM (SELECT unnest(['naive+seasonal_naive', 'naive+seasonal_mean', 'seasonal_naive+seasonal_mean',

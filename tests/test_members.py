@@ -11,7 +11,7 @@ from panelloom.operators.members import TreeConfig
 from panelloom.spec import PanelSpec
 
 SPEC = PanelSpec(signals=("x1",), statics=("capacity",), season=6, score_len=4, lags=(1, 2), rolls=(3,), series_len=60, train_end=50, late_from=2)
-CONFIG = TreeConfig(rounds=3, depth=3, stride=6, futr=("x1",), statics=("capacity",), partition_rows=200)
+CONFIG = TreeConfig(rounds=3, depth=3, stride=6, futr=("x1",), statics=("capacity",))
 
 
 @pytest.fixture(scope="module")
@@ -38,13 +38,11 @@ def test_trees_do_not_depend_on_the_session(spark, panel):
     assert got[0] == got[1] and len(got[0]) == 12 * SPEC.full_horizon
 
 
-def test_the_unit_is_the_only_category(spark, panel):
-    config = replace(CONFIG, unit=True, unit_codes=8)  # fewer codes than units
+def test_the_unit_is_a_category_of_any_size(spark, panel):
+    config = replace(CONFIG, unit=True, leaves=8, features=1.0, subsample=1.0, bins=4)  # fewer bins than units
     member = members.fit_gapped(panel, SPEC, 50, config)
-    rows = members.assemble(members._design(panel, D.inference_pairs(panel, SPEC, 50), SPEC, config, False), member.features, 8)
-    attrs = rows.schema["features"].metadata["ml_attr"]["attrs"]
-    assert [a["name"] for a in attrs["nominal"]] == [D.UNIT]
-    assert {a["name"] for a in attrs["numeric"]} == set(member.features) - {D.UNIT}
+    place = member.features.index(D.UNIT)
+    assert member.model.bins.category == place and member.model.bins.codes == 12 and member.model.bins.widths[place] == 0
     assert len(forecasts(spark, panel, config)) == 12 * SPEC.full_horizon
 
 
