@@ -387,9 +387,10 @@ def decoded(vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray) -> list[byt
 ENCODED = "key long, sample int, pieces array<int>, n_pieces int, log_prob double, log_inclusion double, exact boolean"
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = 2, model: str = MODEL, seed: int = 5) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = 2, model: str = MODEL, seed: int = 5, carry: str | None = None) -> DataFrame:
     """One row per row of ``docs`` and sample: ``key``, ``sample`` (1 is the largest perturbed one), ``pieces``, ``n_pieces``,
-    ``log_prob`` and ``log_inclusion`` (natural logs), ``exact``: the pieces decode to the text byte by byte."""
+    ``log_prob`` and ``log_inclusion`` (natural logs), ``exact``: the pieces decode to the text byte by byte. ``carry`` names a column of longs that
+    every row keeps."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))  # as large as the vocabulary
 
@@ -412,13 +413,15 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: in
                     same = [x == raw[r] for x, r in zip(decoded(vocabulary, ids, ends), rows.tolist())]
                     lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
                     n = len(rows)
+                    kept = [piece.column("carried").take(pa.array(rows))] if carry else []
                     yield pa.RecordBatch.from_arrays(
-                        [doc.take(pa.array(rows)), pa.array(np.full(n, s + 1, np.int32)), lists, pa.array(np.diff(ends).astype(np.int32)), pa.array(log), pa.array(inclusion), pa.array(same, pa.bool_())],
-                        names=["key", "sample", "pieces", "n_pieces", "log_prob", "log_inclusion", "exact"],
+                        [doc.take(pa.array(rows)), pa.array(np.full(n, s + 1, np.int32)), lists, pa.array(np.diff(ends).astype(np.int32)), pa.array(log), pa.array(inclusion), pa.array(same, pa.bool_()), *kept],
+                        names=["key", "sample", "pieces", "n_pieces", "log_prob", "log_inclusion", "exact", *(["carried"] if carry else [])],
                     )
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit(seed)).alias("draw"))
-    return rows.mapInArrow(each, ENCODED).withColumnRenamed("key", key)
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit(seed)).alias("draw"), *([F.col(carry).cast("long").alias("carried")] if carry else []))
+    out = rows.mapInArrow(each, ENCODED + (", carried long" if carry else "")).withColumnRenamed("key", key)
+    return out.withColumnRenamed("carried", carry) if carry else out
 
 
 def decode(encoded: DataFrame, pieces: str = "pieces", out: str = "text", model: str = MODEL) -> DataFrame:

@@ -68,7 +68,11 @@ def test_mixture_holds_every_row_in_the_order_of_the_schedule(kept):
         n = names[s]
         blocks += [n] * min(16, left[n])
         left[n] -= min(16, left[n])
-    assert len(blocks) == len(kept[4])
+    # the order of the last stage's result, read back, is the schedule row by row
+    source = {r["doc_id"]: r["source"] for r in kept[4]}
+    first = sorted((r for r in kept[5] if r["sample"] == 1), key=lambda r: r["position"])
+    assert [source[r["doc_id"]] for r in first] == blocks
+    assert all(r["position"] == other["position"] for r, other in zip(sorted(first, key=key), sorted((r for r in kept[5] if r["sample"] == 2), key=key)))
 
 
 def test_written_order_is_the_mixture(spark):
