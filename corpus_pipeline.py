@@ -34,15 +34,22 @@ def substring_dedup(spark, docs, sf_dir):
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
-def source_mixing(spark, docs, sf_dir):
-    """All documents, in the order of a mixture of their sources."""
+def mixed(docs, out="position"):
+    """``docs`` packed in ``packed``, with the place of each row in the mixture of the sources: a function of the rows alone."""
     packed = docs.select(F.struct(*docs.columns).alias("packed"), "source", "doc_id")
-    return mixing.mix(packed, "source", ["doc_id"]).orderBy("position").select("packed.*")
+    return mixing.mix(packed, "source", ["doc_id"], out=out)
+
+
+def source_mixing(spark, docs, sf_dir):
+    """All documents, in the order of a mixture of their sources. Many files are not read in the order they were written in, so
+    the last stage gives every row its place again."""
+    return mixed(docs).orderBy("position").select("packed.*")
 
 
 def sentencepiece(spark, docs, sf_dir):
-    """Two sampled segmentations of each text."""
-    return pieces.encode(docs)
+    """Two sampled segmentations of each text, with the document's ``position`` in the mixture: in its order the result is the mixture."""
+    rows = mixed(docs).select(F.col("packed.doc_id").alias("doc_id"), F.col("packed.text").alias("text"), "position")
+    return pieces.encode(rows, carry="position")
 
 
 STAGES = [
