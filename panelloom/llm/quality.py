@@ -2,9 +2,10 @@
 
 Each rule rejects documents whose metric lies above a cutoff. For every rule, stratum and candidate
 cutoff the good documents it would reject are counted over all labelled documents. A cutoff may be
-used only if the exact binomial tail says the false rejection rate is below ``risk`` at the level
+used only if the exact binomial tail says the false rejection rate is below ``risk`` shared among the rules, at the level
 ``level`` divided by the number of tests (Bonferroni over rules, strata and cutoffs, so that
-choosing among the cutoffs afterwards keeps the guarantee). Among those the one is taken that
+choosing among the cutoffs afterwards keeps the guarantee). All rules together then reject less than ``risk`` of the good
+documents of a stratum, since a verdict's risk is at most the sum of its rules'. Among those the one is taken that
 rejects the largest share of bad documents less the share of good ones, on ties the loosest. A
 stratum without such a cutoff has no rule.
 
@@ -35,6 +36,7 @@ RULES = {
     "marks": ("n_marks", "n_words"),
     "word_length": ("word_chars", "n_words"),
 }
+#: Of the verdict; a rule has its share of it.
 RISK, LEVEL = 0.02, 0.05
 
 
@@ -107,6 +109,7 @@ def choose_cutoffs(counted: DataFrame, labels: DataFrame, stratum: str, risk: fl
 
     ``counted`` has ``doc_id`` and the counts; ``labels`` has ``doc_id`` and ``quality`` 0 or 1.
     """
+    risk = risk / len(RULES)
     marks = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("good"))
     known = counted.filter(~base_failed()).join(marks, "doc_id").withColumn("_g", F.col("good") == 1)
     tests = [(r, c) for r in RULES for c in CUTOFFS]

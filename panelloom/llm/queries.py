@@ -139,7 +139,7 @@ judged AS (
 
 def quality_sql(docs: str) -> str:
     return QUALITY_COUNTS.format(
-        docs=docs, cutoffs=list(quality.CUTOFFS), rules=list(quality.RULES), risk=f"{quality.RISK}::DOUBLE", level=f"{quality.LEVEL}::DOUBLE"
+        docs=docs, cutoffs=list(quality.CUTOFFS), rules=list(quality.RULES), risk=f"{quality.RISK / len(quality.RULES)!r}::DOUBLE", level=f"{quality.LEVEL}::DOUBLE"
     )
 
 
