@@ -190,34 +190,46 @@ def ewma(
     scratch = [_CHUNK, "_at", *(f"_t_{n}" for n in cols)]
     if single:
         return local.drop(*scratch)
-    # One short array of chunk sums per series; the state entering a chunk is a running fold over it.
     sums = out.groupBy(*part).agg(*(F.sum(f"_t_{n}").alias(f"_s_{n}") for n in cols))
-    chunks = F.array_sort(F.collect_list(F.struct(_CHUNK, *(f"_s_{n}" for n in cols))))
-    folded = sums.groupBy(*keys).agg(chunks.alias("_a"))
-
-    def entering(n: str, h: float) -> Column:
-        start = F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("out"))
-        return F.aggregate(
-            "_a",
-            start,
-            lambda acc, x: F.struct(
-                ((acc["c"] + x[f"_s_{n}"]) * F.lit(2.0 ** (-size / h))).alias("c"),
-                F.concat(acc["out"], F.array(acc["c"])).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
-
-    states = [entering(n, h).alias(f"_c_{n}") for n, (_, h) in cols.items()]
-    zipped = F.arrays_zip(F.col(f"_a.{_CHUNK}").alias(_CHUNK), *(F.col(f"_c_{n}") for n in cols))
-    carry = folded.select(*keys, "_a", *states).select(*keys, F.explode(zipped).alias("_z")).select(
-        *keys, f"_z.{_CHUNK}", *(F.col(f"_z._c_{n}") for n in cols)
-    )
+    carry = _carried_states(sums, keys, size, {n: h for n, (_, h) in cols.items()})
     joined = local.join(carry, part, "left")
-    return joined.withColumns({n: F.col(n) + F.col(f"_c_{n}") * down[n] for n in cols}).drop(
+    return joined.withColumns({n: F.col(n) + F.coalesce(f"_c_{n}", F.lit(0.0)) * down[n] for n in cols}).drop(
         *scratch, *(f"_c_{n}" for n in cols)
     )
 
 
+def _carried_states(sums: DataFrame, keys: Sequence[str], size: int, halflives: dict[str, float]) -> DataFrame:
+    """What enters each chunk from all chunks before it: ``_c_name`` from the chunk sums ``_s_name``.
+
+    The same prefix sum one level up, over runs of chunks that span at most 500 half-lives: running sums inside a
+    run, and the last state of the run before. What lies further back has faded by 2 ** -500 and counts as nothing. A row
+    per chunk is all that is sorted, and no row holds more than its own chunk.
+    """
+    c = F.col(_CHUNK)
+    whole = Window.partitionBy(*keys).orderBy(_CHUNK)
+    done = sums
+    for n, h in halflives.items():
+        run = max(1, int(500 * h) // size)
+        place = F.pmod(c, F.lit(run)).cast("double")
+        step = size / h
+        inside = Window.partitionBy(*keys, F.floor(c / run)).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, 0)
+        ends = F.sum(F.col(f"_s_{n}") * F.pow(F.lit(2.0), place * step)).over(inside) * F.pow(F.lit(2.0), -place * step)
+        done = done.withColumn(f"_l_{n}", ends)
+    for n, h in halflives.items():
+        run = max(1, int(500 * h) // size)
+        earlier = whole_runs_before(keys, run)
+        place = F.pmod(c, F.lit(run)).cast("double")
+        state = F.col(f"_l_{n}") + F.coalesce(F.last(f"_l_{n}").over(earlier), F.lit(0.0)) * F.pow(F.lit(2.0), -(place + 1) * (size / h))
+        done = done.withColumn(f"_e_{n}", state * F.lit(2.0 ** (-size / h)))
+    entering = {f"_c_{n}": F.lag(f"_e_{n}").over(whole) for n in halflives}
+    return done.withColumns(entering).select(*keys, _CHUNK, *entering)
+
+
+def whole_runs_before(keys: Sequence[str], run: int):
+    """The chunks of all runs before a chunk's own."""
+    return Window.partitionBy(*keys).orderBy(F.floor(F.col(_CHUNK) / run)).rangeBetween(Window.unboundedPreceding, -1)
+
+
 def global_index(df: DataFrame, keys: Sequence[str], name: str = "pos") -> DataFrame:
     """Dense 0-based numbering of all rows without a single-task sort.
 

@@ -14,6 +14,8 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.session import checkpointed
+
 # Groups up to this size are their own bracket.
 SMALL_GROUP = 4_096
 ACCURACY = 20_000
@@ -51,26 +53,7 @@ def grouped(
 
 
 def _bracketed(long: DataFrame, keys: list[str], probs: list[float], few_keys: bool) -> DataFrame:
-    edges = [min(1.0, max(0.0, p + s * MARGIN)) for p in probs for s in (-1, 1)]
-    sketch = long.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.min("_v").alias("_lo"),
-        F.max("_v").alias("_hi"),
-        F.percentile_approx("_v", edges, ACCURACY).alias("_a"),
-    )
-    small = F.col("_n") <= SMALL_GROUP
-    brackets = sketch.select(
-        *keys,
-        "_n",
-        *(
-            F.when(small | F.lit(edges[j] in (0.0, 1.0)), F.col("_lo" if j % 2 == 0 else "_hi"))
-            .otherwise(F.col("_a")[j])
-            .alias(f"_b{j}")
-            for j in range(len(edges))
-        ),
-    )
-    if few_keys:
-        brackets = F.broadcast(brackets)
+    brackets = _narrowed(long, keys, probs, few_keys)
     inside = F.lit(False)
     for i in range(len(probs)):
         inside = inside | F.col("_v").between(F.col(f"_b{2 * i}"), F.col(f"_b{2 * i + 1}"))
@@ -82,7 +65,7 @@ def _bracketed(long: DataFrame, keys: list[str], probs: list[float], few_keys: b
         ((F.col("_v") >= F.col(f"_b{2 * i}")).cast("int") for i in range(len(probs))), F.lit(0)
     )
     tally = (
-        long.join(brackets, keys)
+        long.join(F.broadcast(brackets) if few_keys else brackets, keys)
         .groupBy(*keys, "_n", stretch.alias("_z"), F.when(inside, F.col("_v")).alias("_x"))
         .agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_first"))
     )
@@ -101,34 +84,79 @@ def _bracketed(long: DataFrame, keys: list[str], probs: list[float], few_keys: b
     return placed.groupBy(*keys).agg(*aggs)
 
 
+def _narrowed(long: DataFrame, keys: list[str], probs: list[float], few_keys: bool) -> DataFrame:
+    """Per group its size ``_n`` and a range ``_b2i`` to ``_b2i+1`` of values around every wanted rank.
+
+    A sketch over the group gives the first ranges. As long as a group has more than ``FEW`` distinct values in one, another pass
+    sketches inside it. So no share of a group that grows with it is left for one task.
+    """
+    shares = [min(1.0, max(0.0, p + s * MARGIN)) for p in probs for s in (-1, 1)]
+    small = F.col("_n") <= SMALL_GROUP
+    sketch = long.groupBy(*keys).agg(
+        F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.percentile_approx("_v", shares, ACCURACY).alias("_a")
+    )
+    edge = lambda j: F.when(small | F.lit(shares[j] in (0.0, 1.0)), F.col("_lo" if j % 2 == 0 else "_hi")).otherwise(F.col("_a")[j])
+    brackets = checkpointed(sketch.select(*keys, "_n", *(edge(j).alias(f"_b{j}") for j in range(len(shares)))))
+    v = F.col("_v")
+    marks = [k / MARKS for k in range(MARKS + 1)]
+    while (brackets.agg(F.max("_n")).first()[0] or 0) * 2 * MARGIN > FEW:  # smaller groups are narrow enough after the sketch
+        sides = F.broadcast(brackets) if few_keys else brackets
+        aggs, out, open_ = [], {}, F.lit(False)
+        for i, p in enumerate(probs):
+            a, b = F.col(f"_b{2 * i}"), F.col(f"_b{2 * i + 1}")
+            inside = F.when(v.between(a, b), v)
+            aggs += [
+                F.count_if(v < a).alias(f"_u{i}"), F.count(inside).alias(f"_m{i}"), F.approx_count_distinct(inside).alias(f"_d{i}"),
+                F.percentile_approx(inside, marks, ACCURACY).alias(f"_a{i}"),
+            ]
+            at = ((F.col("_n") - 1) * F.lit(p) - F.col(f"_u{i}")) / F.greatest(F.col(f"_m{i}") - 1, F.lit(1)) * MARKS
+            low = F.element_at(f"_a{i}", F.greatest(F.floor(at).cast("int") - 1, F.lit(1)))
+            high = F.element_at(f"_a{i}", F.least(F.ceil(at).cast("int") + 3, F.lit(MARKS + 1)))
+            wide = (F.col(f"_d{i}") > FEW) & ((low > a) | (high < b))
+            out |= {f"_b{2 * i}": F.when(wide, low).otherwise(a), f"_b{2 * i + 1}": F.when(wide, high).otherwise(b)}
+            open_ = open_ | wide
+        seen = long.join(sides, keys).groupBy(*keys, "_n", *(f"_b{j}" for j in range(len(shares)))).agg(*aggs)
+        tried = checkpointed(seen.select(*keys, "_n", *(x.alias(n) for n, x in out.items()), open_.alias("_open")))
+        brackets = tried.drop("_open")
+        if tried.filter("_open").isEmpty():
+            break
+    return brackets
+
+
 def pooled(df: DataFrame, cols: Sequence[str], prob: float = 0.5) -> dict[str, float | None]:
-    """Exact quantile of each column over all rows, returned to the driver as one number each.
+    """Exact quantile of each column over all rows, returned to the driver as one number each."""
+    return pooled_many(df, {c: (c, prob) for c in cols})
+
+
+def pooled_many(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> dict[str, float | None]:
+    """Exact quantiles over all rows, ``name = quantile p of column``, returned to the driver as one number each.
 
-    A range that holds the wanted rank is narrowed for all columns at once: each pass counts what lies
-    below it and sketches what lies inside, until few distinct values are left, and only these are read.
+    A range that holds the wanted rank is narrowed for all of them at once: each pass counts what lies
+    below it and sketches what lies inside, until few distinct values are left, and only these are read. The first
+    sketch is one per column, whatever ranks are wanted of it.
     """
-    cols = list(cols)
-    cells = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols))
+    names: dict[str, list[str]] = {}
+    for n, (c, _) in wanted.items():
+        names.setdefault(c, []).append(n)
+    cells = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in names))
     long = df.select(F.explode(cells).alias("e")).select("e.c", "e.v").filter(F.col("v").isNotNull())
     marks = [i / MARKS for i in range(MARKS + 1)]
     sizes = {r["c"]: r for r in long.groupBy("c").agg(F.count("v").alias("n"), F.percentile_approx("v", marks, ACCURACY).alias("m")).collect()}
-    out: dict[str, float | None] = {c: None for c in cols}
-    rank = {c: prob * (r["n"] - 1) for c, r in sizes.items()}
-    spans = {c: _around(r["m"], rank[c] / max(1, r["n"] - 1)) for c, r in sizes.items()}
-    todo = set(sizes)
+    out: dict[str, float | None] = dict.fromkeys(wanted)
+    todo = {n for n, (c, _) in wanted.items() if c in sizes}
+    rank = {n: wanted[n][1] * (sizes[wanted[n][0]]["n"] - 1) for n in todo}
+    spans = {n: _around(sizes[wanted[n][0]]["m"], rank[n] / max(1, sizes[wanted[n][0]]["n"] - 1)) for n in todo}
     while todo:
-        c, v = F.col("c"), F.col("v")
-        lo = F.create_map(*(F.lit(x) for k in todo for x in (k, spans[k][0])))[c]
-        hi = F.create_map(*(F.lit(x) for k in todo for x in (k, spans[k][1])))[c]
+        near, v, lo, hi = _in_spans(long, names, spans, todo)
         inside = v.between(lo, hi)
-        found = long.filter(c.isin(list(todo))).groupBy("c").agg(
+        found = near.groupBy("k").agg(
             F.count_if(v < lo).alias("below"), F.count_if(inside).alias("n"), F.approx_count_distinct(F.when(inside, v)).alias("kinds"),
             F.max(F.when(v < lo, v)).alias("prev"), F.min(F.when(v > hi, v)).alias("next"),
             F.percentile_approx(F.when(inside, v), marks, ACCURACY).alias("m"),
         ).collect()
         ready = {}
         for r in found:
-            k, (a, b) = r["c"], spans[r["c"]]
+            k, (a, b) = r["k"], spans[r["k"]]
             first, last = floor(rank[k]), ceil(rank[k])
             if first < r["below"]:  # the sketch was off by a little: step out to the next value
                 spans[k] = (r["prev"], b)
@@ -142,13 +170,11 @@ def pooled(df: DataFrame, cols: Sequence[str], prob: float = 0.5) -> dict[str, f
                     ready[k] = r["below"]
                 spans[k] = narrow
         if ready:
-            lo = F.create_map(*(F.lit(x) for k in ready for x in (k, spans[k][0])))[c]
-            hi = F.create_map(*(F.lit(x) for k in ready for x in (k, spans[k][1])))[c]
-            near = long.filter(c.isin(list(ready))).filter(v.between(lo, hi))
+            near, v, lo, hi = _in_spans(long, names, spans, ready)
             upto = dict(ready)
             values: dict[str, list[float]] = {}
-            for r in near.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).orderBy("c", "v").collect():
-                k, begin = r["c"], upto[r["c"]]
+            for r in near.filter(v.between(lo, hi)).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).orderBy("k", "v").collect():
+                k, begin = r["k"], upto[r["k"]]
                 upto[k] = begin + r["n"]
                 values.setdefault(k, []).extend(r["v"] for x in (floor(rank[k]), ceil(rank[k])) if begin <= x < upto[k])
             for k, (low, high) in values.items():
@@ -157,11 +183,14 @@ def pooled(df: DataFrame, cols: Sequence[str], prob: float = 0.5) -> dict[str, f
     return out
 
 
-def pooled_by_bracket(df: DataFrame, cols: Sequence[str], prob: float) -> dict[str, float | None]:
-    """As :func:`pooled`, by the bracket of one sketch."""
-    wanted = {c: (c, prob) for c in cols}
-    rows = grouped(df.withColumn("_all", F.lit(1)), ["_all"], wanted, bounded=False, few_keys=True).collect()
-    return {c: (rows[0][c] if rows else None) for c in cols}
+def _in_spans(long: DataFrame, names: dict[str, list[str]], spans: dict[str, tuple[float, float]], todo) -> tuple[DataFrame, Column, Column, Column]:
+    """The cells of the columns still open, once for every open rank ``k`` of theirs, with its range."""
+    open_ = {c: [n for n in ns if n in todo] for c, ns in names.items()}
+    open_ = {c: ns for c, ns in open_.items() if ns}
+    ranks = F.create_map(*(x for c, ns in open_.items() for x in (F.lit(c), F.array(*map(F.lit, ns)))))
+    near = long.filter(F.col("c").isin(list(open_))).select(F.explode(ranks[F.col("c")]).alias("k"), "v")
+    low, high = (F.create_map(*(F.lit(x) for k in todo for x in (k, spans[k][i])))[F.col("k")] for i in (0, 1))
+    return near, F.col("v"), low, high
 
 
 def _around(marks: Sequence[float], share: float) -> tuple[float, float]:

@@ -121,7 +121,7 @@ def member_spread(df: DataFrame, spec: PanelSpec, members: Sequence[str], blend:
 
 def quintile_calibration(df: DataFrame, spec: PanelSpec, member: str, parts: int = 5) -> DataFrame:
     """Relative error of the totals by predicted-level bin; bins are cut at exact quantiles."""
-    marks = [quantiles.pooled(df, [member], i / parts)[member] for i in range(1, parts)]
+    marks = quantiles.pooled_many(df, {f"q{i}": (member, i / parts) for i in range(1, parts)}).values()
     p, y = F.col(member), F.col(spec.target)
     bin_ = sum(((p > F.lit(m)).cast("int") for m in marks), F.lit(1))
     return df.groupBy(bin_.cast("long").alias("quintile")).agg(

@@ -162,9 +162,9 @@ def seasonal_mean(t: Tables):
 
 @query(
     "B4f_lag_repeats", "panel_u",
-    """SELECT p.unique_id, p.hidx, a.y AS lag24, b.y AS lag168 FROM panel_u p
-    JOIN (SELECT unique_id, hidx, y FROM panel_u WHERE hidx >= 528 AND hidx < 552) a ON a.unique_id = p.unique_id AND a.hidx = 528 + (p.hidx - 552) % 24
-    JOIN (SELECT unique_id, hidx, y FROM panel_u WHERE hidx >= 384 AND hidx < 552) b ON b.unique_id = p.unique_id AND b.hidx = 384 + (p.hidx - 552) % 168 WHERE p.hidx >= 552 AND p.hidx < 720""",
+    """SELECT unique_id, 552 + k AS hidx, week[145 + k % 24] AS lag24, week[1 + k] AS lag168
+    FROM (SELECT unique_id, list(y ORDER BY hidx) AS week FROM panel_u WHERE hidx >= 384 AND hidx < 552 GROUP BY 1), (SELECT unnest(range(168)) AS k)
+    WHERE 552 + k <= (SELECT max(hidx) FROM panel_u)""",
     digits="lag24 lag168",
 )
 def lag_repeats(t: Tables):

@@ -107,7 +107,7 @@ def test_bracketed_quantiles_are_exact_on_a_hot_tied_group(spark):
     for k, g in pdf.groupby("k"):
         for name, (_, p) in wanted.items():
             assert out.loc[k, name] == pytest.approx(g.v.quantile(p), rel=1e-12), (k, name)
-    assert quantiles.pooled_by_bracket(df, ["v"], 0.5)["v"] == pytest.approx(pdf.v.median())
+    assert quantiles.grouped(df.withColumn("g", F.lit(1)), ["g"], {"q": ("v", 0.5)}, bounded=False).first().q == pytest.approx(pdf.v.median())
     assert quantiles.pooled(df, ["v"])["v"] == pytest.approx(pdf.v.median())
 
 
@@ -136,3 +136,46 @@ def test_pooled_quantiles_narrow_to_the_value(spark):
     finally:
         quantiles.FEW = kept
     assert quantiles.pooled(df.limit(0), ["a"]) == {"a": None}
+
+
+def test_memory_over_very_many_chunks(spark):
+    """A series of 100,000 chunks: no row holds them, and the state of any chunk reaches as far as it matters."""
+    n = 200_000
+    df = spark.range(n).select(F.lit("a").alias("unique_id"), F.col("id").alias("hidx"), (F.col("id") * 7919 % 101).cast("double").alias("x"))
+    out = ordered.ewma(df, PanelSpec(chunk_rows=2), {"h": (F.col("x"), 3.0), "slow": (F.col("x"), 5_000.0)})
+    plan = out._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+    want = pd.Series(np.arange(n) * 7919 % 101, dtype=float)
+    got = out.orderBy("hidx").toPandas()
+    np.testing.assert_allclose(got.h, want.ewm(halflife=3, adjust=False).mean(), rtol=1e-9)
+    np.testing.assert_allclose(got.slow, want.ewm(halflife=5_000, adjust=False).mean(), rtol=1e-9)
+
+
+def test_memory_of_several_series_and_of_the_system(spark):
+    df = spark.range(900).select(F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("unique_id"), F.floor(F.col("id") / 3).alias("hidx"), (F.col("id") * 31 % 17).cast("double").alias("x"))
+    out = ordered.ewma(df, PanelSpec(chunk_rows=7), {"h": (F.col("x"), 0.01), "g": (F.col("x"), 2.0)}).toPandas()
+    for _, part in out.sort_values("hidx").groupby("unique_id"):
+        for h, c in ((0.01, "h"), (2.0, "g")):
+            np.testing.assert_allclose(part[c], part.x.ewm(halflife=h, adjust=False).mean(), rtol=1e-9, atol=1e-12)
+    alone = df.filter("unique_id = 's0'").drop("unique_id")
+    out = ordered.ewma(alone, PanelSpec(chunk_rows=7), {"g": (F.col("x"), 2.0)}, keys=()).orderBy("hidx").toPandas()
+    np.testing.assert_allclose(out.g, out.x.ewm(halflife=2, adjust=False).mean(), rtol=1e-9)
+
+
+def test_grouped_quantiles_are_narrowed_until_few_values_are_left(spark, monkeypatch):
+    for name, value in (("FEW", 20), ("SMALL_GROUP", 30), ("MARGIN", 0.05), ("MARKS", 16)):
+        monkeypatch.setattr(quantiles, name, value)
+    df = spark.range(9_000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 3 == 2, F.col("id") % 5).otherwise(F.col("id") * 7919 % 9_001).cast("double").alias("v"))
+    wanted = {f"q{i}": ("v", p) for i, p in enumerate((0.0, 0.03, 0.5, 0.77, 1.0))}
+    pdf = df.toPandas()
+    for few_keys in (False, True):
+        for r in quantiles.grouped(df, ["g"], wanted, bounded=False, few_keys=few_keys).collect():
+            for n, (_, p) in wanted.items():
+                assert r[n] == pytest.approx(pdf.v[pdf.g == r.g].quantile(p)), (r.g, p)
+
+
+def test_pooled_ranks_in_one_run(spark):
+    df = spark.range(5_000).select((F.col("id") * 7919 % 5_003).cast("double").alias("v"), F.when(F.col("id") < 3, F.col("id")).cast("double").alias("w"), F.lit(None).cast("double").alias("none"))
+    got = quantiles.pooled_many(df, {"a": ("v", 0.2), "b": ("v", 0.8), "c": ("v", 0.5), "d": ("w", 0.5), "e": ("none", 0.5)})
+    pdf = df.toPandas()
+    assert [got[k] for k in "abc"] == [pytest.approx(pdf.v.quantile(p)) for p in (0.2, 0.8, 0.5)] and got["d"] == 1.0 and got["e"] is None
