@@ -62,11 +62,20 @@ def test_levels_cycles_and_lost_dependencies(spark):
     assert got[2, "b"]["level"] == 0 and got[2, "b"]["errors"] == ["unknown dependency a"]
 
 
+def test_a_long_chain_is_no_cycle(spark, monkeypatch):
+    monkeypatch.setattr(toolcalls, "APART", 3)
+    got = linked(spark, [(1, i, f"k{i:02d}", "f", '{"a":1}', [f"k{i - 1:02d}"] if i else []) for i in range(12)])
+    assert [got[1, f"k{i:02d}"]["level"] for i in range(12)] == list(range(12))
+
+
 def test_links_repeats_nulls_and_empty(spark):
     calls = [(1, 5, "a", "f", '{"a":2}', []), (1, 3, "a", "f", '{"a":1}', []), (1, 3, "a", "f", '{"a":1}', []), (None, 1, "a", "f", "{}", []), (1, 1, None, "f", "{}", [])]
     results = [(1, 9, "a", "late"), (1, 4, "a", "first"), (1, 2, "gone", None), (None, 1, "a", "x"), (1, 1, None, "x")]
     got = linked(spark, calls, results)
-    assert set(got) == {(1, "a"), (1, "gone")}
+    assert set(got) == {(1, "a"), (1, "gone"), (None, "a"), (1, None)}
+    loose = rows(toolcalls.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), spark.createDataFrame([], TOOLS)).filter("conv_id IS NULL OR call_id IS NULL"))
+    assert sorted((r["conv_id"] or 0, r["call_id"] or "", r["n_calls"], r["n_results"], r["status"]) for r in loose) == [(0, "a", 0, 1, "unlinked"), (0, "a", 1, 0, "unlinked"), (1, "", 0, 1, "unlinked"), (1, "", 1, 0, "unlinked")]
+    assert all("cyclic dependency" not in r["errors"] for r in loose)
     a, gone = got[1, "a"], got[1, "gone"]
     assert (a["turn"], a["n_calls"], a["result_turn"], a["n_results"], a["status"], a["valid"]) == (3, 3, 4, 2, "answered", True)
     assert json.loads(a["json"])["result"] == "first"
@@ -83,7 +92,13 @@ def test_one_conversation_with_a_third_of_all_calls(spark):
 def test_query_over_whole_table(spark):
     folder = "/root/testdata/sf0.01"
     turns = spark.read.parquet(f"{folder}/conversations.parquet").collect()
-    got = {(r["conv_id"], r["call_id"]): r for r in rows(QUERIES["op7_tool_calls"](spark, folder))}
+    every = rows(QUERIES["op7_tool_calls"](spark, folder))
+    got = {(r["conv_id"], r["call_id"]): r for r in every if r["status"] != "message"}
+    said = sorted((r["conv_id"], r["turn"], json.loads(r["json"])["content"]) for r in every if r["status"] == "message")
+    assert said == sorted((r.conv_id, r.turn, r.text) for r in turns if r.role != "assistant" and not (r.role == "user" and r.turn > 0))
+    whole = {(r.conv_id, f"call_{r.turn}"): r.text for r in turns if r.role == "assistant"}
+    held = lambda a: a.get("query", a.get("text", a.get("notes")))
+    assert all(held(json.loads(got[k]["json"])["arguments"]) == t for k, t in whole.items())
     calls = {(r.conv_id, f"call_{r.turn}") for r in turns if r.role == "assistant"}
     results = {(r.conv_id, f"call_{r.turn - 1}"): r.text for r in turns if r.role == "user" and r.turn > 0}
     assert set(got) == calls | set(results)
@@ -98,4 +113,4 @@ def test_query_over_whole_table(spark):
 
 def test_extra_columns(spark):
     odd = spark.createDataFrame([(1, 0, "assistant", "a b c"), (1, 1, "user", None), (None, None, None, None)], "conv_id long, turn long, role string, text string").withColumns({"n": F.lit("x"), "w": F.lit(1), "call_id": F.lit(2)})
-    assert [(r["call_id"], r["status"]) for r in rows(toolcalls.link_conversations(odd))] == [("call_0", "answered")]
+    assert sorted((r["call_id"] or "", r["status"]) for r in rows(toolcalls.link_conversations(odd))) == [("", "message"), ("call_0", "answered")]
