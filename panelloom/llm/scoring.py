@@ -7,13 +7,20 @@ that), each hashed with the node of the code into its own table of ones and zero
 training texts. The predictions are mixed in the logistic domain by weights that a gate chooses (how
 often the longer contexts have been seen), then refined by adaptive probability maps per depth of
 the code and averaged with the mixture. An escaped token is coded by its smoothed share among the
-tokens beyond the head. Weights and maps are learned online, batch by batch in one pass over a
-bounded, hash-chosen part of the training texts (``tune_docs``); counts cover all of them. With the
-model fixed, all probabilities given one past add up to one, and the sum of the logs is the score.
+tokens beyond the head. With the model fixed, all probabilities given one past add up to one, and the
+sum of the logs is the score.
+
+Weights and maps are learned online from every training text, whole, in ``ROUNDS`` rounds that a hash of
+the row deals the texts to, each twice as large as the one before. In a round the tasks predict every bit
+with what earlier rounds have learned, the bit's own counts taken out, and Spark adds up what the step
+needs: per gate the gradient and the curvature of the log loss (an online Newton step), per depth and
+knot the bits seen there. What a round sends is a table of ``GATES`` and ``DEPTHS`` x ``KNOTS`` sums whatever
+the input, and no text ever leaves the tasks. The model does not depend on partitions, but for the last
+digits of sums.
 
 Counts of tokens and of bits are aggregated by Spark. Sent to the driver, and from it to the tasks, are only tables
 whose size is a parameter: the head, the ``common`` most frequent counts, 2 ** ``slot_bits`` slots per context. Counts
-of all other tokens are joined by token.
+of all other tokens are joined by token. A long text's bits are worked on in slices when learning.
 
 Nulls: a null text is an empty one, its only token is the end. A null ``doc_id`` is hashed like an
 empty one and trained on or not by that. Repeated rows are scored each. Without any training text all
@@ -40,7 +47,11 @@ FOLDS = 7
 END = "\n"  # no word holds a line break
 GATES, DEPTHS, KNOTS = 25, 24, 33
 REACH = 8.0
+CONTEXTS = 4
+PAIRS = [(i, j) for i in range(CONTEXTS) for j in range(i, CONTEXTS)]
+ROUNDS = 4
 PIECE_BYTES = 300_000
+SLICE_BITS = 400_000
 
 
 @dataclass(frozen=True)
@@ -48,9 +59,8 @@ class Setting:
     head: int = 4_095
     common: int = 200_000
     slot_bits: int = 18
-    tune_docs: int = 2_000
-    tune_bytes: int = 20_000
-    rate: float = 0.02
+    ridge: float = 10.0
+    prior: float = 200.0
     seed: int = 11
 
 
@@ -138,20 +148,41 @@ def levels(seen: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(seen + 1) / 2, 4).astype(np.int8)
 
 
+def stretch(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    return np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
+
+
+def without_own(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """The predictions of every slot for a bit that was counted in it: at ``2 * slot + bit``, that bit taken out."""
+    return np.stack([stretch(ones, np.maximum(zeros - 1, 0)), stretch(np.maximum(ones - 1, 0), zeros)], axis=1).ravel()
+
+
 class Mixer:
     """Weights per gate and refining maps per depth over the predictions of the contexts."""
 
-    def __init__(self, ones: list[np.ndarray], zeros: list[np.ndarray]):
-        self.stretch = [np.log((a + 0.4) / (b + 0.4)).astype(np.float32) for a, b in zip(ones, zeros)]
-        self.level = [levels(ones[1] + zeros[1]) * np.int8(5), levels(ones[2] + zeros[2])]
+    def __init__(self, ones: list[np.ndarray], zeros: list[np.ndarray], ridge: float = 10.0, prior: float = 200.0):
+        self.stretch = [stretch(a, b) for a, b in zip(ones, zeros)]
+        self.without = [without_own(a, b) for a, b in zip(ones, zeros)]
+        seen = [ones[i] + zeros[i] for i in (1, 2)]
+        self.level = [levels(seen[0]) * np.int8(5), levels(seen[1])]
+        self.level_without = [levels(np.maximum(seen[0] - 1, 0)) * np.int8(5), levels(np.maximum(seen[1] - 1, 0))]
         self.weight = np.tile(np.array([[0.4], [0.3], [0.2], [0.1]], np.float32), (1, GATES))
-        self.map = np.tile(squash(np.linspace(-REACH, REACH, KNOTS)).astype(np.float32), DEPTHS)
+        self.start = np.tile(squash(np.linspace(-REACH, REACH, KNOTS)), DEPTHS)
+        self.map = self.start.astype(np.float32)
+        self.curve = np.tile(ridge * np.eye(CONTEXTS), (GATES, 1, 1))
+        self.prior = prior
+        self.hit, self.mass = np.zeros(len(self.map)), np.zeros(len(self.map))
 
     def inputs(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         return [s.take(i) for s, i in zip(self.stretch, slots)], self.level[0].take(slots[1]) + self.level[1].take(slots[2])
 
-    def predict(self, x: list[np.ndarray], gate: np.ndarray, depth: np.ndarray):
-        """Probability of a one; and what learning needs."""
+    def inputs_without(self, bit: np.ndarray, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """As :meth:`inputs`, for bits that are among the counts."""
+        gate = self.level_without[0].take(slots[1]) + self.level_without[1].take(slots[2])
+        return [s.take(2 * i + bit) for s, i in zip(self.without, slots)], gate
+
+    def mix(self, x: list[np.ndarray], gate: np.ndarray, depth: np.ndarray):
+        """The mixture's probability of a one, and where it lies in the maps: the lower knot and the part of the step beyond."""
         dot = self.weight[0].take(gate)
         dot *= x[0]
         for w, v in zip(self.weight[1:], x[1:]):
@@ -163,30 +194,56 @@ class Mixer:
         at = np.minimum(place.astype(np.int32), KNOTS - 2)
         part = place - at
         at += depth * KNOTS
+        return squash(dot), at, part
+
+    def predict(self, x: list[np.ndarray], gate: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """Probability of a one."""
+        p, at, part = self.mix(x, gate, depth)
         low = self.map.take(at)
         refined = self.map.take(at + 1)
         refined -= low
         refined *= part
         refined += low
-        p = squash(dot)
         refined += p
         refined *= np.float32(0.5)
-        return np.clip(refined, np.float32(1e-6), np.float32(1 - 1e-6), out=refined), p, at, part
-
-    def learn(self, bit, depth, own: list[tuple[np.ndarray, np.ndarray]], rate: float) -> None:
-        """One online step. The bits' own counts are taken out of the predictions first."""
-        x = [np.log((a - bit + 0.4) / (b - ~bit + 0.4)).astype(np.float32) for a, b in own]
-        seen = [levels(np.maximum(own[i][0] + own[i][1] - 1, 0)) for i in (1, 2)]
-        gate = seen[0] * np.int8(5) + seen[1]
-        _, p, at, part = self.predict(x, gate, depth)
-        wrong = bit - p
-        n = np.maximum(np.bincount(gate, minlength=GATES), 1)
-        for k, v in enumerate(x):
-            self.weight[k] += rate * 10 * np.bincount(gate, wrong * v, GATES) / n
-        for shift, share in ((0, 1 - part), (1, part)):
-            hit, mass = np.bincount(at + shift, bit * share, len(self.map)), np.bincount(at + shift, share, len(self.map))
-            goal = np.divide(hit, mass, out=self.map.astype(np.float64), where=mass > 0)
-            self.map += (mass / (mass + 200.0) * (goal - self.map)).astype(np.float32)
+        return np.clip(refined, np.float32(1e-6), np.float32(1 - 1e-6), out=refined)
+
+    def sums(self, bit: np.ndarray, depth: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
+        """What these bits add to a step: gradient and curvature of every gate, then ones and mass of every knot."""
+        x, gate = self.inputs_without(bit, slots)
+        p, at, part = self.mix(x, gate, depth)
+        order = np.argsort(gate, kind="stable")
+        ends = np.cumsum(np.bincount(gate, minlength=GATES))
+        v = np.stack([k.take(order) for k in x])
+        p = p.take(order)
+        wrong, sure = bit.take(order) - p, p * (1 - p)
+        slope, curve = np.zeros((GATES, CONTEXTS)), np.zeros((GATES, len(PAIRS)))
+        for g, (lo, hi) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
+            if lo < hi:
+                mine = v[:, lo:hi]
+                slope[g] = mine @ wrong[lo:hi]
+                bend = (mine * sure[lo:hi]) @ mine.T
+                curve[g] = [bend[i, j] for i, j in PAIRS]
+        n = len(self.map)
+        upper = at + 1
+        ones = np.flatnonzero(bit)
+        at1, up1, part1 = at.take(ones), upper.take(ones), part.take(ones)
+        hit = np.bincount(at1, 1 - part1, n) + np.bincount(up1, part1, n)
+        mass = np.bincount(at, 1 - part, n) + np.bincount(upper, part, n)
+        return np.concatenate([slope.ravel(), curve.ravel(), hit, mass])
+
+    def step(self, sums: np.ndarray) -> None:
+        """Learn from one round. Curvature adds up over the rounds; the maps' earlier rounds, under older weights, count half."""
+        slope, curve, hit, mass = np.split(sums, np.cumsum([GATES * CONTEXTS, GATES * len(PAIRS), len(self.map)]))
+        for k, (i, j) in enumerate(PAIRS):
+            bend = curve.reshape(GATES, -1)[:, k]
+            self.curve[:, i, j] += bend
+            if i != j:
+                self.curve[:, j, i] += bend
+        move = np.linalg.solve(self.curve, slope.reshape(GATES, CONTEXTS, 1))[:, :, 0]
+        self.weight = (self.weight + move.T).astype(np.float32)
+        self.hit, self.mass = self.hit / 2 + hit, self.mass / 2 + mass
+        self.map = ((self.prior * self.start + self.hit) / (self.prior + self.mass)).astype(np.float32)
 
 
 def fold() -> Column:
@@ -254,14 +311,43 @@ def bit_counts(texts: DataFrame, coder: Coder) -> list[tuple[np.ndarray, np.ndar
     return list(zip(*tables))
 
 
-def tuned(texts: list[str | None], coder: Coder, tables: list[tuple[np.ndarray, np.ndarray]], rate: float) -> Mixer:
-    mixer = Mixer([a for a, _ in tables], [b for _, b in tables])
-    for i in range(0, len(texts), 4):
-        _, _, bit, depth, slots = coder.bits(*coder.tokens(pa.array(texts[i : i + 4], pa.string())))
-        for j in range(0, len(bit), 2_000):
-            part = slice(j, j + 2_000)
-            own = [(a[s[part]], b[s[part]]) for (a, b), s in zip(tables, slots)]
-            mixer.learn(bit[part], depth[part], own, rate)
+def dealt_round(seed: int) -> Column:
+    """The learning round of a row, 0 to ``ROUNDS`` - 1; each has twice the texts of the one before."""
+    key = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit((1 << ROUNDS) - 1))
+    return sum(((key >= (1 << r) - 1).cast("int") for r in range(1, ROUNDS)), F.lit(0))
+
+
+def round_sums(texts: DataFrame, coder: Coder, mixer: Mixer) -> np.ndarray:
+    """What all bits of ``texts`` add to a step, summed by Spark."""
+    spark = texts.sparkSession
+    size = GATES * (CONTEXTS + len(PAIRS)) + 2 * DEPTHS * KNOTS
+    model = spark.sparkContext.broadcast((coder, mixer))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, mixer = model.value
+        total = np.zeros(size)
+        for batch in batches:
+            for piece in text_pieces(batch, most=PIECE_BYTES):
+                _, _, bit, depth, slots = coder.bits(*coder.tokens(piece.column("text")))
+                for lo in range(0, len(bit), SLICE_BITS):
+                    part = slice(lo, lo + SLICE_BITS)
+                    total += mixer.sums(bit[part], depth[part], [s[part] for s in slots])
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "v"])
+
+    got = texts.select("text").mapInArrow(each, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()  # at most ``size`` rows
+    model.destroy()
+    out = np.zeros(size)
+    out[got.column("cell").to_numpy()] = got.column("v").to_numpy()
+    return out
+
+
+def learned(training: DataFrame, coder: Coder, tables: list[tuple[np.ndarray, np.ndarray]], setting: Setting) -> Mixer:
+    """The mixer after a pass over all training texts, a round at a time."""
+    mixer = Mixer([a for a, _ in tables], [b for _, b in tables], setting.ridge, setting.prior)
+    dealt = training.withColumn("_round", dealt_round(setting.seed))
+    for r in range(ROUNDS):
+        mixer.step(round_sums(dealt.filter(F.col("_round") == r), coder, mixer))
     return mixer
 
 
@@ -270,16 +356,6 @@ PART = "row long, doc_id long, held_out boolean, token string, n long, n_tokens
 NAMES = [c.split()[0] for c in PART.split(", ")]
 
 
-def tuning_texts(training: DataFrame, setting: Setting) -> list[str]:
-    """About ``tune_docs`` training texts of up to ``tune_bytes``, chosen by a hash and in its order; at most twice as many."""
-    short = training.filter(F.octet_length("text") <= setting.tune_bytes)
-    n = short.count()
-    key = F.xxhash64("doc_id", "text", F.lit(setting.seed))
-    share = min(1.0, setting.tune_docs / max(1, n))
-    chosen = short.filter(F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else short
-    return [r["text"] for r in sorted(chosen.select("text", key.alias("k")).limit(2 * setting.tune_docs).collect(), key=lambda r: (r["k"], r["text"]))]
-
-
 def score_documents(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (both log10) and
     ``bits_per_byte``: one row per document."""
@@ -294,7 +370,7 @@ def score_documents(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     head_total = int(c[: setting.head].sum())
     coder = Coder(known, c, total - head_total, setting)
     tables = bit_counts(training, coder)
-    mixer = tuned(tuning_texts(training, setting), coder, tables, setting.rate)
+    mixer = learned(training, coder, tables, setting)
     log_known = np.log10(c + 1.0)
     model = spark.sparkContext.broadcast((coder, mixer, log_known))
 
@@ -307,7 +383,7 @@ def score_documents(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
                 text = np.repeat(np.arange(n), np.diff(at))
                 where, token, bit, depth, slots = coder.bits(flat, at)
                 x, gate = mixer.inputs(slots)
-                p = mixer.predict(x, gate, depth)[0]
+                p = mixer.predict(x, gate, depth)
                 log_bits = np.bincount(text.take(token), np.log10(np.where(bit, p, 1 - p)), n)
                 found = where >= 0
                 logs = np.where(found, log_known.take(where, mode="clip") if len(log_known) else 0.0, 0.0)
