@@ -6,16 +6,20 @@ aggregation over the cube, so a grid costs one pass; nothing is multiplied by th
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from itertools import combinations
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from itertools import combinations, permutations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions import metrics as M
 from panelloom.functions.exprs import clip, ratio
 from panelloom.operators.index import bag_columns
+from panelloom.session import checkpointed
 from panelloom.spec import PanelSpec
 
 # Fixed value: stretch of a blend around its own mean.
@@ -143,79 +147,223 @@ def gap_refit(df: DataFrame, spec: PanelSpec, a: str, b: str, points: int = 101)
 # ---------------------------------------------------------------- simplex by exact line searches
 
 
-def _steps_curve(df: DataFrame, r: Column, d: Column, bins: int = 1024, exact_below: int = 20_000) -> float:
-    """Exact minimiser of ``sum |r - g*d|`` over g in [0, 1]: the weighted median of r/d.
+@dataclass(frozen=True)
+class Line:
+    """Blends ``(w + g * d)`` of the members at places ``cols``, for g from 0 to 1."""
+
+    cols: tuple[int, ...]
+    w: np.ndarray
+    d: np.ndarray
+
+
+def _narrow(df: DataFrame, y: Column, members: Sequence[Column]) -> DataFrame:
+    return df.select(y.cast("double").alias("_y"), *(m.cast("double").alias(f"_m{i}") for i, m in enumerate(members)))
+
 
-    Equal ratios are one value with one weight. A histogram over the values is narrowed to the range of the bin
-    that holds the median until that bin has few values, and only these are read.
+def _matrices(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Labels and members (a column each), nulls as NaN, few enough rows at a time that ``cells`` values a row stay small."""
+    rows = max(1, 2_000_000 // max(1, cells))
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            cols = [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.slice(start, rows).columns]
+            yield cols[0], np.stack(cols[1:], axis=1)
+
+
+def _grid_errors(df: DataFrame, sets: Sequence[tuple[tuple[int, ...], np.ndarray]]) -> list[np.ndarray]:
+    """Absolute error sums of all weight vectors (rows of a matrix) of all member sets, in one pass over the rows.
+
+    ``df`` is a table of :func:`_narrow`. A row whose label or a member of the set is null counts for nothing in it.
     """
-    values = df.filter(d != 0).select((r / d).alias("t"), F.abs(d).alias("w")).groupBy("t").agg(F.sum("w").alias("w"))
-    lo, hi, below, half = 0.0, 1.0, 0.0, None
-    inside = F.lit(True)
-    while True:
-        at = F.floor((F.col("t") - F.lit(lo)) / F.lit((hi - lo) / bins))
-        slot = F.greatest(F.lit(-1), F.least(F.lit(bins), at)).cast("long")
-        tally = values.filter(inside).groupBy(slot.alias("b"))
-        found = sorted(tally.agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last")).collect())
-        if half is None:
-            half = 0.5 * sum(r["w"] for r in found)
-            if not half:
-                return 0.0
-        hit = None
-        for row in found:
-            if below + row["w"] >= half:
-                hit = row
-                break
-            below += row["w"]
-        if hit is None or (hit["b"] >= bins and hit["first"] >= 1.0):
-            return hi
-        if hit["b"] < 0 and hit["last"] < 0.0:
-            return 0.0
-        lo, hi = hit["first"], hit["last"]
-        inside = F.col("t").between(lo, hi)
-        if lo == hi:
-            return min(1.0, max(0.0, lo))
-        if hit["n"] <= exact_below:
-            break
-    for row in values.filter(inside).orderBy("t").collect():
-        below += row["w"]
-        if below >= half:
-            return min(1.0, max(0.0, row["t"]))
-    return min(1.0, max(0.0, hi))
+    ends = np.cumsum([0, *(len(w) for _, w in sets)])
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ends[-1])
+        for y, x in _matrices(batches, max(len(w) for _, w in sets)):
+            for lo, hi, (cols, w) in zip(ends, ends[1:], sets):
+                total[lo:hi] += np.nansum(np.abs(y[:, None] - x[:, cols] @ w.T), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "ae"])
 
-def fit_simplex(df: DataFrame, spec: PanelSpec, members: Sequence[str], sweeps: int = 50, points: int = 2_000) -> dict[str, float]:
-    """Convex weights with the lowest absolute error: the best point of a grid, then exact line searches.
+    got = df.mapInArrow(each, "k long, ae double").groupBy("k").agg(F.sum("ae").alias("ae")).toArrow()
+    out = np.zeros(ends[-1])
+    out[got.column("k").to_numpy()] = got.column("ae").to_numpy()
+    return [out[lo:hi] for lo, hi in zip(ends, ends[1:])]
 
-    A line search moves weight between two members. It never raises the error, so the result is no worse
-    than the grid, whose step is the finest with at most ``points`` points. Sweeps over all pairs end when
-    none moves. Every search is a few aggregations of ``df``; pass a checkpointed ``df``.
+
+def _ratios(y: np.ndarray, x: np.ndarray, line: Line) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's error is zero on the line, and how fast it grows from there; rows the line does not change are left out."""
+    part = x[:, line.cols]
+    d = part @ line.d
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (y - part @ line.w) / d
+    used = (d != 0) & ~np.isnan(t)
+    return t[used], np.abs(d[used])
+
+
+def line_minima(df: DataFrame, lines: Sequence[Line], bins: int = 1024, exact_below: int = 20_000) -> list[float]:
+    """The g in [0, 1] with the lowest absolute error on every line: weighted medians, all found in the same passes.
+
+    Each pass adds up a histogram per open line inside the tasks and narrows the line's range to the bin that holds its
+    median, until the bin is one value or has at most ``exact_below``, which are read. Passes do not grow with the lines,
+    and only histograms are shuffled. ``df`` is a table of :func:`_narrow`.
     """
-    members = list(members)
-    y = F.col(spec.target)
-    if len(members) == 1:
-        return {members[0]: 1.0}
-    if len(members) == 2:
-        a, b = members
-        g = _steps_curve(df, y - F.col(b), F.col(a) - F.col(b))
-        return {a: g, b: 1.0 - g}
-    parts = max((n for n in range(1, 21) if comb(n + len(members) - 1, n) <= points), default=1)
-    starts = simplex_grid(members, parts)
-    sums = totals(df, spec.target, {f"_g{i}": weighted_text(w) for i, w in enumerate(starts)})
-    w = dict(starts[min(range(len(starts)), key=lambda i: (sums[f"_g{i}"], i))])
-    for _ in range(sweeps):
-        moved = 0.0
-        for a, b in combinations(members, 2):
-            both = w[a] + w[b]
-            if not both:
+    found: dict[int, float] = {}
+    lo, hi, below, half = [0.0] * len(lines), [1.0] * len(lines), [0.0] * len(lines), [0.0] * len(lines)
+    few: set[int] = set()
+    first = True
+    while todo := [k for k in range(len(lines)) if k not in found and k not in few]:
+
+        def each(batches: Iterator[pa.RecordBatch], todo=tuple(todo), lo=tuple(lo), hi=tuple(hi), first=first) -> Iterator[pa.RecordBatch]:
+            n = bins + 2
+            w, rows = np.zeros((len(todo), n)), np.zeros((len(todo), n), np.int64)
+            low, high = np.full((len(todo), n), np.inf), np.full((len(todo), n), -np.inf)
+            for y, x in _matrices(batches, 16):
+                for i, k in enumerate(todo):
+                    t, d = _ratios(y, x, lines[k])
+                    if not first:
+                        inside = (t >= lo[k]) & (t <= hi[k])
+                        t, d = t[inside], d[inside]
+                    at = np.floor((t - lo[k]) / ((hi[k] - lo[k]) / bins))
+                    slot = (np.clip(at, -1, bins) if first else np.clip(at, 0, bins - 1)).astype(np.int64) + 1
+                    w[i] += np.bincount(slot, d, n)
+                    rows[i] += np.bincount(slot, minlength=n)
+                    np.minimum.at(low[i], slot, t)
+                    np.maximum.at(high[i], slot, t)
+            i, slot = np.nonzero(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(todo)[i]), pa.array(slot - 1), pa.array(w[i, slot]), pa.array(rows[i, slot]), pa.array(low[i, slot]), pa.array(high[i, slot])],
+                names=["k", "b", "w", "n", "first", "last"],
+            )
+
+        tally = df.mapInArrow(each, "k long, b long, w double, n long, first double, last double").groupBy("k", "b")
+        got = tally.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")).collect()
+        by_line: dict[int, list] = {k: [] for k in todo}
+        for row in got:
+            by_line[row["k"]].append(row)
+        for k, bars in by_line.items():
+            bars.sort(key=lambda r: r["b"])
+            if first:
+                half[k] = 0.5 * sum(r["w"] for r in bars)
+            if not half[k]:
+                found[k] = 0.0
                 continue
-            rest = weighted_sum({**w, a: 0.0, b: both})
-            g = _steps_curve(df, y - rest, F.lit(both) * (F.col(a) - F.col(b)))
-            moved = max(moved, abs(g * both - w[a]))
-            w[a], w[b] = g * both, (1.0 - g) * both
-        if moved <= 1e-9:
+            hit = bars[-1]
+            for row in bars:
+                if below[k] + row["w"] >= half[k]:
+                    hit = row
+                    break
+                below[k] += row["w"]
+            if hit["b"] < 0:
+                found[k] = 0.0
+            elif hit["b"] >= bins:
+                found[k] = 1.0
+            elif hit["last"] - hit["first"] < 1e-300:
+                found[k] = hit["first"]
+            else:
+                lo[k], hi[k] = hit["first"], hit["last"]
+                if hit["n"] <= exact_below:
+                    few.add(k)
+        first = False
+    if few:
+        left = sorted(few)
+
+        def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for y, x in _matrices(batches, 16):
+                for k in left:
+                    t, d = _ratios(y, x, lines[k])
+                    inside = (t >= lo[k]) & (t <= hi[k])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(inside.sum(), k)), pa.array(t[inside]), pa.array(d[inside])], names=["k", "t", "w"])
+
+        got = df.mapInArrow(values, "k long, t double, w double").toArrow()  # at most ``exact_below`` rows a line
+        line, t, w = (got.column(c).to_numpy() for c in ("k", "t", "w"))
+        for k in left:
+            order = np.argsort(t[line == k], kind="stable")
+            mine, sums = t[line == k][order], below[k] + np.cumsum(w[line == k][order])
+            found[k] = float(mine[min(np.searchsorted(sums, half[k]), len(mine) - 1)])
+    return [min(1.0, max(0.0, found[k])) for k in range(len(lines))]
+
+
+def _steps_curve(df: DataFrame, r: Column, d: Column, bins: int = 1024, exact_below: int = 20_000) -> float:
+    """Exact minimiser of ``sum |r - g*d|`` over g in [0, 1]: the weighted median of r/d."""
+    return line_minima(_narrow(df, r, [d]), [Line((0,), np.zeros(1), np.ones(1))], bins, exact_below)[0]
+
+
+def _directions(w: np.ndarray, probes: np.ndarray) -> Iterator[np.ndarray]:
+    """Moves from ``w`` that stay convex up to their full length: between two members, to and away from one, and along ``probes``."""
+    n = len(w)
+    for a, b in permutations(range(n), 2):
+        if w[b] > 0:
+            d = np.zeros(n)
+            d[a], d[b] = w[b], -w[b]
+            yield d
+    for k in range(n):
+        if w[k] < 1:
+            to = -w
+            to[k] += 1
+            yield to
+            if w[k] > 0:
+                yield -to * (w[k] / (1 - w[k]))
+    for d in probes:
+        shrinks = d < 0
+        if shrinks.any():
+            reach = float(np.min(w[shrinks] / -d[shrinks]))
+            if reach > 0:
+                yield d * reach
+
+
+def fit_simplexes(df: DataFrame, spec: PanelSpec, sets: Sequence[Sequence[str]], steps: int = 12, points: int = 2_000, probes: int = 6) -> list[dict[str, float]]:
+    """Convex weights with the lowest absolute error for every set of members, all sets in the same passes.
+
+    Two members are one exact line search. More start at the best point of a grid (the finest with at most ``points``
+    points). A step searches exactly along all pairs of members, to and away from each member and along ``probes``
+    seeded directions that are new in every step, so that a kink of the error does not hold it; every set then moves to
+    its best point. A move is made only if it lowers the error, so the result is never worse than the grid. A set is
+    done after two steps without a gain. Jobs grow with the steps, not with the sets, members or lines. A row with a null label
+    or a null in a member of the set counts for nothing in it. The columns that are needed are written once.
+    """
+    names = list(dict.fromkeys(m for c in sets for m in c))
+    cols = [tuple(names.index(m) for m in c) for c in sets]
+    rows = checkpointed(_narrow(df, F.col(spec.target), [F.col(m) for m in names]))
+    best: list[np.ndarray] = [np.ones(1)] * len(sets)
+    two = [k for k, c in enumerate(cols) if len(c) == 2]
+    for k, g in zip(two, line_minima(rows, [Line(cols[k], np.array([0.0, 1.0]), np.array([1.0, -1.0])) for k in two]) if two else ()):
+        best[k] = np.array([g, 1.0 - g])
+    todo = [k for k, c in enumerate(cols) if len(c) > 2]
+    error, idle = {}, dict.fromkeys(todo, 0)
+    if todo:
+        starts = []
+        for k in todo:
+            n = len(cols[k])
+            parts = max((i for i in range(1, 21) if comb(i + n - 1, i) <= points), default=1)
+            starts.append(np.array([list(w.values()) for w in simplex_grid(range(n), parts)]))
+        for k, w, e in zip(todo, starts, _grid_errors(rows, [(cols[k], w) for k, w in zip(todo, starts)])):
+            best[k], error[k] = w[e.argmin()], float(e.min())
+    rng = np.random.default_rng(1)
+    for _ in range(steps):
+        if not todo:
             break
-    return w
+        lines, owner = [], []
+        for k in todo:
+            made = rng.normal(size=(probes, len(cols[k])))
+            for d in _directions(best[k], made - made.mean(axis=1, keepdims=True)):
+                lines.append(Line(cols[k], best[k], d))
+                owner.append(k)
+        ends = [line.w + g * line.d for line, g in zip(lines, line_minima(rows, lines))]
+        tried = []
+        for k in todo:
+            w = np.maximum(np.array([e for e, o in zip(ends, owner) if o == k]), 0.0)
+            tried.append(w / w.sum(axis=1, keepdims=True))
+        for k, w, e in zip(todo, tried, _grid_errors(rows, [(cols[k], w) for k, w in zip(todo, tried)])):
+            gained = error[k] - float(e.min())
+            idle[k] = 0 if gained > 1e-9 * error[k] else idle[k] + 1
+            if gained > 0:
+                best[k], error[k] = w[e.argmin()], float(e.min())
+        todo = [k for k in todo if idle[k] < 2]
+    return [dict(zip(c, map(float, w))) for c, w in zip(sets, best)]
+
+
+def fit_simplex(df: DataFrame, spec: PanelSpec, members: Sequence[str], steps: int = 12, points: int = 2_000) -> dict[str, float]:
+    """As :func:`fit_simplexes`, for one set of members."""
+    return fit_simplexes(df, spec, [list(members)], steps, points)[0]
 
 
 def simplex_grid(members: Sequence[str], parts: int) -> list[dict[str, float]]:
@@ -257,9 +405,10 @@ def search_grid(df: DataFrame, spec: PanelSpec, members: Sequence[str], sizes: S
 
 
 def search_simplex(df: DataFrame, spec: PanelSpec, members: Sequence[str], sizes: Sequence[int]) -> DataFrame:
-    """As ``search_grid`` with exact weights from :func:`fit_simplex`, one fit per combination."""
+    """As ``search_grid`` with exact weights: one :func:`fit_simplexes` for all combinations."""
     early, late = df.filter(F.col("blk") < spec.late_from), df.filter(F.col("blk") >= spec.late_from)
-    fits = [(c, fit_simplex(early, spec, c)) for c in combinations_of(members, sizes)]
+    sets = combinations_of(members, sizes)
+    fits = list(zip(sets, fit_simplexes(early, spec, sets)))
     held = totals(late, spec.target, {f"_c{i}": weighted_text(w) for i, (_, w) in enumerate(fits)})
     out = [("+".join(c), len(c), [w[m] for m in c], held[f"_c{i}"] / held["ya"]) for i, (c, w) in enumerate(fits)]
     out.sort(key=lambda x: (sizes.index(x[1]), x[3], x[0]))

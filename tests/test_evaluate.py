@@ -226,3 +226,45 @@ def test_runner_refusals(cube):
     with pytest.raises(ValueError):
         runners.register(member)
     assert math.isclose(sum(m.kind == "baseline" for m in runners.REGISTRY.values()), 3)
+
+
+def test_simplex_leaves_a_kink_and_fits_all_sets_at_once(spark):
+    rng = np.random.default_rng(3)
+    p = rng.normal(10, 4, (400, 4))
+    y = p @ np.array([0.37, 0.11, 0.52, 0.0])
+    y[::9] += 30.0
+    names = ["a", "b", "c", "d"]
+    rows = [(float(t), *map(float, r)) for t, r in zip(y, p)] + [(None, 1.0, 1.0, 1.0, 1.0), (1e6, None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "y double, a double, b double, c double, d double").repartition(3)
+    sets = [("a", "b", "c", "d"), ("a", "b"), ("a", "b", "c"), ("d",), ("c", "a")]
+    fits = blend.fit_simplexes(df, SPEC, sets)
+    assert [tuple(f) for f in fits] == sets and all(sum(f.values()) == pytest.approx(1) and min(f.values()) >= 0 for f in fits)
+    # The label is a blend with outliers, so the optimum is known.
+    assert [fits[2][m] for m in "abc"] == pytest.approx([0.37, 0.11, 0.52], abs=0.01)
+
+    def error(w):
+        x = np.array([w.get(m, 0.0) for m in names])
+        return np.abs(y - p @ x).sum()
+
+    assert error(fits[0]) <= error({"a": 0.37, "b": 0.11, "c": 0.52}) * 1.01
+    for k, members in enumerate(sets):
+        assert error(fits[k]) <= min(error(w) for w in blend.simplex_grid(members, 20)) + 1e-9
+        frank_wolfe = np.full(len(members), 1 / len(members))
+        x = p[:, [names.index(m) for m in members]]
+        for i in range(200):
+            vertex = np.eye(len(members))[np.argmin(-np.sign(y - x @ frank_wolfe) @ x)]
+            frank_wolfe = min((frank_wolfe + g * (vertex - frank_wolfe) for g in np.linspace(0, 1, 201)), key=lambda w: np.abs(y - x @ w).sum())
+        assert error(fits[k]) <= np.abs(y - x @ frank_wolfe).sum() + 1e-6
+
+
+def test_simplex_jobs_do_not_grow_with_the_sets(spark, cube):
+    _, df = cube
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(group, sets):
+        spark.sparkContext.setJobGroup(group, group)
+        blend.fit_simplexes(df, SPEC, sets, steps=1)
+        spark.sparkContext.setJobGroup("", "")
+        return len(tracker.getJobIdsForGroup(group))
+
+    assert jobs("many", [tuple(MEMBERS), tuple(reversed(MEMBERS)), tuple(MEMBERS)]) == jobs("one", [tuple(MEMBERS)])
