@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,8 +217,9 @@ def block_errors(df: DataFrame, spec: PanelSpec, arms: dict[str, str]) -> DataFr
     )
 
 
-# Blocks up to this count are sent to every task; beyond it the draws are joined by key.
-BROADCAST_BLOCKS = 200_000
+# Blocks sent to the tasks at a time, 24 bytes each.
+SLAB = 1 << 21
+ARMS = ("ae_c", "ae_b", "ya")
 
 
 def draw(seed: int, rep: Column, slot: Column, n: int) -> Column:
@@ -228,25 +233,67 @@ def bootstrap_draws(df: DataFrame, spec: PanelSpec, candidate: str, baseline: st
 
     Whole (cutoff, series) blocks are drawn with replacement, the same draw for both arms. Blocks
     are aggregated before drawing. Draws are numbered by range, so no task holds a hot share of
-    them, and are summed per replicate before anything is shuffled.
+    them, and are summed per replicate inside the tasks, whatever the count of blocks.
     """
     blocks = block_errors(df, spec, {candidate: candidate, baseline: baseline})
     return _replicates(blocks, spec, candidate, baseline, n_boot, seed)
 
 
-def _replicates(blocks: DataFrame, spec: PanelSpec, candidate: str, baseline: str, n_boot: int, seed: int) -> DataFrame:
-    blocks = checkpointed(ordered.global_index(blocks, ["cutoff", spec.id], "pos"))
-    n = blocks.count()
+def _replicates(blocks: DataFrame, spec: PanelSpec, candidate: str, baseline: str, n_boot: int, seed: int, slab: int = SLAB) -> DataFrame:
+    """The drawn sums, slab by slab of the numbered blocks: each task looks up its draws in the slab's packed sums and adds
+    them up per replicate, so that drawn rows are never shuffled and no more than a slab is sent."""
     spark = blocks.sparkSession
+    table = ordered.global_index(blocks, ["cutoff", spec.id], "pos")
+    table = checkpointed(table.select("pos", *(F.col(c).cast("double").alias(a) for c, a in zip((candidate, baseline, "ya"), ARMS))))
+    n = table.count()
     slots = spark.range(0, n_boot * n, 1, max(spark.sparkContext.defaultParallelism, n_boot * n // 2_000_000))
-    slots = slots.select(F.expr(f"id div {n}").alias("rep"), F.pmod(F.col("id"), F.lit(n)).alias("slot"))
+    slots = slots.select(F.expr(f"id div {n}").alias("rep") if n else F.lit(0).cast("long").alias("rep"), F.pmod(F.col("id"), F.lit(n)).alias("slot"))
     drawn = slots.select("rep", draw(seed, F.col("rep"), F.col("slot"), n).alias("pos"))
-    table = blocks.select("pos", F.col(candidate).alias("ae_c"), F.col(baseline).alias("ae_b"), "ya")
-    if n <= BROADCAST_BLOCKS:
-        table = F.broadcast(table)
-    return drawn.join(table, "pos").groupBy("rep").agg(
-        (ratio(F.sum("ae_b"), F.sum("ya")) - ratio(F.sum("ae_c"), F.sum("ya"))).alias("delta")
-    )
+    parts = None
+    for lo in range(0, max(n, 1), slab):
+        part, packed = _slab_sums(table, drawn, lo, min(slab, n - lo), n_boot)
+        if lo + slab < n:  # the last one is read with the result
+            part = checkpointed(part)  # a row per replicate
+            packed.destroy()
+        parts = part if parts is None else parts.unionByName(part)
+    sums = parts.groupBy("rep").agg(*(F.sum(a).alias(a) for a in ARMS))
+    return sums.select("rep", (ratio(F.col("ae_b"), F.col("ya")) - ratio(F.col("ae_c"), F.col("ya"))).alias("delta"))
+
+
+def _slab_sums(table: DataFrame, drawn: DataFrame, lo: int, size: int, n_boot: int) -> tuple[DataFrame, Broadcast]:
+    """Sums of the draws that fall on ``size`` blocks from ``lo`` on, per replicate, null where no drawn block has a value; and
+    the broadcast they are looked up in."""
+    spark = table.sparkSession
+    mine = F.col("pos").between(lo, lo + size - 1)
+    got = table.filter(mine).toArrow()
+    at = got.column("pos").to_numpy() - lo
+    values, known = np.zeros((len(ARMS), size)), np.zeros((len(ARMS), size), bool)
+    for i, arm in enumerate(ARMS):
+        known[i, at] = got.column(arm).is_valid().to_numpy()
+        values[i, at] = pc.fill_null(got.column(arm), 0.0).to_numpy()
+    packed = spark.sparkContext.broadcast((values, known))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, known = packed.value
+        whole = known.all(axis=1)
+        sums, seen, hit = np.zeros((len(ARMS), n_boot)), np.zeros((len(ARMS), n_boot), np.int64), np.zeros(n_boot, np.int64)
+        for batch in batches:
+            rep, at = batch.column("rep").to_numpy(), batch.column("pos").to_numpy() - lo
+            if len(rep):
+                low = rep.min()
+                n = rep.max() - low + 1
+                reach = slice(low, low + n)
+                times = np.bincount(rep - low, minlength=n)
+                hit[reach] += times
+                for i in range(len(ARMS)):
+                    sums[i, reach] += np.bincount(rep - low, values[i].take(at), n)
+                    seen[i, reach] += times if whole[i] else np.bincount(rep - low, known[i].take(at), n).astype(np.int64)
+        reps = np.flatnonzero(hit)
+        yield pa.RecordBatch.from_arrays([pa.array(reps), *(pa.array(s[reps], mask=k[reps] == 0) for s, k in zip(sums, seen))], names=["rep", *ARMS])
+
+    arms = ", ".join(f"{a} double" for a in ARMS)
+    part = drawn.filter(mine).mapInArrow(each, f"rep long, {arms}").groupBy("rep").agg(*(F.sum(a).alias(a) for a in ARMS))
+    return part, packed
 
 
 def paired_bootstrap(df: DataFrame, spec: PanelSpec, candidate: str, baseline: str, *, n_boot: int = N_BOOTSTRAP, seed: int = 0) -> DataFrame:

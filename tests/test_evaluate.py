@@ -1,5 +1,6 @@
 """Scoring, bootstrap, admission, blending and provenance."""
 
+import hashlib
 import itertools
 import math
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelloom.functions import metrics as M
+from panelloom.functions import ordered
 from panelloom.operators import aggregates, blend, diagnose, evaluate, provenance, runners
 from panelloom.operators.assembly import join_members
 from panelloom.operators.members import from_residual_target, to_residual_target
@@ -268,3 +270,20 @@ def test_simplex_jobs_do_not_grow_with_the_sets(spark, cube):
         return len(tracker.getJobIdsForGroup(group))
 
     assert jobs("many", [tuple(MEMBERS), tuple(reversed(MEMBERS)), tuple(MEMBERS)]) == jobs("one", [tuple(MEMBERS)])
+
+
+def test_bootstrap_is_the_same_in_one_slab_and_many(spark):
+    n = 37
+    values = [(c, f"u{u:02d}", 1.0 + u, 2.0 + (u * 7 + c) % 5, None if u == 3 else 10.0 + u) for c in (0, 50) for u in range(n)]
+    blocks = spark.createDataFrame(values, "cutoff long, unique_id string, a double, b double, ya double")
+    whole, cut = (
+        {r.rep: r.delta for r in evaluate._replicates(blocks, SPEC, "a", "b", 25, 4, slab).collect()} for slab in (evaluate.SLAB, 9)
+    )
+    at = {(r.cutoff, r.unique_id): r.pos for r in ordered.global_index(blocks, ["cutoff", "unique_id"]).collect()}
+    by_pos = {at[v[0], v[1]]: v[2:] for v in values}
+    for rep in range(25):
+        drawn = [by_pos[int(hashlib.md5(f"4:{rep}:{i}".encode()).hexdigest()[:8], 16) % len(values)] for i in range(len(values))]
+        ya = sum(v[2] or 0.0 for v in drawn)
+        want = sum(v[1] for v in drawn) / ya - sum(v[0] for v in drawn) / ya
+        assert whole[rep] == pytest.approx(want) and cut[rep] == pytest.approx(want)
+    assert evaluate._replicates(blocks.limit(0), SPEC, "a", "b", 25, 4).count() == 0
