@@ -39,6 +39,15 @@ def cents(col: str):
     return F.sum(F.round(F.col(col) * 100).cast("long")).cast("double")
 
 
+def unrolled_join(cells: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """``cells``, keys unrolled over a calendar, beside what was seen of them.
+
+    Spark takes an unrolled table for as large as the keys it came from. Where a filter on what was seen makes
+    this an inner join, it would send all cells to the driver and broadcast them; so both sides are merged.
+    """
+    return cells.hint("merge").join(seen, keys, "left")
+
+
 class Tables:
     """Lazy access to the driver tables and the panels over them, for one folder."""
 
@@ -78,7 +87,7 @@ class Tables:
             "s_suppkey", F.greatest("s_acctbal", F.lit(1.0)).alias("capacity"), F.col("zone").cast("long").alias("zone")
         )
         cells = spread(supplier, "s_suppkey").withColumn("hidx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-        rows = cells.join(shipped.withColumnRenamed("l_suppkey", "s_suppkey"), ["s_suppkey", "hidx"], "left")
+        rows = unrolled_join(cells, shipped.withColumnRenamed("l_suppkey", "s_suppkey"), ["s_suppkey", "hidx"])
         return rows.select(
             F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("unique_id"),
             F.date_add(F.lit(lo), (F.col("hidx") * 7).cast("int")).cast("timestamp").alias("ds"),
@@ -114,7 +123,7 @@ class Tables:
         seen = events.groupBy(key, at.alias("hidx")).agg(*(x.alias(c) for c, x in aggs.items()))
         cells = spread(facts, key).withColumn("hidx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
         stamp = F.timestamp_seconds(F.lit(lo) + F.col("hidx") * 3600)
-        return cells.join(seen, [key, "hidx"], "left").withColumn("ds", stamp)
+        return unrolled_join(cells, seen, [key, "hidx"]).withColumn("ds", stamp)
 
     @cached_property
     def panel_e(self) -> DataFrame:

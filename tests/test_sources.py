@@ -200,3 +200,36 @@ def test_index_keeps_the_order_of_its_files(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
     assert [r.i for r in got] == list(range(1_000)) and [r._order for r in got] == list(range(1_000))
+
+
+def under_broadcast(df):
+    """The lines of the plan that ran below a broadcast exchange."""
+    df.collect()
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-|*()0123456789")) for x in lines]
+    out = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            out += lines[i + 1 : below]
+    return out
+
+
+def test_unrolled_calendar_is_never_broadcast(spark, tmp_path):
+    """A filter on what was seen makes the panel's join an inner one, whose unrolled side looks as small as its keys."""
+    from panelloom.plans.tables import Tables
+
+    folder = str(tmp_path)
+    spark.range(3).selectExpr("cast(id as int) n_nationkey", "cast(id as int) n_regionkey").write.parquet(f"{folder}/nation.parquet")
+    spark.range(40).selectExpr("id s_suppkey", "cast(id % 3 as int) s_nationkey", "1.0d * id s_acctbal").write.parquet(f"{folder}/supplier.parquet")
+    spark.range(20_000).selectExpr(
+        "id % 40 l_suppkey", "timestamp'1995-01-02' + make_interval(0, 0, id % 30) l_shipdate", "1.0d l_quantity", "0.05d l_discount", "0.01d l_tax", "9.0d l_extendedprice",
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(20_000).selectExpr(
+        "id event_id", "id % 50 user_id", "timestamp'1995-01-02' + make_interval(0, 0, 0, 0, id % 90) ts", "'a' event_type", "1.0d value",
+    ).write.parquet(f"{folder}/events.parquet")
+    t = Tables(spark, folder)
+    for panel, rows in ((t.panel_s, 40 * 30), (t.panel_u, 50 * 90)):
+        assert panel.count() == rows
+        plan = under_broadcast(panel.filter("x1 IS NOT NULL"))
+        assert not [x for x in plan if "Generate" in x]
