@@ -43,6 +43,8 @@ REMEMBERED = 600_000
 LONG_CHUNK = 1_000
 #: Bytes of text whose documents share one slice of the corpus counts.
 BLOCK_BYTES = 32 << 20
+#: Bytes of text that are aligned together: a worker's arrays take about a hundred times as much.
+PIECE_BYTES = 1_000_000
 #: A group with more pairs than this has its ids collapsed before they are paired.
 PLAIN_PAIRS = 256
 SPACE = 0x20
@@ -324,6 +326,12 @@ def aligned_batch(both: TwoTokenizers, texts: pa.Array) -> dict[str, list | np.n
     return out
 
 
+def aligned_pieces(both: TwoTokenizers, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict[str, list | np.ndarray]]]:
+    """Slices of a batch beside their aligned columns, so that memory follows neither the batch nor the number of its rows."""
+    for part in text_pieces(batch, most=PIECE_BYTES):
+        yield part, aligned_batch(both, part.column("text"))
+
+
 def align(docs: DataFrame, key: str = "doc_id", text: str = "text", first: str = FIRST, second: str = SECOND, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: ``key``, the ``DIGEST`` columns, its ``block`` and its distinct linked id pairs with
     the number of links of each (``pairs``, ``times``: packed 64-bit integers, pairs as differences)."""
@@ -336,8 +344,7 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", first: str =
         both, done = _read_tokenizers(first, second), 0
         task = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in text_pieces(batch):
-                out = aligned_batch(both, part.column("text"))
+            for part, out in aligned_pieces(both, batch):
                 block = np.full(part.num_rows, task + done // block_bytes)
                 done += int(pc.sum(pc.binary_length(part.column("text"))).as_py() or 0)
                 columns = {"key": part.column("key"), "block": block} | out

@@ -142,3 +142,25 @@ def test_query_equals_brute_force(spark, tokenizers):
     folder = "/root/testdata/sf0.001"
     pairs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert got(QUERIES["op12_tokenizer_alignment"](spark, folder)) == plain(tokenizers, pairs)
+
+
+def test_a_batch_of_many_texts_is_aligned_in_small_pieces():
+    """Two workers of an executor begin with full batches at once: their arrays must not follow the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    both = alignment._read_tokenizers(alignment.FIRST, alignment.SECOND)
+    text = " ".join(f"word{i % 50} of a line" for i in range(500))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 480)], names=["text"])  # about 4 MB
+    whole = alignment.aligned_batch(both, batch.column("text"))
+    tracemalloc.start()
+    got = [out["groups_sha256"] for _, out in alignment.aligned_pieces(both, batch)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(got, []) == whole["groups_sha256"]
+    tracemalloc.start()
+    alignment.aligned_batch(both, batch.column("text"))
+    all_at_once = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < all_at_once / 2
