@@ -39,12 +39,18 @@ def cents(col: str):
     return F.sum(F.round(F.col(col) * 100).cast("long")).cast("double")
 
 
-def unrolled_join(cells: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
-    """``cells``, keys unrolled over a calendar, beside what was seen of them.
+def unrolled(keys: DataFrame, key: str, n: int) -> DataFrame:
+    """Every row of ``keys`` at each of the ``n`` positions of a calendar, ``hidx``.
 
-    Spark takes an unrolled table for as large as the keys it came from. Where a filter on what was seen makes
-    this an inner join, it would send all cells to the driver and broadcast them; so both sides are merged.
+    A product with the positions, not an array taken apart: Spark counts a product for the sizes of both sides, but an
+    exploded table for as small as its keys, and would send all cells to the driver to broadcast them in a later join.
     """
+    positions = keys.sparkSession.range(0, n, 1, 1).withColumnRenamed("id", "hidx")
+    return spread(keys, key).crossJoin(F.broadcast(positions))  # a row a position
+
+
+def unrolled_join(cells: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """``cells``, keys unrolled over a calendar, beside what was seen of them, merged whatever their sizes look like."""
     return cells.hint("merge").join(seen, keys, "left")
 
 
@@ -86,7 +92,7 @@ class Tables:
         supplier = self.read("supplier").join(zones, "s_nationkey").select(
             "s_suppkey", F.greatest("s_acctbal", F.lit(1.0)).alias("capacity"), F.col("zone").cast("long").alias("zone")
         )
-        cells = spread(supplier, "s_suppkey").withColumn("hidx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+        cells = unrolled(supplier, "s_suppkey", n)
         rows = unrolled_join(cells, shipped.withColumnRenamed("l_suppkey", "s_suppkey"), ["s_suppkey", "hidx"])
         return rows.select(
             F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("unique_id"),
@@ -121,7 +127,7 @@ class Tables:
         at = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(lo)) / 3600)
         events = self.read("events")
         seen = events.groupBy(key, at.alias("hidx")).agg(*(x.alias(c) for c, x in aggs.items()))
-        cells = spread(facts, key).withColumn("hidx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+        cells = unrolled(facts, key, n)
         stamp = F.timestamp_seconds(F.lit(lo) + F.col("hidx") * 3600)
         return unrolled_join(cells, seen, [key, "hidx"]).withColumn("ds", stamp)
 

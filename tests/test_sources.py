@@ -233,3 +233,29 @@ def test_unrolled_calendar_is_never_broadcast(spark, tmp_path):
         assert panel.count() == rows
         plan = under_broadcast(panel.filter("x1 IS NOT NULL"))
         assert not [x for x in plan if "Generate" in x]
+
+
+def test_calendar_alone_counts_for_its_cells(spark, tmp_path):
+    """Where nothing of what was seen is read, its join is dropped with its hint, and the cells are joined as they are."""
+    from panelloom.plans.tables import Tables
+
+    folder = str(tmp_path)
+    spark.range(3).selectExpr("cast(id as int) n_nationkey", "cast(id as int) n_regionkey").write.parquet(f"{folder}/nation.parquet")
+    spark.range(40).selectExpr("id s_suppkey", "cast(id % 3 as int) s_nationkey", "1.0d * id s_acctbal").write.parquet(f"{folder}/supplier.parquet")
+    spark.range(2_000).selectExpr(
+        "id % 40 l_suppkey", "timestamp'1995-01-02' + make_interval(0, 0, id % 300) l_shipdate", "1.0d l_quantity", "0.05d l_discount", "0.01d l_tax", "9.0d l_extendedprice",
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(2_000).selectExpr(
+        "id event_id", "id % 50 user_id", "timestamp'1995-01-02' + make_interval(0, 0, 0, 0, id % 300) ts", "'a' event_type", "1.0d value",
+    ).write.parquet(f"{folder}/events.parquet")
+    t = Tables(spark, folder)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40000")  # above the keys, below their cells
+    try:
+        for panel, keys in ((t.panel_s, 40), (t.panel_u, 50)):
+            cells = panel.select("unique_id", "hidx")
+            joined = cells.join(panel.select("unique_id", "hidx", "ds"), ["unique_id", "hidx"])
+            assert not [x for x in under_broadcast(joined) if "Generate" in x or "NestedLoop" in x]
+            assert joined.count() == keys * 300 and joined.distinct().count() == keys * 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
