@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.session import checkpointed
 from panelloom.spec import PanelSpec
 
 
@@ -27,6 +28,7 @@ def join_members(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFr
         *(F.max(F.when(F.col("_m") == m, F.col("_p"))).alias(m) for m in names),
         *(F.sum((F.col("_m") == m).cast("int")).alias(f"_n_{m}") for m in names),
     )
+    wide = checkpointed(wide)  # read by the check and by the result
     uneven = F.lit(False)
     for m in names:
         uneven = uneven | (F.col(f"_n_{m}") != 1)
@@ -39,7 +41,7 @@ def join_members(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFr
 def with_labels(preds: DataFrame, df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Labels by key; a forecast row without a label raises."""
     labels = df.select(spec.id, spec.time, spec.target)
-    out = preds.join(labels, [spec.id, spec.time], "left")
+    out = checkpointed(preds.join(labels, [spec.id, spec.time], "left"))  # read by the check and by the result
     gaps = out.filter(F.col(spec.target).isNull()).count()
     if gaps:
         raise ValueError(f"{gaps} forecast rows have no label")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import metrics as M
-from panelloom.functions import ordered
+from panelloom.functions import digests, ordered
 from panelloom.functions.exprs import ratio
 from panelloom.operators.aggregates import residual_corr
 from panelloom.operators.index import select_regime
@@ -217,13 +217,13 @@ def block_errors(df: DataFrame, spec: PanelSpec, arms: dict[str, str]) -> DataFr
     )
 
 
-# Blocks sent to the tasks at a time, 24 bytes each.
-SLAB = 1 << 21
+# Blocks sent to the tasks at a time, 24 bytes each, and draws made at a time inside a task.
+SLAB, AT_ONCE = 1 << 21, 1 << 16
 ARMS = ("ae_c", "ae_b", "ya")
 
 
 def draw(seed: int, rep: Column, slot: Column, n: int) -> Column:
-    """Block number drawn for a slot of a replicate: 32 bits of a digest, modulo the block count."""
+    """Block number drawn for a slot of a replicate: 32 bits of a digest, modulo the block count. Tasks draw the same by ``digests.drawn``."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), slot.cast("string")))
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(n))
 
@@ -240,18 +240,17 @@ def bootstrap_draws(df: DataFrame, spec: PanelSpec, candidate: str, baseline: st
 
 
 def _replicates(blocks: DataFrame, spec: PanelSpec, candidate: str, baseline: str, n_boot: int, seed: int, slab: int = SLAB) -> DataFrame:
-    """The drawn sums, slab by slab of the numbered blocks: each task looks up its draws in the slab's packed sums and adds
-    them up per replicate, so that drawn rows are never shuffled and no more than a slab is sent."""
+    """The drawn sums, slab by slab of the numbered blocks: each task makes its draws, looks them up in the slab's packed sums
+    and adds them up per replicate, so that drawn rows are neither shuffled nor handed over and no more than a slab is sent."""
     spark = blocks.sparkSession
     table = ordered.global_index(blocks, ["cutoff", spec.id], "pos")
     table = checkpointed(table.select("pos", *(F.col(c).cast("double").alias(a) for c, a in zip((candidate, baseline, "ya"), ARMS))))
     n = table.count()
-    slots = spark.range(0, n_boot * n, 1, max(spark.sparkContext.defaultParallelism, n_boot * n // 2_000_000))
-    slots = slots.select(F.expr(f"id div {n}").alias("rep") if n else F.lit(0).cast("long").alias("rep"), F.pmod(F.col("id"), F.lit(n)).alias("slot"))
-    drawn = slots.select("rep", draw(seed, F.col("rep"), F.col("slot"), n).alias("pos"))
+    runs = -(-n_boot * n // AT_ONCE)
+    slots = spark.range(0, runs, 1, max(1, min(runs, max(spark.sparkContext.defaultParallelism, n_boot * n // 2_000_000))))
     parts = None
     for lo in range(0, max(n, 1), slab):
-        part, packed = _slab_sums(table, drawn, lo, min(slab, n - lo), n_boot)
+        part, packed = _slab_sums(table, slots, lo, min(slab, n - lo), n, n_boot, seed)
         if lo + slab < n:  # the last one is read with the result
             part = checkpointed(part)  # a row per replicate
             packed.destroy()
@@ -260,12 +259,11 @@ def _replicates(blocks: DataFrame, spec: PanelSpec, candidate: str, baseline: st
     return sums.select("rep", (ratio(F.col("ae_b"), F.col("ya")) - ratio(F.col("ae_c"), F.col("ya"))).alias("delta"))
 
 
-def _slab_sums(table: DataFrame, drawn: DataFrame, lo: int, size: int, n_boot: int) -> tuple[DataFrame, Broadcast]:
+def _slab_sums(table: DataFrame, slots: DataFrame, lo: int, size: int, n: int, n_boot: int, seed: int) -> tuple[DataFrame, Broadcast]:
     """Sums of the draws that fall on ``size`` blocks from ``lo`` on, per replicate, null where no drawn block has a value; and
-    the broadcast they are looked up in."""
+    the broadcast they are looked up in. Draws are numbered through all replicates, ``AT_ONCE`` to a row of ``slots``."""
     spark = table.sparkSession
-    mine = F.col("pos").between(lo, lo + size - 1)
-    got = table.filter(mine).toArrow()
+    got = table.filter(F.col("pos").between(lo, lo + size - 1)).toArrow()
     at = got.column("pos").to_numpy() - lo
     values, known = np.zeros((len(ARMS), size)), np.zeros((len(ARMS), size), bool)
     for i, arm in enumerate(ARMS):
@@ -277,22 +275,26 @@ def _slab_sums(table: DataFrame, drawn: DataFrame, lo: int, size: int, n_boot: i
         values, known = packed.value
         whole = known.all(axis=1)
         sums, seen, hit = np.zeros((len(ARMS), n_boot)), np.zeros((len(ARMS), n_boot), np.int64), np.zeros(n_boot, np.int64)
-        for batch in batches:
-            rep, at = batch.column("rep").to_numpy(), batch.column("pos").to_numpy() - lo
+        for first in (int(x) * AT_ONCE for batch in batches for x in batch.column("id").to_numpy()):
+            rep, slot = np.divmod(np.arange(first, min(first + AT_ONCE, n_boot * n)), n)
+            at = digests.drawn(seed, rep, slot, n) - lo
+            if size < n:
+                mine = (at >= 0) & (at < size)
+                rep, at = rep[mine], at[mine]
             if len(rep):
-                low = rep.min()
-                n = rep.max() - low + 1
-                reach = slice(low, low + n)
-                times = np.bincount(rep - low, minlength=n)
+                low = rep[0]
+                m = rep[-1] - low + 1
+                reach = slice(low, low + m)
+                times = np.bincount(rep - low, minlength=m)
                 hit[reach] += times
                 for i in range(len(ARMS)):
-                    sums[i, reach] += np.bincount(rep - low, values[i].take(at), n)
-                    seen[i, reach] += times if whole[i] else np.bincount(rep - low, known[i].take(at), n).astype(np.int64)
+                    sums[i, reach] += np.bincount(rep - low, values[i].take(at), m)
+                    seen[i, reach] += times if whole[i] else np.bincount(rep - low, known[i].take(at), m).astype(np.int64)
         reps = np.flatnonzero(hit)
         yield pa.RecordBatch.from_arrays([pa.array(reps), *(pa.array(s[reps], mask=k[reps] == 0) for s, k in zip(sums, seen))], names=["rep", *ARMS])
 
     arms = ", ".join(f"{a} double" for a in ARMS)
-    part = drawn.filter(mine).mapInArrow(each, f"rep long, {arms}").groupBy("rep").agg(*(F.sum(a).alias(a) for a in ARMS))
+    part = slots.mapInArrow(each, f"rep long, {arms}").groupBy("rep").agg(*(F.sum(a).alias(a) for a in ARMS))
     return part, packed
 
 

@@ -25,8 +25,8 @@ full_s AS MATERIALIZED (SELECT unique_id, ds, hidx, y, {each('coalesce(@, m_@, g
 
 
 def full(t: Tables):
-    stats = impute.fit_fill_stats(t.panel_s.filter(F.col("hidx") < CUT), t.weekly)
-    return impute.apply_fill(t.panel_s, t.weekly, stats)
+    stats = impute.fit_fill_stats(t.kept_s.filter(F.col("hidx") < CUT), t.weekly)
+    return impute.apply_fill(t.kept_s, t.weekly, stats)
 
 
 def block(name: str, sql: str, cols: str, places=None, raw: bool = False):
@@ -35,7 +35,7 @@ def block(name: str, sql: str, cols: str, places=None, raw: bool = False):
 
     def add(build):
         def run(t: Tables):
-            df = t.panel_s if raw else full(t)
+            df = t.kept_s if raw else full(t)
             out, made = build(t, df)
             if sorted(made) != sorted(names):
                 raise ValueError(f"{name} made {made}")

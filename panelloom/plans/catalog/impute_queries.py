@@ -91,7 +91,7 @@ def strategy_arms(t: Tables):
     digits="median",
 )
 def fill_stats(t: Tables):
-    return impute.fit_fill_stats(t.panel_s, t.weekly).long()
+    return impute.fit_fill_stats(t.kept_s, t.weekly).long()
 
 
 @query(
@@ -102,8 +102,8 @@ def fill_stats(t: Tables):
     digits=SIGNALS,
 )
 def apply_fill(t: Tables):
-    stats = impute.fit_fill_stats(t.panel_s.filter("hidx < 331"), t.weekly)
-    out = impute.apply_fill(t.panel_s, t.weekly, stats)
+    stats = impute.fit_fill_stats(t.kept_s.filter("hidx < 331"), t.weekly)
+    out = impute.apply_fill(t.kept_s, t.weekly, stats)
     return out.select("unique_id", "hidx", *SIGNALS, *(f"{c}{impute.MISSING}" for c in SIGNALS))
 
 
@@ -123,8 +123,8 @@ meds AS (SELECT unique_id, {each('median(@) AS m_@')} FROM panel_s GROUP BY 1)""
     digits={"x1": 6, "x2": 6, "x3": 4},
 )
 def interpolate(t: Tables):
-    stats = impute.fit_fill_stats(t.panel_s, t.weekly)
-    out = impute.apply_fill(t.panel_s, t.chunked, stats, SIGNALS, strategy="interp", add_flags=False)
+    stats = impute.fit_fill_stats(t.kept_s, t.weekly)
+    out = impute.apply_fill(t.kept_s, t.chunked, stats, SIGNALS, strategy="interp", add_flags=False)
     return out.select("unique_id", "hidx", *SIGNALS)
 
 
@@ -136,8 +136,8 @@ def interpolate(t: Tables):
     digits=SIGNALS,
 )
 def carry(t: Tables):
-    stats = impute.fit_fill_stats(t.panel_s, t.weekly)
-    out = impute.apply_fill(t.panel_s, t.chunked, stats, SIGNALS, strategy="ffill", add_flags=False)
+    stats = impute.fit_fill_stats(t.kept_s, t.weekly)
+    out = impute.apply_fill(t.kept_s, t.chunked, stats, SIGNALS, strategy="ffill", add_flags=False)
     return out.select("unique_id", "hidx", *SIGNALS)
 
 

@@ -201,7 +201,7 @@ def join_covariates(t: Tables):
     digits="pred",
 )
 def assign(t: Tables):
-    block = t.cube.filter("cutoff = 331")
+    block = t.stored.filter("cutoff = 331")
     key = F.md5(F.concat_ws(":", "unique_id", F.col("hidx").cast("string")))
     # The requested order is arbitrary; the join must find its rows by key and keep that order.
     asked = block.filter("step > 13").select("unique_id", "ds", key.alias("_k"), "hidx")
@@ -227,7 +227,7 @@ def member_join(t: Tables):
     from panelloom.operators.assembly import join_members
 
     keys = ["cutoff", "unique_id", "ds", "y"]
-    return join_members({m: t.scored.select(*keys, m) for m in MEMBERS}, keys)
+    return join_members({m: t.stored_scored.select(*keys, m) for m in MEMBERS}, keys)
 
 
 @query("J4_static_join", "panel_s", "SELECT unique_id, hidx, capacity, zone FROM panel_s WHERE hidx >= 331")

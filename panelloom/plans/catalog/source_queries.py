@@ -183,8 +183,8 @@ SMALL = TreeConfig(rounds=8, depth=4, stride=26, futr=("x1", "x2"), statics=("ca
 
 
 def filled(t: Tables):
-    stats = impute.fit_fill_stats(t.panel_s.filter(F.col("hidx") < CUT), t.weekly)
-    return impute.apply_fill(t.panel_s, t.weekly, stats)
+    stats = impute.fit_fill_stats(t.kept_s.filter(F.col("hidx") < CUT), t.weekly)
+    return impute.apply_fill(t.kept_s, t.weekly, stats)
 
 
 def shape(t: Tables, rows, pred: str, arm=None):
@@ -297,7 +297,7 @@ def recursive(t: Tables):
 
 @query("D14_residual_member", "cube", shape_sql(14, "corrected"))
 def residual(t: Tables):
-    start = t.panel_s.select("unique_id", F.col("hidx").alias("_o"), F.col("ds").alias("_cut"))
+    start = t.kept_s.select("unique_id", F.col("hidx").alias("_o"), F.col("ds").alias("_cut"))
     oof = t.cube.filter("cutoff < 331").withColumn("_o", F.col("cutoff") - 1).join(start, ["unique_id", "_o"])
     oof = oof.select("unique_id", "ds", F.col("_cut").alias("cutoff"), "y", "seasonal_mean")
     preds = t.scored.filter("cutoff = 331").select("unique_id", "ds", "y", "seasonal_mean")
@@ -384,7 +384,7 @@ def member_runner(t: Tables):
 )
 def run_panel(t: Tables):
     config = TreeConfig(rounds=5, depth=3, stride=52, step=0.2)
-    out = workflows.run_panel(t.panel_s, t.weekly, config, ("naive", "seasonal_naive", "seasonal_mean", "channel", "tree", "recursive", "absent"))
+    out = workflows.run_panel(t.kept_s, t.weekly, config, ("naive", "seasonal_naive", "seasonal_mean", "channel", "tree", "recursive", "absent"))
     return out.select("arm", "status", F.coalesce(F.col("wape").between(0, 3), F.lit(False)).alias("scored"))
 
 
@@ -399,7 +399,7 @@ def run_panel(t: Tables):
     digits="wape skill",
 )
 def baseline_arms(t: Tables):
-    out = workflows.run_panel(t.panel_s, t.weekly, TreeConfig(), MEMBERS)
+    out = workflows.run_panel(t.kept_s, t.weekly, TreeConfig(), MEMBERS)
     return out.select("arm", "status", "wape", "zero_frac", "skill")
 
 
@@ -414,8 +414,8 @@ def baseline_arms(t: Tables):
 )
 def inference_run(t: Tables):
     spec = t.weekly
-    history = t.panel_s.filter(F.col("hidx") < CUT)
-    future = t.panel_s.filter("hidx >= 344").select("unique_id", "ds", *SIGNALS)
+    history = t.kept_s.filter(F.col("hidx") < CUT)
+    future = t.kept_s.filter("hidx >= 344").select("unique_id", "ds", *SIGNALS)
 
     def native(method):
         def run(whole, cut, h):
@@ -443,8 +443,8 @@ def inference_run(t: Tables):
 def graded_run(t: Tables):
     # Fitted for 26 steps, asked for steps 14 to 39: the tree answers them directly, the seasonal member rolls forward.
     spec, cut = t.weekly, 318
-    history = t.panel_s.filter(F.col("hidx") < cut)
-    asked = t.panel_s.filter(F.col("hidx").between(331, 356))
+    history = t.kept_s.filter(F.col("hidx") < cut)
+    asked = t.kept_s.filter(F.col("hidx").between(331, 356))
     index_rows = panel_files.with_order(asked.select("unique_id", "ds").orderBy(F.xxhash64("unique_id", "ds")))
     aggregates = ["xs_cap_x1", "ew_x1_6"]
     config = replace(SMALL, futr=("x1", "x2", *aggregates), fc_lags=(52,), rounds=6, horizon=26)
@@ -497,7 +497,7 @@ def registered_members(t: Tables):
 
     out = None
     for cut in CUTOFFS:
-        ctx = runners.Context(t.panel_s, t.weekly, cut)
+        ctx = runners.Context(t.kept_s, t.weekly, cut)
         frames = {m: runners.run_member(m, ctx) for m in runners.available("baseline")}
         cube = join_members(frames, ["unique_id", "ds", "y"])
         part = cube.agg(*(M.wape(F.col("y"), F.col(m)).alias(m) for m in frames)).withColumn("cutoff", F.lit(cut).cast("long"))

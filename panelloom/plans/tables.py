@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.operators import baselines
-from panelloom.session import checkpointed, shared_folder, spread
+from panelloom.session import checkpointed, shared_folder, spread, stored
 from panelloom.spec import PanelSpec
 
 SIGNALS = ("x1", "x2", "x3")
@@ -106,6 +106,11 @@ class Tables:
             "zone",
         )
 
+    @cached_property
+    def kept_s(self) -> DataFrame:
+        """``panel_s`` written once to the shared folder, for work that reads it several times."""
+        return stored(self.panel_s, "panel_s")
+
     # -------------------------------------------------------------- events x hour
 
     @cached_property
@@ -160,7 +165,7 @@ class Tables:
 
     @cached_property
     def cube(self) -> DataFrame:
-        return baselines.baseline_cube(self.panel_s, self.weekly, CUTOFFS)
+        return baselines.baseline_cube(self.kept_s, self.weekly, CUTOFFS)
 
     @cached_property
     def scored(self) -> DataFrame:
