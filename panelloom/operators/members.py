@@ -16,7 +16,7 @@ from panelloom.operators import boosting, origin
 from panelloom.operators import design as D
 from panelloom.operators.aggregates import unit_levels
 from panelloom.operators.index import select_horizon
-from panelloom.session import checkpointed
+from panelloom.session import checkpointed, discard, stored
 from panelloom.spec import PanelSpec
 
 @dataclass(frozen=True)
@@ -74,13 +74,15 @@ def _weighted(rows: DataFrame, df: DataFrame, spec: PanelSpec, config: TreeConfi
 
 
 def _fit_rows(rows: DataFrame, spec: PanelSpec, features: list[str], config: TreeConfig, rounds: int) -> boosting.Forest:
-    """Trees on rows that are written first, so that what they are made from runs once."""
+    """Trees on rows that are written first, so that what they are made from runs once, and removed when the trees are grown."""
     keys = [c for c in (spec.id, spec.time, "o", "k") if c in rows.columns]
-    kept = checkpointed(rows.select(*dict.fromkeys([*keys, *features, spec.target, "weight"])))
-    return boosting.fit(
+    kept = stored(rows.select(*dict.fromkeys([*keys, *features, spec.target, "weight"])), "design")
+    forest = boosting.fit(
         kept, features, spec.target, "weight", F.xxhash64(*keys), rounds=rounds, step=config.step, leaves=config.leaves, depth=config.depth, least=config.min_rows,
         bins=config.bins, loss=config.loss, share=config.subsample, feature_share=config.features, seed=config.seed, category=D.UNIT, symmetric=config.symmetric,
     )
+    discard(kept)
+    return forest
 
 
 def _features(spec: PanelSpec, config: TreeConfig) -> list[str]:

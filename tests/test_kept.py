@@ -80,3 +80,21 @@ def test_draws_are_the_digests_of_their_keys():
     for seed in (0, 17, -(2**40)):
         want = [int(hashlib.md5(f"{seed}:{r}:{s}".encode()).hexdigest()[:8], 16) % 777 for r, s in zip(rep, slot)]
         assert digests.drawn(seed, rep, slot, 777).tolist() == want
+
+
+def test_the_design_of_the_trees_is_removed_when_they_are_grown(spark, monkeypatch):
+    import os
+
+    from panelloom.operators import members
+
+    rows = spark.range(400).selectExpr("concat('u', id % 5) AS unique_id", "id AS o", "1L AS k", "id % 7 AS x", "cast(id % 7 AS double) AS y", "1.0D AS weight")
+    seen, fit = [], members.boosting.fit
+
+    def watched(kept, *given, **named):
+        seen.append((kept.kept_at.removeprefix("file:"), os.path.isdir(kept.kept_at.removeprefix("file:"))))
+        return fit(kept, *given, **named)
+
+    monkeypatch.setattr(members.boosting, "fit", watched)
+    forest = members._fit_rows(rows, PanelSpec(signals=("x",)), ["x"], members.TreeConfig(loss="squared"), 2)
+    assert len(forest.trees) == 2
+    assert [there for _, there in seen] == [True] and not os.path.exists(seen[0][0])
